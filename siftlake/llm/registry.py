@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftlake.llm import rowqueries
+from siftlake.llm import rowqueries, scorequeries
 
-_MODULES = [rowqueries]
+_MODULES = [rowqueries, scorequeries]
 
 
 def queries() -> dict:
