@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftlake.llm.common import plain
 from siftlake.session import list_files, scratch_path
 
 #: Bytes of one row group: small enough that a hot group has many to skip.
@@ -111,7 +112,7 @@ def _read_descending(group: str, score: str, ties: list[str], columns: list[str]
                     kept = kept.groupby(group, sort=False).head(n)
                     floor = {str(g): s for g, s in nth_best(kept).items()}
                 if kept is not None:
-                    yield kept[columns]
+                    yield plain(kept[columns])
 
     return read
 
