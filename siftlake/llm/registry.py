@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftlake.llm import rowqueries, scorequeries
+from siftlake.llm import codequeries, rowqueries, scorequeries
 
-_MODULES = [rowqueries, scorequeries]
+_MODULES = [rowqueries, scorequeries, codequeries]
 
 
 def queries() -> dict:
