@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.distinctive import distinctive_terms, first_by_tfidf
+from siftlake.llm.handwritten import classify_files
 from siftlake.session import table
 
 
@@ -19,7 +20,17 @@ def p5_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_id", "content", top=5)
 
 
-QUERIES = {"p5_found": p5_found, "p5_distinctive": p5_distinctive}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand for the project."""
+    return classify_files(table(spark, sf_dir, "chunks")).filter("NOT handwritten").select("file_path")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the reasons that speak against hand-written source."""
+    return classify_files(table(spark, sf_dir, "chunks"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_distinctive": p5_distinctive, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE chunk_id IS NOT NULL),
