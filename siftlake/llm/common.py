@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +14,3 @@ def one_record(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     kept = df.filter(F.col(key).isNotNull()).select(key, F.struct(*columns).alias("_r"))
     return kept.groupBy(key).agg(F.max("_r").alias("_r")).select(key, "_r.*")
-
-
-def plain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings as Python objects: joined Arrow-backed strings come in chunks, which Spark refuses."""
-    return pdf.astype({c: object for c, kind in pdf.dtypes.items() if isinstance(kind, pd.StringDtype)})

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import plain
 from siftlake.session import list_files, scratch_path
 
 #: Bytes of one row group: small enough that a hot group has many to skip.
@@ -72,7 +71,8 @@ def _statistics(group: str, score: str, n: int):
                     single = bool(known and gs.min == gs.max)
                     scored = ss is not None and ss.has_min_max
                     out.append((file, i, str(gs.min) if single else None, ss.max if scored else np.inf, ss.min if scored and single and rg.num_rows >= n else None, rg.num_rows))
-                yield pd.DataFrame(out, columns=["file", "rg", "only_group", "top", "floor", "n_rows"])
+                if out:
+                    yield pd.DataFrame(out, columns=["file", "rg", "only_group", "top", "floor", "n_rows"])
 
     return read
 
@@ -111,8 +111,8 @@ def _read_descending(group: str, score: str, ties: list[str], columns: list[str]
                     kept = kept.sort_values([score, *ties], ascending=[False] + [True] * len(ties), na_position="last", kind="stable")
                     kept = kept.groupby(group, sort=False).head(n)
                     floor = {str(g): s for g, s in nth_best(kept).items()}
-                if kept is not None:
-                    yield plain(kept[columns])
+                if kept is not None and len(kept):
+                    yield kept[columns]
 
     return read
 
