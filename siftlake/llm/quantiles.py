@@ -195,7 +195,8 @@ def sketch_quantiles(sketches: DataFrame, groups: list[str], probs: list[float],
                 *g, n, raw = row
                 for p, e, lo, hi in zip(probs, *RelativeSketch.from_bytes(raw).quantiles(np.array(probs), sigmas)):
                     out.append((*g, n, p, e, lo, hi))
-            yield pd.DataFrame(out, columns=[*groups, "n", "p", "estimate", "lower", "upper"])
+            if out:
+                yield pd.DataFrame(out, columns=[*groups, "n", "p", "estimate", "lower", "upper"])
 
     return sketches.select(*groups, "n", "sketch").mapInPandas(run, schema)
 
