@@ -31,6 +31,8 @@ LEAF_LINES = 3
 SHARED_LEAVES = 0.5
 #: Fewer leaves say nothing about a file's origin.
 LEAST_LEAVES = 3
+#: Fewer lines than this can look uniform by chance.
+LAYOUT_LINES = 12
 #: Deeper directories are taken together.
 MOST_LEVELS = 40
 #: Lines on which a head comment may stand.
@@ -196,7 +198,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     text = F.col("lines") > 0
     flags = joined.select(
         F.col("path").alias("file_path"),
-        (text & (F.col("head") | ((F.col("lines") >= 6) & (F.col("uniform") >= 0.8 * F.col("lines"))))).alias("generated"),
+        (text & (F.col("head") | ((F.col("lines") >= LAYOUT_LINES) & (F.col("uniform") >= 0.8 * F.col("lines"))))).alias("generated"),
         (text & (F.col("chars") / F.col("lines") >= 120) & (F.col("data_chars") < 0.7 * F.col("chars"))).alias("minified"),
         (text & (F.col("data_chars") >= 0.7 * F.col("chars"))).alias("data"),
         (vendor_dir | (big & (F.col("_fh").isNotNull() | (share >= SHARED_LEAVES))) | F.col("_p").isNotNull()).alias("vendored"),
