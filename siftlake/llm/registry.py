@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftlake.llm import codequeries, rowqueries, scorequeries
+from siftlake.llm import codequeries, docqueries, rowqueries, scorequeries
 
-_MODULES = [rowqueries, scorequeries, codequeries]
+_MODULES = [rowqueries, scorequeries, codequeries, docqueries]
 
 
 def queries() -> dict:
