@@ -9,7 +9,6 @@ overflows, the number of windows is raised.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -84,54 +83,69 @@ def difference(weights: np.ndarray, k: int) -> tuple[list[list[int]], np.ndarray
     return heap[0][3], heap[0][2]
 
 
-def _settle(weights: np.ndarray, parts: list[list[int]], capacity: int) -> list[list[int]] | None:
-    """Windows that overflow hand their smallest sufficient items to the tightest window with
-    room for them; None if an item finds no room."""
-    parts, moved = [list(p) for p in parts], []
-    room = [capacity - int(weights[p].sum()) for p in parts]
-    for i, p in enumerate(parts):
-        while room[i] < 0:
-            enough = [x for x in p if weights[x] >= -room[i]]
-            x = min(enough or p, key=lambda x: (weights[x], x)) if enough else max(p, key=lambda x: (weights[x], x))
-            p.remove(x)
-            room[i] += int(weights[x])
-            moved.append(x)
-    free = sorted((r, i) for i, r in enumerate(room))
-    for x in sorted(moved, key=lambda x: (-weights[x], x)):
-        at = bisect.bisect_left(free, (int(weights[x]), -1))
-        if at == len(free):
-            return None
-        r, i = free.pop(at)
-        parts[i].append(x)
-        bisect.insort(free, (r - int(weights[x]), i))
-    return parts
+def _subsets(weights: np.ndarray, part: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """Weight and items of every single item and pair of a window."""
+    pairs = [(x, y) for i, x in enumerate(part) for y in part[i + 1 :]]
+    return [*[(int(weights[x]), (x,)) for x in part], *[(int(weights[x] + weights[y]), (x, y)) for x, y in pairs]]
+
+
+def _settle(weights: np.ndarray, parts: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Windows that overflow a little exchange one or two items with windows that have room.
+
+    For the fullest window the exchange that just cures it is taken, else the one that
+    helps most. A window that no exchange helps gives up the smallest item that suffices.
+    Returns windows that all fit and the items given up.
+    """
+    loose: list[int] = []
+    parts = [list(p) for p in parts]
+    room = np.array([capacity - int(weights[p].sum()) for p in parts])
+    offers = [[(0, ()), *_subsets(weights, p)] for p in parts]
+    while room[full := int(np.argmin(room))] < 0:
+        windows = np.flatnonzero(room > 0)
+        give = offers[full][1:]
+        where = np.repeat(windows, [len(offers[i]) for i in windows])
+        take = [o for i in windows for o in offers[i]]
+        gain = np.array([w for w, _ in give])[:, None] - np.array([w for w, _ in take])[None, :] if take else np.zeros((len(give), 0))
+        fits = (gain > 0) & (gain <= room[where][None, :])
+        if not fits.any():
+            enough = [x for x in parts[full] if weights[x] >= -room[full]] or parts[full]
+            item = min(enough, key=lambda x: (weights[x], x))
+            parts[full].remove(item)
+            loose.append(item)
+            room[full] = capacity - int(weights[parts[full]].sum())
+            offers[full] = [(0, ()), *_subsets(weights, parts[full])]
+            continue
+        cures = fits & (gain >= -room[full])
+        at = np.argmin(np.where(cures, gain, 1 << 60)) if cures.any() else np.argmax(np.where(fits, gain, -1))
+        i, j = np.unravel_index(at, gain.shape)
+        other, out, back = int(where[j]), give[i][1], take[j][1]
+        parts[full] = [x for x in parts[full] if x not in out] + list(back)
+        parts[other] = [x for x in parts[other] if x not in back] + list(out)
+        for w in (full, other):
+            room[w] = capacity - int(weights[parts[w]].sum())
+            offers[w] = [(0, ()), *_subsets(weights, parts[w])]
+    return parts, loose
 
 
 def fill(weights: np.ndarray, capacity: int) -> list[list[int]]:
     """Parts of at most ``capacity``; every weight must fit.
 
-    The number of windows starts at what the total needs. Differencing makes them nearly
-    equal, windows that overflow a little are settled, and if that fails the number rises:
-    first in growing steps, then back by halving to where it first worked.
+    Differencing into as many windows as the total needs makes them nearly equal. Windows
+    that overflow are settled by exchanges; what they still have to give up goes, again by
+    differencing, into additional windows: the number rises only by what is over.
     """
     if not len(weights):
         return []
-
-    def attempt(k: int) -> list[list[int]] | None:
-        parts, sums = difference(weights, k)
-        return parts if sums[0] <= capacity else _settle(weights, parts, capacity)
-
-    high, step, bad = min(max(1, math.ceil(int(weights.sum()) / capacity)), len(weights)), 1, 0
-    while (parts := attempt(high)) is None:
-        bad, high = high, min(len(weights), high + step)
-        step *= 2
-    while bad and high - bad > 1:
-        middle = (high + bad) // 2
-        if (tried := attempt(middle)) is None:
-            bad = middle
-        else:
-            parts, high = tried, middle
-    return [p for p in parts if p]
+    k = min(len(weights), max(1, math.ceil(int(weights.sum()) / capacity)))
+    parts, sums = difference(weights, k)
+    loose: list[int] = []
+    if sums[0] > capacity:
+        parts, loose = _settle(weights, parts, capacity)
+    out = [p for p in parts if p]
+    if len(loose) == len(weights):
+        return [[i] for i in loose]
+    at = np.array(loose, dtype=np.int64)
+    return out + [[int(at[i]) for i in p] for p in fill(weights[at], capacity)]
 
 
 def pack(sized: DataFrame, key: str, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
