@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.mixing import mix, out_of_reach
 from siftlake.llm.packing import pack, sizes
+from siftlake.llm.repetition import measure_repetition
 from siftlake.session import table
 
 WINDOW = 2_048
@@ -46,12 +47,29 @@ def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0]
 
 
-QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_shares": p9_shares, "p9_draws": p9_draws}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 40 tokens or more of which at least 0.35 repeats."""
+    return measure_repetition(table(spark, sf_dir, "documents")).filter("tokens >= 40 AND repeated >= 0.35").select("doc_id")
+
+
+def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated share, perplexity and the verdict of the bands."""
+    return measure_repetition(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_shares": p9_shares, "p9_draws": p9_draws,
+    "p10_found": p10_found, "p10_repetition": p10_repetition,
+}
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 _SIZED = f"WITH sized AS (SELECT DISTINCT doc_id, source, coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS tokens FROM documents)"
 
 ORACLE = {
+    "p10_found": f"""
+WITH toks AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TOKEN}') AS t FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, list_slice(t, i, i + 7) AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS i FROM toks WHERE len(t) >= 40))
+SELECT doc_id FROM runs GROUP BY doc_id HAVING 1 - count(DISTINCT run) / count(*) >= 0.35""",
     "p8_found": _SIZED + " SELECT doc_id FROM sized WHERE tokens > 2048",
     "p9_found": _SIZED
     + r""", named AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, tokens FROM sized WHERE source IS NOT NULL),
