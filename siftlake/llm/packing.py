@@ -173,7 +173,9 @@ def pack(sized: DataFrame, key: str, capacity: int, shard_items: int = SHARD_ITE
             number[part] = i
         return pd.DataFrame({"container": [f"{key_[0]}-{i}" for i in number], key: pdf[key], "piece": pdf["piece"], "tokens": pdf["tokens"]})
 
-    packed = rest.withColumn("_shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards))).groupBy("_shard").applyInPandas(
+    # A fixed number of tasks: the rows are few bytes, which would otherwise all become one task.
+    placed = rest.withColumn("_shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards))).repartition(min(shards, 10_000), "_shard")
+    packed = placed.groupBy("_shard").applyInPandas(
         one_shard, f"container string, `{key}` {kind}, piece int, tokens bigint"
     )
     return full.unionByName(packed)
