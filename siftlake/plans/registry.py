@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.plans import increment_queries
+from siftlake.plans import increment_queries, search_queries
 
-_MODULES = [increment_queries]
+_MODULES = [increment_queries, search_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return increment_queries.p1_found(spark, sf_dir)
+    return search_queries.hybrid_reranked(spark, sf_dir)
