@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.plans import increment_queries, search_queries
+from siftlake.plans import increment_queries, search_queries, usage_queries
 
-_MODULES = [increment_queries, search_queries]
+_MODULES = [increment_queries, search_queries, usage_queries]
 
 
 def queries() -> dict:
