@@ -14,14 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import enriched, identifier_tokens, normal_path, path_penalty, path_terms, stem
+from siftlake.functions.text import enriched, normal_path, path_penalty, path_terms, stem
+from siftlake.operators.profile import profiles
 
 # Fixed values of the scoring formula.
 K1, B = 1.5, 0.75
-#: Dimensions of the built-in encoder.
-DIMS = 64
-FORMAT = 1
-PARTS = ("chunks", "terms")
+FORMAT = 2
+PARTS = ("chunks", "terms", "vectors")
 
 
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
@@ -32,16 +31,25 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
     return placed.withColumns({"stem": F.lower(stem(F.col("file_path"))), "path_terms": path_terms(F.col("file_path")), "penalty": path_penalty(F.col("file_path"))})
 
 
+def chunk_profiles(chunks: DataFrame) -> DataFrame:
+    """Terms, counts and vector of every chunk's enriched text (see operators.profile)."""
+    return profiles(chunks, "chunk_id", enriched(F.col("content"), F.col("file_path")))
+
+
+def exploded_terms(profiled: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``key, term, tf, dl``: a row per term; ``dl`` is the length of the whole text."""
+    rows = profiled.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_e"))
+    return rows.select(key, F.col("_e.terms").alias("term"), F.col("_e.tfs").alias("tf"), "dl")
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf`` over the enriched text of every chunk."""
-    tokens = chunks.select("chunk_id", F.explode(identifier_tokens(enriched(F.col("content"), F.col("file_path")))).alias("term"))
-    return tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """``chunk_id, term, tf, dl`` over the enriched text of every chunk."""
+    return exploded_terms(chunk_profiles(chunks))
 
 
-def document_lengths(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def document_lengths(chunks: DataFrame) -> DataFrame:
     """``chunk_id, dl``; chunks without any term have length 0."""
-    sums = terms.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    return chunks.select("chunk_id").join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    return chunk_profiles(chunks).select("chunk_id", "dl")
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
@@ -55,29 +63,14 @@ def impact(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Colu
 
 
 def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, chunk_id, tf, impact``, with statistics over the whole corpus."""
-    lengths = document_lengths(chunks, terms)
-    corpus = F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
-    joined = terms.join(document_frequencies(terms), "term").join(lengths, "chunk_id").crossJoin(corpus)
-    return joined.select("term", "chunk_id", "tf", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")).alias("impact"))
-
+    """``term, chunk_id, tf, impact``, with statistics over the whole corpus.
 
-def term_directions(terms: DataFrame) -> DataFrame:
-    """``term, dim, sign`` of the built-in encoder: a fixed dimension and sign for each term."""
-    number = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
-    return terms.select("term").distinct().select("term", (number % DIMS).cast("int").alias("dim"), F.when((number / DIMS).cast("bigint") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-
-
-def encode(terms: DataFrame, key: str) -> DataFrame:
-    """``key, v``: unit vectors from term counts, hashed to DIMS dimensions.
-
-    Stands in for an embedding model; tables with vectors of one can be searched the same way.
-    Keys whose terms cancel out have no vector.
+    One join on the term; the corpus is one row. Chunks without terms count in its size.
     """
-    cells = terms.join(term_directions(terms), "term").groupBy(key, "dim").agg(F.sum(F.col("sign") * F.log(F.lit(1.0) + F.col("tf"))).alias("x"))
-    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
-    return rows.filter("norm > 1e-9").select(key, values.alias("v"))
+    size = chunks.agg(F.count("*").alias("n")).crossJoin(terms.agg(F.sum("tf").alias("_all")))
+    corpus = F.broadcast(size.select("n", (F.col("_all") / F.col("n")).alias("avgdl")))
+    joined = terms.join(document_frequencies(terms), "term").crossJoin(corpus)
+    return joined.select("term", "chunk_id", "tf", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")).alias("impact"))
 
 
 @dataclass
@@ -103,6 +96,7 @@ class Index:
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         # Clustered by term: a query's terms prune row groups by their least and greatest term.
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         spark = self.chunks.sparkSession
         about = {"format": FORMAT, "n_chunks": self.chunks.count(), **metadata}
         spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
@@ -111,25 +105,30 @@ class Index:
 def build_index(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     """Index a table of chunks (chunk_id, content, file_path, start_line, end_line, language)."""
     prepared = prepare_chunks(chunks)
-    return index_of(prepared, term_counts(prepared), vectors)
+    profiled = chunk_profiles(prepared)
+    return index_of(prepared, exploded_terms(profiled), chunk_vectors(profiled) if vectors is None else vectors)
+
+
+def chunk_vectors(profiled: DataFrame, key: str = "chunk_id") -> DataFrame:
+    return profiled.filter("v IS NOT NULL").select(key, "v")
 
 
-def index_of(prepared: DataFrame, terms: DataFrame, vectors: DataFrame | None = None) -> Index:
-    return Index(prepared, terms, postings(prepared, terms), encode(terms, "chunk_id") if vectors is None else vectors)
+def index_of(prepared: DataFrame, terms: DataFrame, vectors: DataFrame) -> Index:
+    return Index(prepared, terms, postings(prepared, terms), vectors)
 
 
 def load_index(spark: SparkSession, path: str, **expected) -> Index:
     """Read a snapshot; raises ValueError if it is incomplete or was made with other metadata."""
     try:
         about = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/metadata").collect()))
-        chunks, terms = (spark.read.parquet(f"{path}/{p}") for p in PARTS)
+        chunks, terms, vectors = (spark.read.parquet(f"{path}/{p}") for p in PARTS)
     except Exception as error:
         raise ValueError(f"no complete snapshot in {path}") from error
     wrong = {k: v for k, v in {"format": FORMAT, **expected}.items() if about.get(k) != v}
-    orphans = terms.join(chunks, "chunk_id", "left_anti").isEmpty()
-    if wrong or chunks.count() != about["n_chunks"] or not orphans:
+    whole = all(t.join(chunks, "chunk_id", "left_anti").isEmpty() for t in (terms, vectors))
+    if wrong or chunks.count() != about["n_chunks"] or not whole:
         raise ValueError(f"snapshot in {path} does not match: {sorted(wrong) or 'its rows are not complete'}")
-    return index_of(chunks, terms)
+    return index_of(chunks, terms, vectors)
 
 
 def manifest_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -149,9 +148,12 @@ def update_index(index: Index, changed_chunks: DataFrame, stale_paths: DataFrame
     """
     stale = stale_paths.select(F.col("path").alias("file_path")).distinct()
     kept = index.chunks.join(stale, "file_path", "left_anti")
-    kept_terms = index.terms.join(index.chunks.join(stale, "file_path", "left_semi").select("chunk_id"), "chunk_id", "left_anti")
+    gone = index.chunks.join(stale, "file_path", "left_semi").select("chunk_id")
     fresh = prepare_chunks(changed_chunks)
-    return index_of(kept.unionByName(fresh), kept_terms.unionByName(term_counts(fresh)))
+    profiled = chunk_profiles(fresh)
+    terms = index.terms.join(gone, "chunk_id", "left_anti").unionByName(exploded_terms(profiled))
+    vectors = index.vectors.join(gone, "chunk_id", "left_anti").unionByName(chunk_vectors(profiled))
+    return index_of(kept.unionByName(fresh), terms, vectors)
 
 
 def unique_labels(sources: list[str]) -> list[str]:
@@ -171,10 +173,10 @@ def unique_labels(sources: list[str]) -> list[str]:
 
 def merge_indexes(parts: dict[str, Index]) -> Index:
     """One index over several; paths and ids get the label in front, terms stay as they are."""
-    chunks = terms = None
+    out: list[DataFrame] = []
     for label, part in parts.items():
         c = part.chunks.withColumns({"chunk_id": F.concat(F.lit(label + "/"), "chunk_id"), "file_path": F.concat(F.lit(label + "/"), "file_path")})
         c = c.withColumns({"path_terms": path_terms(F.col("file_path")), "penalty": path_penalty(F.col("file_path"))})
-        t = part.terms.withColumn("chunk_id", F.concat(F.lit(label + "/"), "chunk_id"))
-        chunks, terms = (c, t) if chunks is None else (chunks.unionByName(c), terms.unionByName(t))
-    return index_of(chunks, terms)
+        t, v = (x.withColumn("chunk_id", F.concat(F.lit(label + "/"), "chunk_id")) for x in (part.terms, part.vectors))
+        out = [a.unionByName(b) for a, b in zip(out, (c, t, v))] if out else [c, t, v]
+    return index_of(*out)

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import (
-    defines, embedded_symbols, identifier_tokens, is_symbol_query, keyword_matches, leaf_symbol, query_keywords, resolve_alpha, stem_forms,
+    defines, embedded_symbols, is_symbol_query, keyword_matches, leaf_symbol, query_keywords, resolve_alpha, stem_forms,
 )
-from siftlake.operators.index import Index, encode
+from siftlake.operators.index import Index, chunk_vectors, exploded_terms
+from siftlake.operators.profile import profiles
 
 # Fixed values of the ranking.
 RRF_K = 60
@@ -33,8 +34,7 @@ def ordered(score: str, *ties: str) -> list[Column]:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, tf`` of every query."""
-    words = queries.select("query_id", F.explode(identifier_tokens(F.col("query"))).alias("term"))
-    return words.groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    return exploded_terms(profiles(queries, "query_id", F.col("query")), "query_id").select("query_id", "term", "tf")
 
 
 def lexical_scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def semantic_top(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str
 
 
 def encode_queries(queries: DataFrame) -> DataFrame:
-    return encode(query_terms(queries), "query_id")
+    return chunk_vectors(profiles(queries, "query_id", F.col("query")), "query_id")
 
 
 def rrf(ranked: DataFrame, name: str) -> DataFrame:

@@ -18,9 +18,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
     chunks = scratch_table(_chunks(spark, sf_dir), "chunks")
-    terms = scratch_table(I.term_counts(chunks), "terms")
-    built = I.index_of(chunks, terms)
-    return I.Index(chunks, terms, scratch_table(built.postings, "postings"), scratch_table(built.vectors, "vectors"))
+    profiled = scratch_table(I.chunk_profiles(chunks), "profiles")
+    built = I.index_of(chunks, I.exploded_terms(profiled), I.chunk_vectors(profiled))
+    return I.Index(chunks, built.terms, scratch_table(built.postings, "postings"), built.vectors)
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def enrich_bm25(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    return I.term_counts(_chunks(spark, sf_dir))
+    return I.term_counts(_chunks(spark, sf_dir)).select("chunk_id", "term", "tf")
 
 
 def doc_freq(spark, sf_dir):
@@ -45,8 +45,7 @@ def doc_freq(spark, sf_dir):
 
 
 def doc_len(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    return I.document_lengths(chunks, I.term_counts(chunks)).select("chunk_id", F.col("dl").cast("bigint").alias("dl"))
+    return I.document_lengths(_chunks(spark, sf_dir))
 
 
 def impacts(spark, sf_dir):

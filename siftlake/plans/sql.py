@@ -1,7 +1,8 @@
 """Pieces of SQL that the twins share. Written for DuckDB, whose expressions know no look-around."""
 
 from siftlake.functions.text import DEFINITION_KEYWORDS, SQL_DEFINITIONS, STOPWORDS
-from siftlake.operators.index import B, DIMS, K1
+from siftlake.operators.index import K1, B
+from siftlake.operators.profile import DIMS
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
