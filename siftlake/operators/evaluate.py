@@ -71,8 +71,9 @@ def coverage_curve(results: DataFrame, targets: DataFrame, tokens: Column | None
 def recall_at(curve: DataFrame, targets: DataFrame, budgets: list[int]) -> DataFrame:
     """Mean recall within each token budget over all queries with targets."""
     wanted = targets.groupBy("query_id").agg(F.count("*").alias("n"))
-    each = wanted.crossJoin(F.broadcast(curve.sparkSession.createDataFrame([(b,) for b in budgets], "budget bigint")))
-    reached = curve.crossJoin(F.broadcast(curve.sparkSession.createDataFrame([(b,) for b in budgets], "budget bigint"))).filter("tokens <= budget")
+    every = F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets]))
+    each = wanted.withColumn("budget", every)
+    reached = curve.withColumn("budget", every).filter("tokens <= budget")
     best = reached.groupBy("query_id", "budget").agg(F.max("covered").alias("covered"))
     joined = each.join(best, ["query_id", "budget"], "left")
     return joined.groupBy("budget").agg(F.avg(F.coalesce("covered", F.lit(0)) / F.col("n")).alias("recall"))
