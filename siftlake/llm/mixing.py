@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.bytetokens import scan
@@ -198,8 +198,8 @@ def mix(
         "source string, target_share double, max_repeats int, tokens bigint, capacity bigint, target_tokens double, expected_tokens double",
     )
     report = base.join(drawn, "source", "left").fillna(0, ["drawn_tokens"])
-    whole = report.agg(F.sum("drawn_tokens").alias("_d"))
-    report = report.crossJoin(F.broadcast(whole)).withColumn("reached_share", F.coalesce(F.col("drawn_tokens") / F.nullif(F.col("_d"), F.lit(0)), F.lit(0.0))).drop("_d")
+    whole = F.sum("drawn_tokens").over(Window.partitionBy())  # the report has a row per target
+    report = report.withColumn("reached_share", F.coalesce(F.col("drawn_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)))
     return draws, report
 
 
