@@ -14,7 +14,6 @@ the layout of the lines.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ SHARED_LEAVES = 0.5
 LEAST_LEAVES = 3
 #: Fewer lines than this can look uniform by chance.
 LAYOUT_LINES = 12
+#: Lines after which records of a program repeat, at most.
+MOST_PERIOD = 6
 #: Deeper directories are taken together.
 MOST_LEVELS = 40
 #: Lines on which a head comment may stand.
@@ -50,7 +51,8 @@ _GENERATED = re.compile(
     r"|automatisch (?:erzeugt|generiert)|g[eé]n[eé]r[eé] automatiquement|generado autom[aá]ticamente|\bregenerate with\b",
     re.I,
 )
-_WORD, _NUMBER, _SPACE = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d+"), re.compile(r"\s+")
+_WORD, _NUMBER, _SPACE = re.compile(r"[A-Za-z_]\w*"), re.compile(r"-?\d+\w*"), re.compile(r"\s+")
+_STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
 _VALUES, _VALUE = re.compile(r"[0-9a-fA-FxX.,;\[\](){}\s+-]*"), re.compile(r"0[xX][0-9a-fA-F]+|\d+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _START = re.compile(r"[\w.\s]*=\s*(?=[\[({])")
@@ -65,9 +67,19 @@ def _is_data(line: str) -> bool:
     return bool(_VALUES.fullmatch(body)) and len(_VALUE.findall(body)) >= 4
 
 
+def _is_periodic(lines: list[str]) -> bool:
+    """Whether the shapes of the lines (words, numbers and strings made alike) recur at one
+    distance of at most MOST_PERIOD lines nearly everywhere: records written by a program."""
+    text = _STRING.sub("s", "\n".join(x.strip() for x in lines))
+    shapes = _NUMBER.sub("0", _WORD.sub("w", text)).split("\n")
+    return any(
+        sum(a == b for a, b in zip(shapes, shapes[p:])) >= 0.85 * (len(shapes) - p) > 0 for p in range(1, min(MOST_PERIOD, len(shapes) // 2) + 1)
+    )
+
+
 def _features(text: str) -> tuple:
-    """Lines, characters, characters of data lines, lines of a chunk with only three shapes
-    of line, whether the head says generated, and the hashes of the leaves."""
+    """Lines, characters, characters of data lines, lines of a chunk whose layout
+    recurs, whether the head says generated, and the hashes of the leaves."""
     import xxhash
 
     raw = [x for x in text.split("\n") if x and not x.isspace()]
@@ -75,8 +87,7 @@ def _features(text: str) -> tuple:
         return 0, 0, 0, 0, False, []
     chars = sum(map(len, raw))
     data = sum(len(x) for x in raw if len(x) > 8 and _is_data(x))
-    shapes = Counter(_NUMBER.sub("0", _WORD.sub("w", "\n".join(x.strip() for x in raw))).split("\n"))
-    uniform = len(raw) if sum(c for _, c in shapes.most_common(3)) >= 0.9 * len(raw) else 0
+    uniform = len(raw) if _is_periodic(raw) else 0
     head = any(_COMMENT.match(x) and _GENERATED.search(x) for x in raw[:HEAD_LINES])
     lines = [s for x in raw if len(s := _SPACE.sub(" ", x.strip())) > 3]
     h = np.array([xxhash.xxh64_intdigest(s) for s in lines], dtype=np.uint64)
