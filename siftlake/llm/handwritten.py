@@ -7,8 +7,8 @@ no longer has the hash of the original file, but keeps most of its leaves. Node
 sums of their children's hashes, so a directory is one row per task before the shuffle,
 however many files it has; names play no part, as copies are often renamed.
 
-Generated and minified files and data blobs are told by the comment at the head and by
-the layout of the lines.
+Generated and minified files and data blobs are told by a comment at the head or the foot
+of the file and by the layout of the lines.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ LAYOUT_LINES = 12
 MOST_PERIOD = 6
 #: Deeper directories are taken together.
 MOST_LEVELS = 40
-#: Lines on which a head comment may stand.
-HEAD_LINES = 6
+#: First lines on which a marker of a generator may stand, and last lines.
+HEAD_LINES, FOOT_LINES = 6, 2
 
 VENDOR_DIRS = (
     "vendor", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "external", "extern",
@@ -79,28 +79,29 @@ def _is_periodic(lines: list[str]) -> bool:
 
 def _features(text: str) -> tuple:
     """Lines, characters, characters of data lines, lines of a chunk whose layout
-    recurs, whether the head says generated, and the hashes of the leaves."""
+    recurs, whether its first or last lines say generated, and the hashes of the leaves."""
     import xxhash
 
     raw = [x for x in text.split("\n") if x and not x.isspace()]
     if not raw:
-        return 0, 0, 0, 0, False, []
+        return 0, 0, 0, 0, False, False, []
     chars = sum(map(len, raw))
     data = sum(len(x) for x in raw if len(x) > 8 and _is_data(x))
     uniform = len(raw) if _is_periodic(raw) else 0
-    head = any(_COMMENT.match(x) and _GENERATED.search(x) for x in raw[:HEAD_LINES])
+    marked = [bool(_COMMENT.match(x) and _GENERATED.search(x)) for x in raw]
+    head, foot = any(marked[:HEAD_LINES]), any(marked[-FOOT_LINES:])
     lines = [s for x in raw if len(s := _SPACE.sub(" ", x.strip())) > 3]
     h = np.array([xxhash.xxh64_intdigest(s) for s in lines], dtype=np.uint64)
     if len(h) >= LEAF_LINES:
         h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
-    return len(raw), chars, data, uniform, head, h.astype(np.int64).tolist()
+    return len(raw), chars, data, uniform, head, foot, h.astype(np.int64).tolist()
 
 
-_FEATURES = "chunk_id string, path string, slot int, lines bigint, chars bigint, data bigint, uniform bigint, head boolean, leaves array<bigint>"
+_FEATURES = "chunk_id string, path string, slot int, lines bigint, chars bigint, data bigint, uniform bigint, head boolean, foot boolean, leaves array<bigint>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    kinds = [*[pa.int64()] * 4, pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
     names = [x.strip().split(" ")[0] for x in _FEATURES.split(",")]
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
@@ -121,7 +122,7 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
         "content",
     )
     rows = placed.mapInArrow(_extract, _FEATURES)
-    return one_record(rows, "chunk_id", ["path", "slot", "lines", "chars", "data", "uniform", "head", "leaves"])
+    return one_record(rows, "chunk_id", ["path", "slot", "lines", "chars", "data", "uniform", "head", "foot", "leaves"])
 
 
 def _node(lo: str = "lo", hi: str = "hi") -> list:
@@ -171,7 +172,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     rows = scratch_table(chunk_features(chunks), "features")
     files = rows.groupBy("path").agg(
         F.sum("lines").alias("lines"), F.sum("chars").alias("chars"), F.sum("data").alias("data_chars"), F.sum("uniform").alias("uniform"),
-        F.max(F.col("head") & (F.col("slot") == 0)).alias("head"), F.sum(F.size("leaves")).alias("leaves"),
+        (F.max(F.col("head") & (F.col("slot") == 0)) | F.max_by("foot", "slot")).alias("head"), F.sum(F.size("leaves")).alias("leaves"),
         F.bit_xor(F.xxhash64("slot", "leaves")).alias("hash"),
     )
     files = scratch_table(files, "files")

@@ -104,10 +104,11 @@ def test_classes_of_files(spark):
     files |= own
     files["r1/gen/a.go"] = "// Code generated by tool v1.2. DO NOT EDIT.\n" + _function(rnd, 20)
     files["r1/gen/b.py"] = "#!/usr/bin/env python\n# This file was produced automatically by x.\n" + _function(rnd, 20)
+    files["r1/gen/c.go"] = _function(rnd, 60) + "\n// Code generated by tool v1.2. DO NOT EDIT."
     files["r1/gen/ids.js"] = "\n".join(f"NAME_{i}_ID = {i};" for i in range(60))
     files["r2/src/banner.py"] = '# Writes the banner.\nBANNER = "Code generated by x. DO NOT EDIT."\n' + _function(rnd, 20)
     files["r2/src/note.py"] = "# order: do not edit the order, it matters\n" + _function(rnd, 20)
-    files["r2/src/about.py"] = _function(rnd, 20) + "\n# mentions auto-generated code late in the file"
+    files["r2/src/about.py"] = _function(rnd, 20) + "\n# mentions auto-generated code late in the file\n" + _function(rnd, 20)
     files["r1/js/x.min.js"] = "function a(b){return b}" * 80
     files["r1/js/longline.js"] = _function(rnd, 30) + '\nx = "' + "word " * 60 + '"'
     files["r3/src/blob.py"] = "DATA = [\n" + "\n".join(", ".join(hex(rnd.randrange(256)) for _ in range(12)) + "," for _ in range(40)) + "\n]"
@@ -124,7 +125,7 @@ def test_classes_of_files(spark):
     got = {r["file_path"]: r for r in classify_files(df).collect()}
     flagged = lambda kind: {p for p, r in got.items() if r[kind]}
     assert flagged("vendored") == {p for p in files if "/third/" in p} | {"r3/src/renamed.py", "r3/vendor/tiny.py"}
-    assert flagged("generated") == {"r1/gen/a.go", "r1/gen/b.py", "r1/gen/ids.js"} | (flagged("data") & flagged("generated"))
+    assert flagged("generated") == {"r1/gen/a.go", "r1/gen/b.py", "r1/gen/c.go", "r1/gen/ids.js"} | (flagged("data") & flagged("generated"))
     assert flagged("data") == {"r3/src/blob.py", "r3/src/b64.rb"}
     assert flagged("minified") == {"r1/js/x.min.js"}
     assert set(got) == set(files) | {"r9/x.py", "r9/y.py", "plain.py"}
