@@ -38,10 +38,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def lexical_scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """BM25 scores above 0. ``allowed`` restricts the chunks, never the statistics."""
+    """BM25 scores above 0. ``allowed`` restricts the chunks, never the statistics.
+
+    The postings of the queries' terms are laid out by chunk before the queries meet them:
+    what is shuffled does not grow with the number of queries, as a chunk's score for every
+    query is then summed up where its postings lie.
+    """
     asked = query_terms(queries).withColumnRenamed("tf", "qtf")
-    hits = index.postings if allowed is None else index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    scored = hits.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("impact")).alias("score"))
+    hits = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    if allowed is not None:
+        hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    placed = hits.select("term", "chunk_id", "impact").repartition("chunk_id")
+    scored = placed.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("impact")).alias("score"))
     return scored.filter("score > 0")
 
 

@@ -221,7 +221,24 @@ fw AS (SELECT DISTINCT file_path, lower(w) AS word FROM (SELECT file_path, unnes
 gh AS (SELECT query_id, file_path, count(*) AS hits FROM kw JOIN fw USING (word) GROUP BY ALL),
 grepped AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, file_path) AS INTEGER) AS rank FROM gh) WHERE rank <= 50)"""
 
+_DIM = "dim(ext, language, content_type) AS (VALUES " + ", ".join(f"('{s}', '{lang}', '{k}')" for s, lang, k in language_rows()) + ")"
+
 ORACLE = {
+    "ext_by_content": f"WITH {_DIM} SELECT content_type, list_sort(list(DISTINCT ext)) AS exts FROM dim GROUP BY content_type",
+    "chunk_lines": r"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(text, '[\r\x0b\f\x{85}\x{2028}\x{2029}]', ' ', 'g') AS text FROM documents WHERE regexp_matches(text, '\S')),
+l AS (SELECT path, text, list_transform(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), lambda x: length(x)) AS ns FROM d),
+-- i lines are read, s and e bound the open chunk; (cs, ce) is the chunk that this line closed
+step(path, i, s, e, slot, cs, ce) AS (
+  SELECT path, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM l
+  UNION ALL
+  SELECT step.path, i + 1, CASE WHEN i < len(ns) AND (e - s + ns[i + 1] <= 750 OR e = s) THEN s ELSE e END, CASE WHEN i < len(ns) THEN e + ns[i + 1] ELSE e END,
+    CASE WHEN i < len(ns) AND (e - s + ns[i + 1] <= 750 OR e = s) THEN slot ELSE slot + 1 END,
+    CASE WHEN i < len(ns) AND (e - s + ns[i + 1] <= 750 OR e = s) THEN NULL ELSE s END, CASE WHEN i < len(ns) AND (e - s + ns[i + 1] <= 750 OR e = s) THEN NULL ELSE e END
+  FROM step JOIN l USING (path) WHERE i <= len(ns)),
+c AS (SELECT path, slot - 1 AS slot, text[cs + 1:ce] AS content, text[1:cs] AS before FROM step JOIN l USING (path) WHERE cs IS NOT NULL AND ce > cs)
+SELECT path, slot, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS start_line,
+  CAST(length(before) - length(replace(before, chr(10), '')) + 1 + length(content[1:length(content) - 1]) - length(replace(content[1:length(content) - 1], chr(10), '')) AS INTEGER) AS end_line,
+  CAST(length(content) AS INTEGER) AS chars, md5(content) AS digest FROM c""",
     "savings_buckets": f"""WITH {_LOG}, p AS (SELECT unnest(['Today', 'Last 7 days', 'All time']) AS period),
 s AS (SELECT period, count(day) AS calls, coalesce(sum(snippet_chars), 0)::BIGINT AS snippet_chars, coalesce(sum(file_chars), 0)::BIGINT AS file_chars,
  coalesce(sum(greatest(0, file_chars - snippet_chars)), 0)::BIGINT AS saved_chars
@@ -257,9 +274,8 @@ SELECT count(*) AS n_paired, round(1 - quantile_cont(x / y, 0.5), 9) AS median_r
 shown AS (SELECT query_id, count(*) AS results, sum(length(array_to_string(string_split(content, chr(10))[1:10], chr(10)))) AS snippet_chars FROM five GROUP BY query_id),
 read AS (SELECT query_id, sum(size) AS file_chars FROM (SELECT DISTINCT query_id, file_path FROM five) JOIN sizes USING (file_path) GROUP BY query_id)
 SELECT 'search' AS call, count(*) AS records, CAST(sum(results) AS BIGINT) AS results, CAST(sum(snippet_chars) AS BIGINT) AS snippet_chars, CAST(sum(coalesce(file_chars, 0)) AS BIGINT) AS file_chars FROM shown LEFT JOIN read USING (query_id)""",
-    "language_of_files": "WITH dim(ext, language, content_type) AS (VALUES "
-    + ", ".join(f"('{s}', '{lang}', '{k}')" for s, lang, k in language_rows())
-    + r"""), f AS (SELECT DISTINCT path, lower(regexp_extract(string_split(path, '/')[-1], '^.+(\.[^.]+)$', 1)) AS ext FROM files)
+    "language_of_files": f"WITH {_DIM}"
+    + r""", f AS (SELECT DISTINCT path, lower(regexp_extract(string_split(path, '/')[-1], '^.+(\.[^.]+)$', 1)) AS ext FROM files)
 SELECT path, f.ext AS ext, language AS by_suffix, content_type FROM f LEFT JOIN dim ON f.ext = dim.ext""",
     "file_states": r"""SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 1000000 THEN 'too_large' WHEN strlen(coalesce(text, '')) < 128 AND NOT regexp_matches(coalesce(text, ''), '\S') THEN 'empty' ELSE 'valid' END AS status FROM documents""",
     "git_urls": """WITH r AS (SELECT DISTINCT repo FROM tasks), s AS (SELECT unnest([repo, 'https://example.org/' || repo, 'git@example.org:x/' || repo, '/src/' || repo]) AS source FROM r)
