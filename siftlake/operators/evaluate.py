@@ -106,3 +106,25 @@ def keyword_ranking(queries: DataFrame, chunks: DataFrame, stopwords: list[str],
     hits = asked.join(found, "word").groupBy("query_id", "file_path").agg(F.count("*").alias("hits"))
     by = Window.partitionBy("query_id").orderBy(F.desc("hits"), "file_path")
     return hits.withColumn("rank", F.row_number().over(by))
+
+
+#: Weight of the semantic side (None: by query) and whether results are reranked.
+MODES = {f"{name}{'+ranking' if rerank else ''}": (alpha, rerank) for name, alpha in (("lexical", 0.0), ("semantic", 1.0), ("auto", None), ("even", 0.5)) for rerank in (False, True)}
+
+
+def mode_quality(index, queries: DataFrame, targets: DataFrame, k: int = 10, modes: dict | None = None) -> DataFrame:
+    """``mode, ndcg, queries``: mean quality of every way to combine the retrievers.
+
+    The rankings are united first, so all modes are judged in one pass.
+    """
+    from siftlake.operators.search import search
+
+    picked = modes or MODES
+    out = None
+    for number, (alpha, rerank) in enumerate(picked.values()):
+        # One query table for all modes: the mode becomes part of the query's number.
+        part = search(index, queries, k=k, alpha=alpha, rerank=rerank).withColumn("query_id", F.col("query_id") * len(picked) + number)
+        out = part if out is None else out.unionByName(part)
+    copies = targets.withColumn("_m", F.explode(F.array(*[F.lit(i) for i in range(len(picked))]))).withColumn("query_id", F.col("query_id") * len(picked) + F.col("_m")).drop("_m")
+    names = F.element_at(F.array(*[F.lit(n) for n in picked]), (F.col("query_id") % len(picked) + 1).cast("int"))
+    return ndcg(out, copies, k).groupBy(names.alias("mode")).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 from siftlake.operators import index as I
 from siftlake.operators import search as S
+from siftlake.operators.evaluate import mode_quality, task_targets
 from siftlake.plans import sql as Q
 from siftlake.session import scratch_table, table
 
@@ -206,12 +207,19 @@ def merge_union(spark, sf_dir):
     return merged.postings.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("impact"), 6).alias("impact"))
 
 
+def ablation_modes(spark, sf_dir):
+    """Mean NDCG of every combination of retrievers, with and without reranking."""
+    asked = _tasks(spark, sf_dir)
+    targets = task_targets(table(spark, sf_dir, "tasks")).join(asked.select("query_id"), "query_id", "left_semi")
+    return mode_quality(_index(spark, sf_dir), asked, scratch_table(targets, "targets"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokenize, enrich_bm25, term_freq, doc_freq, doc_len, impacts, bm25_topk, bm25_filtered, semantic_topk, cosine_topk, cosine_topk_filtered, find_related,
         query_analysis, split_identifier, path_penalty, rrf_fused, hybrid_fused, coherence_boost, path_boost, definition_boost, hybrid_reranked, saturation_decay,
-        resolve_chunk, snippets, index_stats, manifest_diff, incremental_postings, merge_union,
+        resolve_chunk, snippets, index_stats, manifest_diff, incremental_postings, merge_union, ablation_modes,
     )
 }
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch_roots: set[str] = set()
 
 
 def build_session(app: str = "siftlake", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -71,8 +72,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone already; the folder is left to the cluster's housekeeping
+        pass
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/siftlake/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own scratch folder, which is removed at exit."""
+    root = f"{shared_dir(spark)}/siftlake-{spark.sparkContext.applicationId}"
+    if root not in _scratch_roots:
+        _scratch_roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def scratch_table(df: DataFrame, label: str = "table", **options: str) -> DataFrame:

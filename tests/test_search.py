@@ -138,3 +138,23 @@ def test_manifest_diff(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], schema)
     new = spark.createDataFrame([("a", 1), ("b", 1), ("d", 4)], schema)
     assert {r["path"]: r["state"] for r in I.manifest_diff(old, new).collect()} == {"a": "reuse", "b": "changed", "c": "deleted", "d": "new"}
+
+
+def test_arriving_files_keep_the_index(spark, corpus, tmp_path):
+    from siftlake.streaming.usage import keep_index
+
+    held = {"index": None}
+
+    def apply(batch, number):
+        paths = batch.select(F.col("file_path").alias("path"))
+        held["index"] = I.build_index(batch) if held["index"] is None else I.update_index(held["index"], batch, paths)
+        held["index"] = held["index"].cached()
+        held["index"].postings.count()
+
+    at = str(tmp_path / "in")
+    corpus.filter("file_path <> 'src/dates.go'").coalesce(1).write.parquet(at)
+    for _ in range(2):
+        stream = spark.readStream.schema(corpus.schema).parquet(at)
+        keep_index(stream, apply, str(tmp_path / "state")).awaitTermination()
+        corpus.filter("file_path = 'src/dates.go'").coalesce(1).write.mode("append").parquet(at)
+    assert _postings(held["index"]) == _postings(I.build_index(corpus))
