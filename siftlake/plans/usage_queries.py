@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from siftlake.operators.index import prepare_chunks
 from siftlake.operators.search import top_k
 from siftlake.plans import sql as Q
 from siftlake.plans.search_queries import _tasks
-from siftlake.session import scratch_table, table
+from siftlake.session import scratch_path, scratch_table, table
 from siftlake.sources.files import file_status
 from siftlake.sources.ignore import is_ignored, parse
 from siftlake.sources.languages import language_rows, language_table, suffix, with_language
@@ -51,9 +50,9 @@ def usage_daily(spark, sf_dir):
 
 def usage_stream(spark, sf_dir):
     """The same by day, through the log sink, the file stream and a streaming aggregation."""
-    at = tempfile.mkdtemp(prefix="siftlake-log-")
+    at = scratch_path(spark, "log")
     U.write_log(_log(spark, sf_dir).select("ts", "call", "results", "snippet_chars", "file_chars"), f"{at}/log")
-    name = f"usage_{abs(hash(at))}"
+    name = "usage_" + at.rsplit("-", 1)[-1]
     run = daily_usage(stream_log(spark, f"{at}/log")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "call", "calls", "snippet_chars", "file_chars", "saved_chars")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.operators.chunking import CHUNK_CHARS, chunk_syntax
 from siftlake.operators.index import Index, build_index, load_index, manifest_diff, merge_indexes, unique_labels, update_index
+from siftlake.session import shared_dir
 from siftlake.sources.files import cache_key, cache_root, clone, list_tree, read_files
 from siftlake.sources.urls import is_git_url
 
@@ -76,7 +77,11 @@ class Snapshots:
             at = self._current(home)
             index = self._load(at, source) if at else None
             if index is None:
-                with clone(source, ref) as tree:
+                shared = shared_dir(self.spark)
+                parent = shared.removeprefix("file://") if shared.startswith(("file://", "/")) else None
+                if parent:
+                    os.makedirs(parent, exist_ok=True)
+                with clone(source, ref, parent) as tree:
                     index = self._build(home, source, tree, kinds)
         else:
             index = self._build(home, source, source, kinds)

@@ -112,9 +112,12 @@ def skipped_large(files: DataFrame, show: int = 5) -> str:
     return f"skipped {len(names) + more} large files: {', '.join(names)}{' ...' if more else ''}" if names else ""
 
 
-def clone(url: str, ref: str | None = None) -> tempfile.TemporaryDirectory:
-    """A shallow clone in a temporary directory, to be closed by the caller."""
-    at = tempfile.TemporaryDirectory(prefix="siftlake-git-")
+def clone(url: str, ref: str | None = None, parent: str | None = None) -> tempfile.TemporaryDirectory:
+    """A shallow clone in a temporary directory, to be closed by the caller.
+
+    ``parent`` should be a folder that all executors reach, as they read the files.
+    """
+    at = tempfile.TemporaryDirectory(prefix="siftlake-git-", dir=parent)
     command = ["git", "clone", "--quiet", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, at.name]
     try:
         subprocess.run(command, check=True, capture_output=True, timeout=GIT_TIMEOUT_S)
