@@ -11,7 +11,7 @@ of the record, and the shares reached are reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.bytetokens import scan
+from siftlake.llm.bytetokens import scan, token_counts
 from siftlake.llm.packing import sizes
 from siftlake.session import scratch_table
 
@@ -128,8 +128,9 @@ def fit_rates(members: DataFrame, targets: np.ndarray, weight: np.ndarray, steps
 
 
 def mix(
-    df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", unlabelled: bool = True, steps: int = STEPS
-) -> tuple[DataFrame, DataFrame]:
+    df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", unlabelled: bool = True, steps: int = STEPS,
+    count: Callable[[pa.Array], np.ndarray] = token_counts,
+) -> tuple[DataFrame, DataFrame]:
     """Draws records to the shares of ``targets`` (source, target_share, max_repeats).
 
     Returns (draws, report). ``draws``: ``key, source, tokens, rate, copies`` of every record
@@ -142,6 +143,7 @@ def mix(
     Sources compare without case and outer blanks; records of sources without a target are
     counted in the total and never drawn; texts that are null have no tokens; targets
     without records reach 0. Target sources must be few (they are held by the driver).
+    ``count`` measures texts; packing.public_tokenizer(path) does so by a tokenizer file.
     """
     spark = df.sparkSession
     named = df.select(key, text, source_name(F.col(source)).alias("source"))
@@ -149,7 +151,7 @@ def mix(
     names = [r["source"] for r in wanted]
     caps = {r["source"]: float(max(r["max_repeats"] or 0, 0)) for r in wanted}
     k = len(names)
-    sized = scratch_table(sizes(named, key, text, ["source"]).dropDuplicates([key]), "sized")
+    sized = scratch_table(sizes(named, key, text, ["source"], count).dropDuplicates([key]), "sized")
     on_hand = {r["source"]: r["t"] for r in sized.filter(F.col("source").isNotNull()).groupBy(F.when(F.col("source").isin(names), F.col("source")).alias("source")).agg(F.sum("tokens").alias("t")).collect()}
     total = float(sum(v or 0 for v in on_hand.values()))
 
