@@ -148,3 +148,16 @@ def test_task_files(spark, tmp_path):
     row = dict(file_path="a.py", start_line=1, end_line=3, score=0.5, content="x\ny\nz")
     assert json.loads(results_json("q", [row], 2))["results"] == [{"location": "a.py:1-3", "score": 0.5, "content": "x\ny"}]
     assert "content" not in json.loads(results_json("q", [row], 0))["results"][0]
+
+
+def test_source_tree(spark, tmp_path):
+    from siftlake.sources.tree import register
+
+    _tree(tmp_path, {"a.py": "x = 1\n", "b/c.go": "package c", "b/blank.py": " ", "docs/r.md": "# hi", "skip/d.py": "y", ".gitignore": "skip/"})
+    register(spark)
+    got = spark.read.format("source_tree").option("content", "code,docs").load(str(tmp_path))
+    assert {(r["path"], r["language"], r["status"], r["text"]) for r in got.collect()} == {
+        ("a.py", "python", "valid", "x = 1\n"), ("b/c.go", "go", "valid", "package c"), ("b/blank.py", "python", "empty", " "), ("docs/r.md", "markdown", "valid", "# hi"),
+    }
+    names = spark.read.format("source_tree").option("text", "false").option("ignore", "b/").load(str(tmp_path))
+    assert [(r["path"], r["text"]) for r in names.collect()] == [("a.py", None)]
