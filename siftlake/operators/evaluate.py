@@ -33,6 +33,14 @@ def span_hits(results: DataFrame, targets: DataFrame) -> DataFrame:
     return r.join(t, ["query_id", "name"]).filter(tail & overlap).select("query_id", "target", "rank")
 
 
+def covered_queries(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """``query_id`` of every query of which some file covers a target, whatever its rank."""
+    name = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+    asked = targets.select("query_id", name("path").alias("_n")).distinct()
+    near = files.withColumn("_n", name("file_path")).join(asked, "_n").withColumn("rank", F.lit(1))
+    return span_hits(near, targets).select("query_id").distinct()
+
+
 def ndcg(results: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """``query_id, ndcg`` of every query with a target.
 

@@ -104,22 +104,22 @@ def tokens_first_hit(spark, sf_dir):
     return E.first_hits(_curve(spark, sf_dir), _targets(spark, sf_dir), 32_000)
 
 
-def _keyword_files(spark, sf_dir):
-    chunks = prepare_chunks(table(spark, sf_dir, "chunks"))
-    ranked = E.keyword_ranking(_tasks(spark, sf_dir), chunks, STOPWORDS).filter("rank <= 50")
-    whole = chunks.groupBy("file_path").agg(F.sum(F.length("content")).alias("chars"), F.lit(1).alias("start_line"), F.max("end_line").alias("end_line"))
-    return ranked, whole
-
-
 def grep_keyword_rank(spark, sf_dir):
-    return _keyword_files(spark, sf_dir)[0].select("query_id", "rank", "file_path", "hits")
+    """Every file that has a keyword of the query, ranked."""
+    chunks = prepare_chunks(table(spark, sf_dir, "chunks"))
+    return E.keyword_ranking(_tasks(spark, sf_dir), chunks, STOPWORDS).select("query_id", "rank", "file_path", "hits")
 
 
 def paired_reduction(spark, sf_dir):
-    """Tokens to the first hit: ranked chunks against reading whole files by keyword."""
-    ranked, whole = _keyword_files(spark, sf_dir)
-    targets = _targets(spark, sf_dir)
-    files = ranked.join(whole, "file_path")
+    """Tokens to the first hit: ranked chunks against reading whole files by keyword.
+
+    The first hit is looked for in all ranked files. Queries of which no file covers a
+    target are never found, so their files need no ranking.
+    """
+    chunks, targets = prepare_chunks(table(spark, sf_dir, "chunks")), _targets(spark, sf_dir)
+    whole = chunks.groupBy("file_path").agg(F.sum(F.length("content")).alias("chars"), F.lit(1).alias("start_line"), F.max("end_line").alias("end_line"))
+    asked = _tasks(spark, sf_dir).join(E.covered_queries(whole, targets), "query_id", "left_semi")
+    files = E.keyword_ranking(asked, chunks, STOPWORDS).join(whole, "file_path")
     other = E.first_hits(E.coverage_curve(files, targets, F.expr("chars div 4")), targets, 32_000)
     out = E.paired_reduction(E.first_hits(_curve(spark, sf_dir), targets, 32_000), other)
     return out.select("n_paired", *[F.round(c, 9).alias(c) for c in ("median_reduction", "mean_reduction", "better")])
