@@ -2,9 +2,10 @@
 
 A bigram model with modified Kneser-Ney smoothing is counted by Spark over all documents:
 each task counts the pairs of its own texts, and only counts are shuffled. The model is
-kept as arrays sorted by hash that every task holds; rare pairs beyond a bound are
-pruned and their mass goes to the lower order. A document's perplexity is set against the
-bands of its language; repetitive texts fall below, garbage above.
+kept as arrays sorted by hash that every task holds. Beyond a bound every task holds the
+logarithms of the most frequent pairs only, and the rarer ones of its texts are joined from
+the written tables, so any size gives the unpruned model. A document's perplexity is set
+against the bands of its language; repetitive texts fall below, garbage above.
 
 Perplexity under a model of the whole collection cannot tell *how much* of a text repeats
 itself, so the same pass counts a document's runs of eight tokens and how many of them
@@ -25,7 +26,7 @@ from siftlake.llm import bytetokens
 from siftlake.llm.bytetokens import Tokens, scan
 from siftlake.session import scratch_table
 
-#: Pairs and words the model may hold (12 to 20 bytes each); rarer ones back off.
+#: Pairs and words a task may hold (12 to 20 bytes each); rarer ones are joined.
 HELD_PAIRS = 2_000_000
 HELD_WORDS = 1_000_000
 RUN = 8
@@ -135,34 +136,135 @@ def _sorted(table: DataFrame, columns: list[str]) -> list[np.ndarray]:
     return [arrays[0].view(np.uint64)[order], *[a[order] for a in arrays[1:]]]
 
 
-def fit_model(docs: DataFrame, text: str, held_pairs: int = HELD_PAIRS, held_words: int = HELD_WORDS) -> PairModel:
-    """Counts all texts and holds the model, at most ``held_pairs`` and ``held_words`` entries."""
+@dataclass
+class Counts:
+    """The whole model as written tables: ``pairs`` (v, w, c), ``contexts`` (v, total, rest), ``words`` (w, kinds, share)."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    unknown: float
+    discount: np.ndarray
+
+
+def _rest(least: int, discount: np.ndarray) -> list:
+    """``total`` and ``rest`` of a context if pairs below ``least`` are not kept."""
+    taken = F.when(F.col("c") < least, F.col("c")).when(F.col("c") == 1, discount[1]).when(F.col("c") == 2, discount[2]).otherwise(discount[3])
+    return [F.sum("c").cast("double").alias("total"), (F.sum(taken.cast("double")) / F.sum("c")).alias("rest")]
+
+
+def count_model(docs: DataFrame, text: str) -> Counts:
+    """Counts all texts; nothing is left out."""
     pairs = docs.select(text).mapInArrow(_count_pairs, "v bigint, w bigint, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
     pairs = scratch_table(pairs, "pairs")
     n = [0, *pairs.agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()]
     y = n[1] / max(n[1] + 2 * n[2], 1)
     discount = np.array([0.0, *[min(i, max(0.0, i - (i + 1) * y * n[i + 1] / max(n[i], 1))) for i in (1, 2, 3)]])
-    least = _cutoff(pairs, "c", held_pairs)
-    taken = F.when(F.col("c") < least, F.col("c")).when(F.col("c") == 1, discount[1]).when(F.col("c") == 2, discount[2]).otherwise(discount[3])
-    contexts = pairs.groupBy("v").agg(F.sum("c").cast("double").alias("total"), (F.sum(taken.cast("double")) / F.sum("c")).alias("rest"))
-    words = pairs.groupBy("w").agg(F.count("*").alias("kinds"))
+    words = scratch_table(pairs.groupBy("w").agg(F.count("*").alias("kinds")), "words")
     size = words.agg(F.count("*"), F.sum("kinds")).first()
     vocabulary, kinds = size[0] or 0, size[1] or 1
     # Absolute discounting of the continuation counts; what it frees is shared evenly.
     flat = 0.5 * vocabulary / kinds / (vocabulary + 1)
     words = words.withColumn("share", (F.col("kinds") - 0.5) / kinds + flat)
-    contexts = scratch_table(contexts, "contexts")
-    c_least, w_least = _cutoff(contexts.withColumn("n", F.col("total").cast("bigint")), "n", held_words), _cutoff(words, "kinds", held_words)
-    pair_table = pairs.filter(F.col("c") >= least).select("v", "w", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
-    v, w, c = (pair_table.column(x).to_numpy() for x in ("v", "w", "c"))
+    contexts = scratch_table(pairs.groupBy("v").agg(*_rest(1, discount)), "contexts")
+    return Counts(pairs, contexts, words, max(flat, 1e-9), discount)
+
+
+def _held_pairs(pairs: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pair hashes and the column ``value`` of these pairs."""
+    got = pairs.select("v", "w", value).toArrow()
+    v, w, x = (got.column(c).to_numpy() for c in ("v", "w", value))
     h = _pair_hash(v.view(np.uint64), w.view(np.uint64))
     order = np.argsort(h, kind="stable")
+    return h[order], x[order]
+
+
+def hold_model(counts: Counts, held_pairs: int = HELD_PAIRS, held_words: int = HELD_WORDS) -> PairModel:
+    """The counts as arrays, at most ``held_pairs`` and ``held_words`` entries; what is rarer backs off."""
+    pairs, contexts, words = counts.pairs, counts.contexts, counts.words
+    least = _cutoff(pairs, "c", held_pairs)
+    if least > 1:
+        contexts = scratch_table(pairs.groupBy("v").agg(*_rest(least, counts.discount)), "contexts")
+    c_least, w_least = _cutoff(contexts.withColumn("n", F.col("total").cast("bigint")), "n", held_words), _cutoff(words, "kinds", held_words)
+    h, c = _held_pairs(pairs.filter(F.col("c") >= least).withColumn("c", F.least("c", F.lit(2**31 - 1)).cast("int")), "c")
     return PairModel(
-        h[order], c[order], *_sorted(contexts.filter(F.col("total") >= c_least), ["v", "total", "rest"]),
-        *_sorted(words.filter(F.col("kinds") >= w_least), ["w", "share"]), unknown=max(flat, 1e-9), discount=discount,
+        h, c, *_sorted(contexts.filter(F.col("total") >= c_least), ["v", "total", "rest"]),
+        *_sorted(words.filter(F.col("kinds") >= w_least), ["w", "share"]), unknown=counts.unknown, discount=counts.discount,
     )
 
 
+def fit_model(docs: DataFrame, text: str, held_pairs: int = HELD_PAIRS, held_words: int = HELD_WORDS) -> PairModel:
+    """Counts all texts and holds the model, at most ``held_pairs`` and ``held_words`` entries."""
+    return hold_model(count_model(docs, text), held_pairs, held_words)
+
+
+def fits(counts: Counts, held_pairs: int, held_words: int) -> bool:
+    return counts.pairs.count() <= held_pairs and max(counts.contexts.count(), counts.words.count()) <= held_words
+
+
+@dataclass
+class PairLogs:
+    """Logarithms of the probabilities of the most frequent pairs, by sorted hash."""
+
+    pair: np.ndarray
+    log: np.ndarray
+
+
+def pair_logs(counts: Counts) -> DataFrame:
+    """``v, w, c, log``: every pair with the natural logarithm that ``PairModel`` gives it."""
+    d = counts.discount
+    off = F.when(F.col("c") == 1, d[1]).when(F.col("c") == 2, d[2]).otherwise(d[3])
+    own = F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total")
+    joined = counts.pairs.join(counts.contexts, "v").join(counts.words.select("w", "share"), "w")
+    return joined.select("v", "w", "c", F.log(F.greatest(own + F.col("rest") * F.col("share"), F.lit(1e-12))).alias("log"))
+
+
+def _asked_pairs(held_b):
+    """Per text its tokens and the logarithms of its held pairs; then a row per pair that is not held."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["t", "v", "w", "n", "log"]
+        for batch in batches:
+            for at, tokens in scan(batch.column(0)):
+                if not len(tokens.start):
+                    continue
+                held: PairLogs = held_b.value
+                name, count = batch.column(1).slice(at, len(tokens.first) - 1).to_numpy(), tokens.counts()
+                v, w = _pairs(tokens)
+                pairs, p_at = np.unique(_pair_hash(v, w), return_inverse=True)
+                logs = PairModel._find(held.pair, pairs, held.log, np.nan)[p_at]
+                open_ = np.isnan(logs)
+                of = np.repeat(np.arange(len(count)), count)
+                sums = np.bincount(of, weights=np.where(open_, 0.0, logs), minlength=len(count))
+                some = count > 0
+                none = pa.nulls(int(some.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(name[some]), none, none, pa.array(count[some].astype(np.int64)), pa.array(sums[some])], names=names)
+                if open_.any():
+                    n = int(open_.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(name[of[open_]]), pa.array(v[open_].view(np.int64)), pa.array(w[open_].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], names=names
+                    )
+
+    return go
+
+
+def joined_perplexity(docs: DataFrame, text: str, counts: Counts, held_pairs: int) -> DataFrame:
+    """``t, perplexity`` per different text (``t``: its xxhash64) under the unpruned model.
+
+    The most frequent pairs are looked up in the task; the others are few per text and
+    meet their logarithms in a join.
+    """
+    logs = scratch_table(pair_logs(counts), "logs")
+    least = _cutoff(logs, "c", held_pairs)
+    held_b = docs.sparkSession.sparkContext.broadcast(PairLogs(*_held_pairs(logs.filter(F.col("c") >= least), "log")))
+    asked = docs.select(text, F.xxhash64(text).alias("t")).mapInArrow(_asked_pairs(held_b), "t bigint, v bigint, w bigint, n bigint, log double")
+    asked = scratch_table(asked, "asked")
+    rare = asked.filter("v IS NOT NULL").select("t", "v", "w").join(logs.filter(F.col("c") < least).select("v", "w", "log"), ["v", "w"])
+    parts = asked.filter("v IS NULL").select("t", "n", "log").unionByName(rare.select("t", F.lit(0).cast("bigint").alias("n"), "log"))
+    # Repeated texts add to both sums alike.
+    return parts.groupBy("t").agg(F.exp(-F.sum("log") / F.sum("n")).alias("perplexity"))
+
+
 def repeated_share(tokens: Tokens, run: int = RUN) -> np.ndarray:
     """1 - different / all runs of ``run`` consecutive tokens of each text; 0 without a run."""
     h = tokens.hashes()
@@ -187,15 +289,15 @@ def _measure(model_b, run: int, key: str):
             for at, tokens in scan(batch.column(0)):
                 n, count = len(tokens.first) - 1, tokens.counts()
                 perplexity = np.full(n, np.nan)
-                if len(tokens.start):
+                if len(tokens.start) and model_b is not None:
                     logs = np.append(np.cumsum(model_b.value.log_probability(*_pairs(tokens))), 0.0)
                     upto = np.where(tokens.first > 0, logs[tokens.first - 1], 0.0)
                     some = count > 0
                     perplexity[some] = np.exp(-np.diff(upto)[some] / count[some])
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array(count.astype(np.int64)), pa.array(repeated_share(tokens, run)), pa.array(perplexity, mask=np.isnan(perplexity))],
-                    names=[key, "lang", "tokens", "repeated", "perplexity"],
+                    [part.column(1), part.column(2), part.column(3), pa.array(count.astype(np.int64)), pa.array(repeated_share(tokens, run)), pa.array(perplexity, mask=np.isnan(perplexity))],
+                    names=[key, "lang", "_t", "tokens", "repeated", "perplexity"],
                 )
 
     return go
@@ -212,17 +314,23 @@ def measure_repetition(
     whether its perplexity lies outside. Null languages and ``und`` are one language.
     Null and empty texts have 0 tokens, share 0 and no perplexity and are not rejected;
     texts are taken whole; null keys are left out and repeated keys are one document;
-    no documents, no rows; other columns are ignored.
+    no documents, no rows; other columns are ignored. ``held_pairs`` and ``held_words``
+    bound what a task holds and change no result.
     """
     spark: SparkSession = docs.sparkSession
     known = docs.filter(F.col(key).isNotNull())
-    model_b = spark.sparkContext.broadcast(fit_model(known, text, held_pairs, held_words))
+    counts = count_model(known, text)
+    held = fits(counts, held_pairs, held_words)
+    model_b = spark.sparkContext.broadcast(hold_model(counts, held_pairs, held_words)) if held else None
     kind = docs.schema[key].dataType.simpleString()
     language = F.coalesce(F.lower(F.trim(F.col(lang))), F.lit("und"))
-    measured = known.select(text, key, language.alias("lang")).mapInArrow(
-        _measure(model_b, run, key), f"`{key}` {kind}, lang string, tokens bigint, repeated double, perplexity double"
+    measured = known.select(text, key, language.alias("lang"), F.xxhash64(text).alias("_t")).mapInArrow(
+        _measure(model_b, run, key), f"`{key}` {kind}, lang string, _t bigint, tokens bigint, repeated double, perplexity double"
     )
-    measured = scratch_table(measured.dropDuplicates([key]), "measured")
+    measured = measured.dropDuplicates([key])
+    if not held:
+        measured = scratch_table(measured, "shares").drop("perplexity").join(joined_perplexity(known, text, counts, held_pairs), F.col("_t") == F.col("t"), "left").drop("t")
+    measured = scratch_table(measured, "measured")
     limits = measured.groupBy("lang").agg(F.percentile_approx("perplexity", list(bands), 10_000).alias("_b")).select("lang", F.get("_b", F.lit(0)).alias("low"), F.get("_b", F.lit(1)).alias("high"))
     outside = (F.col("perplexity") < F.col("low")) | (F.col("perplexity") > F.col("high"))
     return measured.join(limits, "lang").withColumn("rejected", F.coalesce(outside, F.lit(False))).select(key, "lang", "tokens", "repeated", "perplexity", "low", "high", "rejected")
