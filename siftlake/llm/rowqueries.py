@@ -36,8 +36,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every chunk vector its neighbours among the 5 nearest, with cosine."""
-    return _similar(spark, sf_dir, 5, 0.5)
+    """For every chunk vector its 5 nearest, however far, with cosine."""
+    return _similar(spark, sf_dir, 5, -1.0)
 
 
 QUERIES = {"p2_found": p2_found, "p2_ranked": p2_ranked, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
