@@ -91,9 +91,9 @@ def _vectors(spark, sf_dir):
 
 
 def find_related(spark, sf_dir):
-    """Related chunks of every chunk that a task's target names as its first."""
+    """Related chunks of every chunk with a vector whose hash is divisible by 50."""
     built = I.Index(_chunks(spark, sf_dir), None, None, _vectors(spark, sf_dir))
-    seeds = built.vectors.join(built.chunks.filter("start_line = 1").select("chunk_id"), "chunk_id").select("chunk_id")
+    seeds = built.vectors.join(built.chunks.select("chunk_id"), "chunk_id").select("chunk_id")
     seeds = seeds.withColumn("query_id", F.conv(F.substring(F.md5("chunk_id"), 1, 12), 16, 10).cast("bigint")).filter("query_id % 50 = 0")
     return S.find_related(built, seeds, 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 

@@ -1,5 +1,6 @@
 """Queries that once stopped short of the whole job, on small tables beyond the old bound."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -55,3 +56,17 @@ def test_every_vector_gets_five_neighbours(spark, tmp_path):
     sims = u @ u.T - 3 * np.eye(60)
     want = {(f"c{i:02}", f"c{j:02}") for i in range(60) for j in np.argsort(-sims[i])[:5]}
     assert {(r["chunk_id"], r["near"]) for r in p3_neighbours(spark, str(tmp_path)).collect()} == want
+
+
+def test_related_chunks_are_asked_in_the_middle_of_files_too(spark, tmp_path):
+    v = np.random.default_rng(4).normal(size=(300, 64)).astype("f4")
+    names = [f"src/a{i:03}.py:{i}" for i in range(300)]
+    rows = [(c, "x = 1", c.split(":")[0], 5, 6, "python") for c in names]
+    spark.createDataFrame(rows, "chunk_id string, content string, file_path string, start_line int, end_line int, language string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(c, x.tolist()) for c, x in zip(names, v)], "chunk_id string, v array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    number = {c: int(hashlib.md5(c.encode()).hexdigest()[:12], 16) for c in names}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T - 3 * np.eye(300)
+    want = {(number[c], names[j]) for i, c in enumerate(names) if number[c] % 50 == 0 for j in np.argsort(-sims[i])[:5]}
+    got = registry.queries()["find_related"](spark, str(tmp_path)).collect()
+    assert want and {(r["query_id"], r["chunk_id"]) for r in got} == want
