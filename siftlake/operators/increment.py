@@ -5,19 +5,25 @@ a run). The ledger holds the positions that committed batches have processed, as
 disjoint half-open intervals per axis. What is left to do is *available minus
 ledger*; that subtraction also finds gaps in the middle, so a record that shows up
 late with a low number, or that belonged to a batch that died, is neither skipped
-nor processed twice. A batch's output and its merged intervals become visible by
-one rename.
+nor processed twice. A batch's output and the merged intervals of everything done so
+far become visible together, as the next numbered version of the ledger; of two
+writers that worked on one version only one can publish the next.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlake.session import scratch_table
+
 #: Axes are cut into stretches of this many positions, so that one long axis is not one task.
 STRETCH = 1 << 24
+#: Sequence numbers of an axis of file versions, about.
+AXIS = 1 << 16
 
 
 def _cut(ranges: DataFrame, lo: str, hi: str, stretch: int) -> DataFrame:
@@ -39,18 +45,25 @@ def _islands(ranges: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
 
 
+def _across(inner: DataFrame, keys: list[str], lo: str, hi: str, stretch: int) -> DataFrame:
+    """Joins the intervals that meet at a border of two stretches; the rest passes."""
+    at_border = F.expr(f"`{lo}` % {stretch}L = 0 OR `{hi}` % {stretch}L = 0")
+    return inner.filter(~at_border).select(*keys, lo, hi).unionByName(_islands(inner.filter(at_border), keys, lo, hi).select(*keys, lo, hi))
+
+
 def merge_ranges(ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", stretch: int = STRETCH) -> DataFrame:
     """Overlapping or touching intervals [lo, hi) of an axis made one.
 
-    Works in two levels: inside each stretch of an axis, then across the borders, where
-    only the already merged intervals are left. Rows with a null bound and empty or
+    Works in two levels: inside each stretch of an axis, then across the borders between
+    stretches, which at most two of a stretch's merged intervals touch; the others are
+    final and never meet in one task. Rows with a null bound and empty or
     negative intervals are ignored; a null key is an axis of its own; repeated rows and
     overlaps change nothing; no rows give no rows. Other columns are dropped.
     """
     ranges = ranges.select(*keys, F.col(lo).cast("bigint").alias(lo), F.col(hi).cast("bigint").alias(hi))
     ranges = ranges.filter(F.col(hi) > F.col(lo))
     inner = _islands(_cut(ranges, lo, hi, stretch), [*keys, "_s"], lo, hi).drop("_s")
-    return _islands(inner, keys, lo, hi).select(*keys, lo, hi)
+    return _across(inner, keys, lo, hi, stretch)
 
 
 def subtract_ranges(
@@ -79,12 +92,14 @@ def subtract_ranges(
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     swept = at.select(
         *keys,
+        "_s",
         F.col("at").alias(lo),
         F.lead("at").over(by).alias(hi),
         F.sum("da").over(upto).alias("_a"),
         F.sum("dp").over(upto).alias("_p"),
     )
-    return _islands(swept.filter("_a > 0 AND _p = 0").drop("_a", "_p"), keys, lo, hi).select(*keys, lo, hi)
+    gaps = _islands(swept.filter("_a > 0 AND _p = 0").drop("_a", "_p"), [*keys, "_s"], lo, hi)
+    return _across(gaps.drop("_s"), keys, lo, hi, stretch)
 
 
 def mark_covered(
@@ -139,39 +154,63 @@ def _extent() -> tuple[Column, Column]:
     return lo.alias("lo"), hi.alias("hi")
 
 
-def files_to_process(files: DataFrame, manifest: DataFrame, runs: DataFrame) -> DataFrame:
-    """The files that the next run must take up, whatever failed in between.
+def version_axes(versions: DataFrame, length: int = AXIS) -> DataFrame:
+    """Gives every different (path, mtime_ns) a sequence number: columns ``axis, seq, path, mtime_ns``.
+
+    Paths are spread over axes of about ``length`` numbers by hash, so an axis is one small
+    task however many files there are. Within an axis numbers are dense, so files that
+    need nothing lie side by side and their numbers merge into few intervals.
+    """
+    versions = versions.select("path", "mtime_ns").distinct()
+    axes = max(1, -(-versions.count() // length))
+    placed = versions.withColumn("axis", F.pmod(F.xxhash64("path"), F.lit(axes)))
+    order = Window.partitionBy("axis").orderBy("path", F.col("mtime_ns").asc_nulls_first())
+    return placed.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).select("axis", "seq", "path", "mtime_ns")
+
 
-    The ranges that manifest entries lay claim to are set against the ledger of
-    completed positions; an entry whose range is a gap (its run died, or its entry was
-    never filled in) is not taken as processed. A file is due if its current
-    modification time is not that of its last processed entry, also when it went back.
+def files_to_process(files: DataFrame, manifest: DataFrame, runs: DataFrame, axis_length: int = AXIS) -> DataFrame:
+    """The files that the next run must take up, whatever failed in between.
 
-    Result ``path, mtime_ns, last_mtime_ns`` (null if never processed). Null paths are
-    ignored; a file whose current time is null is due; repeated rows count once; paths
-    found only in the manifest are not due; empty inputs are fine; extra columns are
-    ignored.
+    Two subtractions of intervals. Within each run, the chunk ranges that manifest entries
+    lay claim to are set against the positions that a successful run completed: entries in
+    a gap (the run died, or the entry was never filled in) are not done. Across runs, every
+    version of a file has a sequence number; the versions that the tree holds now are
+    available, the versions of the last completed entries are processed, and available
+    minus processed is the work list, as intervals, from which the files follow. A file
+    whose time went back to one that an earlier run knew is due again, since only its last
+    completed version counts as processed.
+
+    Result ``path, mtime_ns``. Null paths are ignored; a file whose current time is null is
+    due; repeated rows count once; paths found only in the manifest are not due; empty
+    inputs are fine; extra columns are ignored.
     """
     claims = _entries(manifest).withColumns(dict(zip(("_clo", "_chi"), _extent())))
     marked = mark_covered(claims, completed_ledger(manifest, runs), ["run_id"], F.col("_clo"), F.col("_chi"))
-    last = (
-        marked.filter("covered")
-        .groupBy("path")
-        .agg(F.max(F.struct("run_id", "mtime_ns")).alias("_m"))
-        .select("path", F.col("_m.mtime_ns").alias("last_mtime_ns"))
+    last = marked.filter("covered").groupBy("path").agg(F.max(F.struct("run_id", "mtime_ns")).alias("_m")).select("path", F.col("_m.mtime_ns").alias("mtime_ns"))
+    state = scratch_table(
+        current_versions(files).select("path", "mtime_ns", F.lit(True).alias("now")).unionByName(last.select("path", "mtime_ns", F.lit(False).alias("now"))), "versions"
     )
-    now = current_versions(files)
-    both = now.join(last, "path", "left")
-    return both.filter(F.col("last_mtime_ns").isNull() | ~F.col("mtime_ns").eqNullSafe(F.col("last_mtime_ns")))
+    numbered = scratch_table(version_axes(state, axis_length), "axes")
+    placed = state.join(numbered, (state.path == numbered.path) & state.mtime_ns.eqNullSafe(numbered.mtime_ns)).select("axis", "now", F.col("seq").alias("lo"), (F.col("seq") + 1).alias("hi"))
+    gaps = subtract_ranges(placed.filter("now"), placed.filter("NOT now"), ["axis"])
+    # An axis is short, so an interval's numbers fit in one row's array.
+    due = gaps.select("axis", F.explode(F.expr("sequence(lo, hi - 1)")).alias("seq"))
+    return numbered.join(due, ["axis", "seq"], "left_semi").select("path", "mtime_ns")
+
+
+class VersionTaken(Exception):
+    """Another writer has published the version this batch was to become."""
 
 
 class SequenceLedger:
     """A folder with the committed batches of one incremental job.
 
-    ``data/<batch>`` holds a batch's output and ``ranges/<batch>`` its processed
-    intervals; both count only once ``commits/<batch>`` exists, which is created by a
-    single rename after they are complete. A batch that dies before leaves files that no
-    reader looks at, and its records stay in the gaps.
+    ``data/<batch>`` holds a batch's output and ``ranges/<batch>`` the merged intervals of
+    everything processed up to and with that batch; both count only once a numbered file in
+    ``commits`` names the batch. Version n + 1 is published by creating file n + 1, which
+    fails if it exists: of two writers that started from version n one loses, has changed
+    nothing that a reader sees, and starts again from what is pending now. A batch that
+    dies before its commit leaves files that no reader looks at.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str]):
@@ -180,62 +219,110 @@ class SequenceLedger:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
+    def version(self) -> int:
+        """The number of the last commit; 0 before the first."""
         at = self._path(f"{self.root}/commits")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
-    def _read(self, part: str) -> DataFrame | None:
-        done = self.batches()
-        return self.spark.read.parquet(*[f"{self.root}/{part}/{b}" for b in done]) if done else None
+    def batches(self, version: int | None = None) -> list[str]:
+        """The batches of a version, oldest first: a commit file names all of them, one a line."""
+        version = self.version() if version is None else version
+        if not version:
+            return []
+        return [r[0] for r in self.spark.read.text(f"{self.root}/commits/{version:08d}").collect() if r[0]]
 
-    def processed(self) -> DataFrame | None:
-        """Merged intervals of all committed batches; None before the first commit."""
-        seen = self._read("ranges")
-        return None if seen is None else merge_ranges(seen, self.keys)
+    def processed(self, version: int | None = None) -> DataFrame | None:
+        """Merged intervals of everything committed; None before the first commit."""
+        done = self.batches(version)
+        return self.spark.read.parquet(f"{self.root}/ranges/{done[-1]}") if done else None
 
     def output(self) -> DataFrame | None:
-        return self._read("data")
+        done = self.batches()
+        return self.spark.read.parquet(*[f"{self.root}/data/{b}" for b in done]) if done else None
 
-    def pending(self, records: DataFrame, seq: str) -> DataFrame:
+    def pending(self, records: DataFrame, seq: str, version: int | None = None) -> DataFrame:
         """The records whose sequence number lies in no committed interval.
 
         Records with a null sequence number or a null key of the axis have no position
         and are never due; the caller has to give them one.
         """
         records = records.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*self.keys, seq]))
-        done = self.processed()
+        done = self.processed(version)
         if done is None:
             return records
         marked = mark_covered(records, done, self.keys, F.col(seq), F.col(seq) + 1)
         return marked.filter(~F.col("covered")).drop("covered")
 
-    def write(self, output: DataFrame, records: DataFrame, seq: str) -> str:
-        """Write a batch's output and intervals, not yet visible. Returns the batch's name."""
-        batch = f"{len(self.batches()):08d}-{uuid.uuid4().hex[:8]}"
+    def write(self, output: DataFrame, records: DataFrame, seq: str, version: int | None = None) -> tuple[int, str]:
+        """Write a batch's output and the merged intervals, not yet visible.
+
+        Returns (version the batch started from, name of the batch).
+        """
+        version = self.version() if version is None else version
+        batch = f"{version + 1:08d}-{uuid.uuid4().hex[:8]}"
         output.write.parquet(f"{self.root}/data/{batch}")
         spans = records.select(*self.keys, F.col(seq).alias("lo"), (F.col(seq) + 1).alias("hi"))
+        before = self.processed(version)
+        if before is not None:
+            spans = spans.unionByName(before.select(*self.keys, "lo", "hi"))
         merge_ranges(spans, self.keys).write.parquet(f"{self.root}/ranges/{batch}")
-        return batch
+        return version, batch
 
-    def commit(self, batch: str) -> None:
-        """Make a written batch visible. Committing it again has no effect."""
+    def _publish(self, name: str, lines: list[str]) -> bool:
+        """Create a commit file whole and only if it is not there yet."""
+        staged, target = f"{self.root}/staged-{uuid.uuid4().hex}", f"{self.root}/commits/{name}"
         self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        staged = self._path(f"{self.root}/staged-{batch}")
-        self._fs.create(staged, True).close()
-        if not self._fs.rename(staged, self._path(f"{self.root}/commits/{batch}")):
-            self._fs.delete(staged, False)
+        out = self._fs.create(self._path(staged), True)
+        out.write(bytearray(("\n".join(lines) + "\n").encode()))
+        out.close()
+        if self._fs.getUri().getScheme() == "file":  # a local rename would replace the target; a link does not
+            source, at = (self._path(x).toUri().getPath() for x in (staged, target))
+            try:
+                os.link(source, at)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(source)
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(staged), self._path(target), no_options)  # refuses an existing target
+            return True
+        except Exception:
+            self._fs.delete(self._path(staged), False)
+            if self._fs.exists(self._path(target)):
+                return False
+            raise
+
+    def commit(self, written: tuple[int, str]) -> None:
+        """Make a written batch visible as the next version, or raise :class:`VersionTaken`.
+
+        Committing a batch that is visible already has no effect.
+        """
+        version, batch = written
+        if batch in self.batches():
+            return
+        if not self._publish(f"{version + 1:08d}", [*self.batches(version), batch]):
+            raise VersionTaken(f"version {version + 1} of {self.root}")
 
-    def run(self, records: DataFrame, seq: str, process) -> str | None:
+    def run(self, records: DataFrame, seq: str, process, attempts: int = 10) -> str | None:
         """One incremental run: process what is due, then commit; None if nothing is due.
 
         The due records are pinned in a scratch table first, so that output and intervals
-        are made of the same rows even if ``records`` grows meanwhile.
+        are made of the same rows even if ``records`` grows meanwhile. A run that loses its
+        version to another writer starts again with what that writer has left.
         """
-        from siftlake.session import scratch_table
-
-        due = scratch_table(self.pending(records, seq), "due")
-        if due.isEmpty():
-            return None
-        batch = self.write(process(due), due, seq)
-        self.commit(batch)
-        return batch
+        for _ in range(attempts):
+            version = self.version()
+            due = scratch_table(self.pending(records, seq, version), "due")
+            if due.isEmpty():
+                return None
+            written = self.write(process(due), due, seq, version)
+            try:
+                self.commit(written)
+                return written[1]
+            except VersionTaken:
+                continue
+        raise VersionTaken(f"{self.root}: lost {attempts} times")

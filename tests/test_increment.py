@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators.increment import SequenceLedger, files_to_process, mark_covered, merge_ranges, subtract_ranges
+from siftlake.operators.increment import SequenceLedger, VersionTaken, files_to_process, mark_covered, merge_ranges, subtract_ranges
 
 RANGES = "k string, lo long, hi long, extra string"
 
@@ -64,6 +64,20 @@ def test_due_files(spark):
     assert _due(spark, files[:2], [], []) == {"same"}
 
 
+def test_the_subtraction_decides_which_files_are_due(spark, monkeypatch):
+    """Without the intervals of processed versions every file would be due."""
+    from siftlake.operators import increment
+
+    files = spark.createDataFrame([(f"p{i}", i, None) for i in range(50)], "path string, mtime_ns long, seen_at timestamp_ntz")
+    manifest = spark.createDataFrame([(1, f"p{i}", i if i % 5 else -1, 2 * i, 2) for i in range(50)], "run_id int, path string, mtime_ns long, start int, count int")
+    runs = spark.createDataFrame([(1, "ok")], "run_id int, status string")
+    want = {f"p{i}" for i in range(0, 50, 5)}
+    for length in (4, 1 << 16):
+        assert {r["path"] for r in files_to_process(files, manifest, runs, length).collect()} == want
+    monkeypatch.setattr(increment, "subtract_ranges", lambda available, processed, keys: increment.merge_ranges(available, keys))
+    assert files_to_process(files, manifest, runs).count() == 50
+
+
 def test_ledger_survives_a_failed_batch(spark, tmp_path):
     ledger = SequenceLedger(spark, f"file://{tmp_path}/job", ["part"])
     log = lambda n, skip=(): spark.createDataFrame([(p, i, f"{p}{i}") for p in "xy" for i in range(n) if (p, i) not in skip], "part string, seq long, body string")
@@ -78,8 +92,31 @@ def test_ledger_survives_a_failed_batch(spark, tmp_path):
     ledger.write(log(8), log(8), "seq")  # written, but the driver dies before the commit
     assert {(r["part"], r["seq"]) for r in ledger.pending(log(8), "seq").collect()} == late | {(p, i) for p in "xy" for i in (5, 6, 7)}
     batch = ledger.run(log(8), "seq", lambda df: df)
-    ledger.commit(batch)  # repeated commits are harmless
+    ledger.commit((1, batch))  # repeated commits are harmless
     assert ledger.run(log(8), "seq", lambda df: df) is None
     out = [(r["part"], r["seq"]) for r in ledger.output().collect()]
     assert len(out) == len(set(out)) == 16
     assert [tuple(r) for r in ledger.processed().orderBy("part").collect()] == [("x", 0, 8), ("y", 0, 8)]
+
+
+def test_two_writers_do_not_repeat_records(spark, tmp_path):
+    log = spark.createDataFrame([("x", i) for i in range(20)], "part string, seq long")
+    one, two = (SequenceLedger(spark, f"file://{tmp_path}/job", ["part"]) for _ in range(2))
+    one.run(log.filter("seq < 5"), "seq", lambda df: df)
+    late = two.write(two.pending(log, "seq"), two.pending(log, "seq"), "seq")  # reads version 1 ...
+    one.run(log.filter("seq < 12"), "seq", lambda df: df)  # ... which the other one builds on first
+    with pytest.raises(VersionTaken):
+        two.commit(late)
+    calls = []
+
+    def overtaken(df):
+        if not calls:
+            one.run(log.filter("seq < 15"), "seq", lambda d: d)
+        calls.append(df.count())
+        return df
+
+    two.run(log, "seq", overtaken)
+    assert calls == [8, 5]
+    assert sorted(r["seq"] for r in one.output().collect()) == list(range(20))
+    assert [tuple(r) for r in two.processed().collect()] == [("x", 0, 20)]
+    assert two.version() == 4 and two.run(log, "seq", overtaken) is None
