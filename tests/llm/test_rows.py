@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm.neighbours import assign_leaves, best_bins, fit_tree, nearest_neighbours
-from siftlake.llm.outranking import agreed_front, outrank, rank_by_flow
+from siftlake.llm.outranking import agreed_front, flows_per_list, list_flows, outrank, rank_by_flow
 from siftlake.llm.quantiles import RelativeSketch, build_sketches, element_values, exact_quantiles, merge_sketches, sketch_quantiles, tail_heavy_groups
-from siftlake.llm.topn import cluster_by_group, holding_scores, row_group_plan, top_n_per_group
+from siftlake.llm.topn import holding_scores, lay_out, row_group_plan, top_n, top_n_per_group
 
 NAN = float("nan")
 SCORED = "query_id int, chunk_id string, start_line int, score double, scored_at long, position string, file string"
@@ -30,18 +30,26 @@ def test_top_n_with_a_hot_group(spark):
     rows += [(None, "x", 1, 1.0, 0, "p", "f"), (99, "only", 1, -5.0, 0, None, None)]
     df = spark.createDataFrame(rows, SCORED)
     got: dict = {}
-    for r in top_n_per_group(df, "query_id", "score", 7, ["start_line", "chunk_id"], row_group_bytes=4096).orderBy("query_id", "position").collect():
+    for r in top_n_per_group(df, "query_id", "score", 7, ["start_line", "chunk_id"], band_rows=4, group_rows=50).orderBy("query_id", "position").collect():
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == _best(rows, 7)
     assert top_n_per_group(df.limit(0), "query_id", "score", 7, ["start_line", "chunk_id"]).count() == 0
 
 
-def test_statistics_skip_row_groups_of_a_hot_group(spark):
-    df = spark.range(200_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 200_003).cast("double").alias("s"), F.col("id").cast("string").alias("c"))
-    path = cluster_by_group(df.unionByName(df.limit(100).withColumn("g", F.lit(2))), "g", "s", ["c"], row_group_bytes=16_384)
-    plan = row_group_plan(path, spark, "g", "s", 10)
-    total, skipped = plan.count(), plan.filter("skip").count()
-    assert total > 20 and skipped > 0.8 * total
+def test_row_groups_of_many_groups_are_skipped(spark):
+    """A hot group and hundreds of small ones on scales of their own: what is left to read is the first bands."""
+    i = F.col("id")
+    group = F.when(i % 3 == 0, F.lit(0)).otherwise(1 + i % 400)
+    df = spark.range(200_000).select(group.cast("int").alias("g"), ((i * 7919 % 200_003) * F.pow(F.lit(10.0), group % 7)).alias("s"), i.cast("string").alias("c"))
+    layout = lay_out(df, "g", "s", ["c"])
+    plan = row_group_plan(layout, 10).cache()
+    total, skipped = plan.agg(F.count("*"), F.sum(F.col("skip").cast("int"))).first()
+    assert total > 30 and skipped > 0.7 * total
+    assert plan.filter("skip AND size(members) > 1").count() > 0.5 * total
+    kept = plan.filter("NOT skip").agg(F.sum("rows")).first()[0]
+    assert kept < 0.3 * 200_000
+    want = {(r["g"], r["c"]) for r in df.withColumn("p", F.expr("row_number() OVER (PARTITION BY g ORDER BY s DESC, c)")).filter("p <= 10").collect()}
+    assert {(r["g"], r["c"]) for r in top_n(layout, 10).collect()} == want
 
 
 def test_the_latest_score_holds(spark):
@@ -137,6 +145,8 @@ def test_percentiles_by_group(spark):
     heavy = {(r["tool"], r["repo"]) for r in tail_heavy_groups(values, ["tool", "repo"], 0.99, 0.5, 8.0).collect()}
     assert heavy == {k for k, v in truth.items() if np.quantile(v, 0.99) >= 8 * np.quantile(v, 0.5)}
     assert tail_heavy_groups(values.limit(0), ["tool", "repo"], 0.99, 0.5, 8.0).count() == 0
+    narrow = bounds.withColumn("lower", F.lit(1e9)).withColumn("upper", F.lit(-1.0))  # bounds that miss every rank are widened
+    assert {(r["tool"], r["repo"], r["p"]): r["value"] for r in exact_quantiles(values, narrow, ["tool", "repo"]).collect()} == {k: pytest.approx(v) for k, v in exact.items()}
 
 
 RETRIEVED = "query_id int, chunk_id string, retriever string, score double, flow string, x double"
@@ -162,7 +172,8 @@ def test_flow_equals_all_pairs(spark):
             held[c] = max(s, held.get(c, -math.inf))
     ranked = outrank(df)
     got = {(r["query_id"], r["chunk_id"]): r for r in ranked.collect()}
-    front = {(r["query_id"], r["chunk_id"]) for r in agreed_front(ranked, 10).collect()}
+    strict = outrank(df, threshold=0.0)
+    front = {(r["query_id"], r["chunk_id"]) for r in agreed_front(strict, 10).collect()}
     seen = set()
     for q, per in lists.items():
         flows = {r: _flow(s) for r, s in per.items()}
@@ -179,6 +190,20 @@ def test_flow_equals_all_pairs(spark):
     assert outrank(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.25])
+def test_split_lists_have_the_flows_of_whole_ones(spark, threshold):
+    """A list that spans all partitions (prefix sums) against one that fits in one task (arrays)."""
+    rnd = random.Random(61)
+    rows = [(q, f"c{i}", "a", float(rnd.randrange(40)), "f", 1.0) for q, n in ((1, 300), *((q, 3) for q in range(2, 40))) for i in range(n)]
+    got = {(r["query_id"], r["chunk_id"]): (r["plus"], r["minus"]) for r in flows_per_list(spark.createDataFrame(rows, RETRIEVED), threshold=threshold).collect()}
+    assert len(got) == len(rows)
+    for q in (1, 2, 20, 39):
+        mine = sorted((s, c) for q2, c, _, s, *_ in rows if q2 == q)
+        plus, minus = list_flows(np.array([s for s, _ in mine]), threshold)
+        for (_, c), a, b in zip(mine, plus, minus):
+            assert got[q, c] == pytest.approx((a, b))
+
+
 def test_scale_does_not_matter(spark):
     rows = [(1, f"c{i}", r, f(i), "", 0.0) for i in range(20) for r, f in (("a", lambda i: float(i)), ("b", lambda i: math.exp(i) * 1e6))]
     df = spark.createDataFrame(rows, RETRIEVED)
