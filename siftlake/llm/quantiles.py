@@ -16,14 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.session import scratch_table
+
 #: Values in one section of a compactor. The relative rank error is about 0.13 / SECTION (one sigma).
 SECTION = 64
 SECTIONS = 3
-#: Groups that a task keeps open before it hands their sketches on.
-OPEN_GROUPS = 2_000
+#: Values that a task lays out by group at a time (8 bytes each, thrice).
+HELD_VALUES = 4_000_000
 
 
 class RelativeSketch:
@@ -49,16 +53,23 @@ class RelativeSketch:
             self.levels[0] = np.concatenate([self.levels[0], values])
             self._compress()
 
+    @classmethod
+    def merged(cls, parts: list[RelativeSketch]) -> RelativeSketch:
+        """All parts as one: levels are put together, then compressed once."""
+        out = cls(parts[0].section)
+        height = max(len(p.levels) for p in parts)
+        out.levels = [np.concatenate([p.levels[h] for p in parts if h < len(p.levels)]) for h in range(height)]
+        out.state = [0] * height
+        for p in parts:
+            for h, state in enumerate(p.state):
+                out.state[h] |= state
+        out.n = sum(p.n for p in parts)
+        out.least, out.most = min(p.least for p in parts), max(p.most for p in parts)
+        out._compress()
+        return out
+
     def merge(self, other: RelativeSketch) -> None:
-        while len(self.levels) < len(other.levels):
-            self.levels.append(np.empty(0))
-            self.state.append(0)
-        for h, values in enumerate(other.levels):
-            self.levels[h] = np.concatenate([self.levels[h], values])
-            self.state[h] |= other.state[h]
-        self.n += other.n
-        self.least, self.most = min(self.least, other.least), max(self.most, other.most)
-        self._compress()
+        self.__dict__.update({k: v for k, v in self.merged([self, other]).__dict__.items() if k != "rnd"})
 
     def _compress(self) -> None:
         h = 0
@@ -124,64 +135,112 @@ class RelativeSketch:
         return out
 
 
-def _build(groups: list[str], section: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_: dict[tuple, RelativeSketch] = {}
+def _codes(columns: list[pa.Array]) -> np.ndarray:
+    """One number per row, equal for rows that agree in all columns; nulls agree."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        own = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    return code
 
-        def flush() -> pd.DataFrame:
-            rows = [(*g, s.n, s.to_bytes()) for g, s in open_.items()]
-            open_.clear()
-            return pd.DataFrame(rows, columns=[*groups, "n", "sketch"])
 
-        for pdf in batches:
-            for g, part in pdf.groupby(groups, sort=False, dropna=False):
-                g = tuple(None if x is None or x is pd.NaT or x != x else x for x in g)
-                if g not in open_:
-                    open_[g] = RelativeSketch(section, seed=len(open_) + 1)
-                open_[g].update(part["value"].to_numpy(dtype=float))
-            if len(open_) > OPEN_GROUPS:
-                yield flush()
-        if open_:
-            yield flush()
+def _build(groups: list[str], section: int):
+    """Sketches of a task's rows: values are laid out by group, then each group is one array."""
+
+    def flush(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        code = _codes([t.column(g) for g in groups])
+        lists = t.column("values").chunk(0)
+        size = np.diff(lists.offsets.to_numpy())
+        flat, of = lists.flatten().to_numpy().astype(float), np.repeat(code, size)
+        order = np.argsort(of, kind="stable")
+        flat, ends = flat[order], np.cumsum(np.bincount(of, minlength=code.max() + 1))
+        first = np.unique(code, return_index=True)[1]
+        sketches = []
+        for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+            sketch = RelativeSketch(section)
+            sketch.update(flat[lo:hi])
+            sketches.append(sketch)
+        heads = t.select(groups).take(pa.array(first)).combine_chunks()
+        columns = [heads.column(g).chunk(0).cast(schema.field(g).type) for g in groups]
+        columns += [pa.array([x.n for x in sketches], pa.int64()), pa.array([x.to_bytes() for x in sketches], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*groups, "n", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(pc.sum(pc.list_value_length(b.column("values"))).as_py() or 0 for b in held) > HELD_VALUES:
+                yield flush(held, batch.schema)
+                held = []
+        if held:
+            yield flush(held, held[0].schema)
 
     return run
 
 
 def _merge(groups: list[str]):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = sorted(pdf["sketch"])  # in a fixed order: the same sketch again if a task is repeated
-        out = RelativeSketch.from_bytes(parts[0])
-        for raw in parts[1:]:
-            out.merge(RelativeSketch.from_bytes(raw))
-        return pd.DataFrame([(*[pdf[g].iloc[0] for g in groups], out.n, out.to_bytes())], columns=[*groups, "n", "sketch"])
+    """Merges the sketches of equal groups, which come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []  # the group being read: a batch of one row, and its sketches
+
+        def done() -> pa.RecordBatch:
+            sketch = RelativeSketch.merged(parts)
+            return pa.RecordBatch.from_arrays([*[head.column(g) for g in groups], pa.array([sketch.n], pa.int64()), pa.array([sketch.to_bytes()], pa.binary())], names=[*groups, "n", "sketch"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = _codes([batch.column(g) for g in groups])
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            raw = batch.column("sketch").to_pylist()
+            for a, b in zip(cuts, cuts[1:]):
+                here = batch.slice(a, 1).select(groups)
+                if head is not None and not here.equals(head):
+                    yield done()
+                    parts = []
+                head = here
+                parts += [RelativeSketch.from_bytes(x) for x in raw[a:b]]
+                if len(parts) > 64:
+                    parts = [RelativeSketch.merged(parts)]
+        if head is not None:
+            yield done()
 
     return run
 
 
 def element_values(df: DataFrame, groups: list[str], values: str) -> DataFrame:
-    """One row per usable element of the array column: not null, not NaN, not negative."""
-    flat = df.select(*groups, F.explode(values).alias("value")).withColumn("value", F.col("value").cast("double"))
-    return flat.filter((F.col("value") >= 0) & ~F.isnan("value"))
+    """``groups`` and ``values``: each row's usable elements (not null, not NaN, not negative), if it has any."""
+    usable = F.filter(F.col(values).cast("array<double>"), lambda x: (x >= 0) & ~F.isnan(x))
+    return df.select(*groups, usable.alias("values")).filter(F.size("values") > 0)
+
+
+def _schema(df: DataFrame, groups: list[str], rest: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema], rest])
 
 
 def build_sketches(values: DataFrame, groups: list[str], section: int = SECTION) -> DataFrame:
     """One sketch per combination of ``groups`` (add a day to keep daily sketches).
 
-    Every task sketches its own rows; only sketches are shuffled, and they are merged in
-    two steps, so that a group with a third of all rows is a few kilobytes per task. Null
+    Every task sketches its own rows; only sketches are shuffled, one of a few kilobytes per
+    task and group, so a group with a third of all rows is no larger than others. Null
     group values form groups; groups without a usable value do not appear.
     """
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*groups).schema], "n bigint", "sketch binary"])
-    parts = values.select(*groups, "value").mapInPandas(_build(groups, section), schema)
-    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    some = salted.groupBy(*groups, "_salt").applyInPandas(_merge(groups), schema)
-    return merge_sketches(some, groups)
+    parts = values.select(*groups, "values").mapInArrow(_build(groups, section), _schema(values, groups, "n bigint, sketch binary"))
+    return merge_sketches(parts, groups)
 
 
 def merge_sketches(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """Sketches of days, partitions or tables combined into one per ``groups``."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in sketches.select(*groups).schema], "n bigint", "sketch binary"])
-    return sketches.select(*groups, "n", "sketch").groupBy(*groups).applyInPandas(_merge(groups), schema)
+    """Sketches of days, partitions or tables combined into one per ``groups``.
+
+    Equal groups are merged as they stream by, in a fixed order: a repeated task gives the
+    same sketch again.
+    """
+    ordered = sketches.select(*groups, "n", "sketch").repartition(*groups).sortWithinPartitions(*groups, "sketch")
+    return ordered.mapInArrow(_merge(groups), _schema(sketches, groups, "n bigint, sketch binary"))
 
 
 def sketch_quantiles(sketches: DataFrame, groups: list[str], probs: list[float], sigmas: float = 4.0) -> DataFrame:
@@ -208,21 +267,14 @@ def _same(a: DataFrame, b: DataFrame, groups: list[str]):
     return cond
 
 
-def exact_quantiles(values: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
-    """Exact percentiles (linear interpolation) from the rows between a sketch's bounds.
-
-    For every group and p the values below ``lower`` are only counted, and the few within
-    [lower, upper] are counted by value and ordered. ``p`` whose two ranks do not both lie
-    within the bounds come back with a null ``value``: the caller widens those bounds.
-    Columns ``groups, p, n, value``.
-    """
+def _between(values: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
+    """Percentiles from the values between bounds; null where a rank lies outside them."""
     b = bounds.select(*[F.col(g).alias(f"_b_{g}") for g in groups], "p", "n", "lower", "upper")
-    near = values.join(b, _same(values, b, groups)).filter(F.col("value") <= F.col("upper"))
-    by_value = (
-        near.withColumn("_v", F.when(F.col("value") >= F.col("lower"), F.col("value")))
-        .groupBy(*groups, "p", "n", "_v")
-        .agg(F.count("*").alias("c"))
-    )
+    inside = F.filter("values", lambda x: (x >= F.col("lower")) & (x <= F.col("upper")))
+    below = F.size(F.filter("values", lambda x: x < F.col("lower")))
+    counted = F.concat(F.array(F.struct(F.lit(None).cast("double").alias("v"), below.alias("c"))), F.transform(inside, lambda x: F.struct(x.alias("v"), F.lit(1).alias("c"))))
+    near = values.join(b, _same(values, b, groups)).select(*groups, "p", "n", F.explode(counted).alias("_e"))
+    by_value = near.groupBy(*groups, "p", "n", F.col("_e.v").alias("_v")).agg(F.sum("_e.c").alias("c"))
     order = Window.partitionBy(*groups, "p", "n").orderBy(F.col("_v").asc_nulls_first())
     upto = by_value.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.col("p") * (F.col("n") - 1)
@@ -233,14 +285,32 @@ def exact_quantiles(values: DataFrame, bounds: DataFrame, groups: list[str]) ->
     return picked.select(*groups, "p", "n", value.alias("value"))
 
 
+def exact_quantiles(values: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
+    """Exact percentiles (linear interpolation) from the values between a sketch's bounds.
+
+    For every group and p the values below ``lower`` are only counted, and the few within
+    [lower, upper] are counted by value and ordered. Where one of the two ranks lies outside
+    the bounds, which six standard errors make improbable, the bounds are widened to
+    everything: no group is lost. Columns ``groups, p, n, value``.
+    """
+    found = scratch_table(_between(values, bounds, groups), "quantiles")
+    lost = found.filter("value IS NULL")
+    if lost.isEmpty():
+        return found
+    open_ = lost.select(*groups, "p", "n", F.lit(-math.inf).alias("lower"), F.lit(math.inf).alias("upper"))
+    return found.filter("value IS NOT NULL").unionByName(_between(values, open_, groups))
+
+
 def tail_heavy_groups(values: DataFrame, groups: list[str], high: float, middle: float, times: float) -> DataFrame:
     """Groups whose ``high`` percentile is at least ``times`` their ``middle`` one.
 
     The sketches decide which groups cannot qualify (their bounds at six standard errors
     lie too far off); the rest is checked exactly. Columns ``groups, n, middle, high``.
     """
+    values = scratch_table(values, "values")
     probs = [middle, high]
-    bounds = sketch_quantiles(build_sketches(values, groups), groups, probs, sigmas=6.0)
+    # Written down: a row per group and p, which decides by its size how the values meet it.
+    bounds = scratch_table(sketch_quantiles(build_sketches(values, groups), groups, probs, sigmas=6.0), "bounds")
     pair = bounds.groupBy(*groups, "n").agg(
         F.max(F.when(F.col("p") == high, F.col("upper"))).alias("_high"), F.max(F.when(F.col("p") == middle, F.col("lower"))).alias("_mid")
     )

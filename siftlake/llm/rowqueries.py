@@ -12,7 +12,7 @@ from siftlake.session import table
 
 def _best_chunks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     held = holding_scores(table(spark, sf_dir, "scored"), "query_id", "chunk_id", "scored_at", "score", ["start_line"])
-    return top_n_per_group(held, "query_id", "score", n, ["start_line", "chunk_id"])
+    return top_n_per_group(held, "query_id", "score", n, ["start_line", "chunk_id"], placed=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,123 +1,196 @@
 """Top N rows of every group, reading only row groups that can still matter.
 
-The rows are clustered by group into parquet files whose row groups carry the least
-and greatest score. A reader goes through row groups in descending greatest score and
-skips one as soon as that score is strictly below the N-th best score of every group in
-it. Two sources give those N-th scores: the statistics themselves (a row group of a
-single group with at least N rows proves that its least score is reached N times), and
-the rows read so far.
+The rows are clustered by group into parquet files. Within a file the row groups are bands
+of depth: the first holds the best rows of each of the file's groups, the next twice as
+many of the following ones, and so on, whatever N will be asked. Beside the files stands a
+table of statistics: for every row group and every group in it the number of rows and the
+least and greatest score. A reader goes through row groups from the top and skips one as
+soon as its greatest score is strictly below the N-th best score of every group in it. Two
+sources give those N-th scores: the statistics (row groups with N rows of a group prove
+that their least score is reached N times), and the rows read so far.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.session import list_files, scratch_path
+from siftlake.session import scratch_path, scratch_table
 
-#: Bytes of one row group: small enough that a hot group has many to skip.
-ROW_GROUP_BYTES = 1 << 20
+#: Rows of a group in the first band; each further band holds twice as many as the one before.
+BAND_ROWS = 32
+#: Rows of a row group, about. For tables of terabytes on an object store raise it to some 100,000.
+ROW_GROUP_ROWS = 4_096
 
 
 def holding_scores(scored: DataFrame, group: str, item: str, when: str, score: str, carry: list[str]) -> DataFrame:
     """Of the rows of one (group, item) the one with the latest ``when``.
 
     Among equal times the greatest (score, carried columns) holds, a null score being the
-    least. Rows with a null group or item are no candidates.
+    least. Rows with a null group or item are no candidates. The result is range-partitioned
+    by group and a hash of the item: groups lie together, and a group with a third of all
+    rows is spread over a third of the tasks. That one shuffle also serves the layout.
     """
-    known = scored.filter(F.col(group).isNotNull() & F.col(item).isNotNull())
-    best = known.groupBy(group, item).agg(F.max(F.struct(when, score, *carry)).alias("_b"))
+    known = scored.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item, F.struct(when, score, *carry).alias("_b"), F.xxhash64(item).alias("_h"))
+    best = known.repartitionByRange(group, "_h").groupBy(group, "_h", item).agg(F.max("_b").alias("_b"))
     return best.select(group, item, f"_b.{score}", *[f"_b.{c}" for c in carry])
 
 
-def cluster_by_group(df: DataFrame, group: str, score: str, ties: list[str], row_group_bytes: int = ROW_GROUP_BYTES) -> str:
-    """Write ``df`` range-partitioned and sorted by (group, score descending, ties).
+@dataclass
+class Layout:
+    """Clustered files and their statistics: ``file, rg, band, rows, member, n, low, high``, a row per row group and group."""
 
-    A group of any size is spread over as many files as its share of the rows. Returns
-    the folder.
-    """
-    path = scratch_path(df.sparkSession, "clustered")
-    order = [F.col(group), F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties]]
-    clustered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    clustered.write.option("parquet.block.size", row_group_bytes).parquet(path)
-    return path
+    statistics: DataFrame
+    group: str
+    score: str
+    ties: list[str]
+    schema: T.StructType
 
 
-def _open(file: str):
+def _filesystem(path: str):
     import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    fs, at = pafs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
-    return pq.ParquetFile(at, filesystem=fs)
-
-
-def _statistics(group: str, score: str, n: int):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file in pdf["file"]:
-                meta = _open(file).metadata
-                names = [meta.schema.column(i).path for i in range(meta.num_columns)]
-                g, s = names.index(group), names.index(score)
-                out = []
-                for i in range(meta.num_row_groups):
-                    rg = meta.row_group(i)
-                    gs, ss = rg.column(g).statistics, rg.column(s).statistics
-                    known = gs is not None and gs.has_min_max and not gs.null_count
-                    single = bool(known and gs.min == gs.max)
-                    scored = ss is not None and ss.has_min_max
-                    out.append((file, i, str(gs.min) if single else None, ss.max if scored else np.inf, ss.min if scored and single and rg.num_rows >= n else None, rg.num_rows))
-                if out:
-                    yield pd.DataFrame(out, columns=["file", "rg", "only_group", "top", "floor", "n_rows"])
 
-    return read
+    return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _lay_out(path: str, group: str, score: str, columns: list[str], band_rows: int, group_rows: int):
+    """Writes a partition, sorted by (group, best first), as one file in bands; gives its statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        file, writer, written = f"{path}/part-{uuid.uuid4().hex}.parquet", None, 0
+        bands: dict[int, list[pa.RecordBatch]] = {}
+        last, rank = None, 0
+
+        def flush(band: int) -> pa.RecordBatch:
+            nonlocal writer, written
+            t = pa.Table.from_batches(bands.pop(band))
+            if writer is None:
+                fs, at = _filesystem(file)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                writer = pq.ParquetWriter(at, t.schema, filesystem=fs, compression="snappy")
+            writer.write_table(t, row_group_size=t.num_rows)
+            s = t.select([group, score]).group_by(group).aggregate([(score, "count"), (score, "min"), (score, "max")])
+            n = s.num_rows
+            numbers = [pa.array(np.full(n, written, dtype=np.int32)), pa.array(np.full(n, band, dtype=np.int32)), pa.array(np.full(n, t.num_rows, dtype=np.int64))]
+            parts = [s.column(c).combine_chunks() for c in (group, f"{score}_count", f"{score}_min", f"{score}_max")]
+            written += 1
+            return pa.RecordBatch.from_arrays([pa.array([file] * n), *numbers, *parts], names=["file", "rg", "band", "rows", "member", "n", "low", "high"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(columns.index(group))
+            new = np.r_[last is None or g[0].as_py() != last, pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)].astype(bool)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -rank if not new[0] else 0))
+            place = np.arange(len(g)) - start
+            last, rank = g[len(g) - 1].as_py(), int(place[-1]) + 1
+            band = np.log2(place // band_rows + 1).astype(np.int64)
+            for b in np.unique(band).tolist():
+                part = batch.filter(pa.array(band == b))
+                bands.setdefault(b, []).append(part)
+                if sum(x.num_rows for x in bands[b]) >= group_rows:
+                    yield flush(b)
+        for b in sorted(bands):
+            yield flush(b)
+        if writer is not None:
+            writer.close()
+
+    return run
+
+
+def lay_out(df: DataFrame, group: str, score: str, ties: list[str], band_rows: int = BAND_ROWS, group_rows: int = ROW_GROUP_ROWS, placed: bool = False) -> Layout:
+    """Write ``df`` (usable rows) clustered by group in bands of depth.
+
+    ``placed``: the rows of a group lie together already, as :func:`holding_scores` gives
+    them; else they are range-partitioned, so that a group of any size is spread over as
+    many files as its share of the rows. A repeated task writes another file; only those
+    that the statistics name are ever read.
+    """
+    columns = [group, score, *ties]
+    usable = df.select(*columns).filter(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    if not placed:
+        usable = usable.withColumn("_h", F.xxhash64(*columns)).repartitionByRange(group, "_h").select(*columns)
+    ordered = usable.sortWithinPartitions(group, F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties])
+    kinds = {c: usable.schema[c].dataType for c in (group, score)}
+    fields = [("file", T.StringType()), ("rg", T.IntegerType()), ("band", T.IntegerType()), ("rows", T.LongType()), ("member", kinds[group]), ("n", T.LongType()), ("low", kinds[score]), ("high", kinds[score])]
+    path = scratch_path(df.sparkSession, "clustered")
+    statistics = ordered.mapInArrow(_lay_out(path, group, score, columns, band_rows, group_rows), T.StructType([T.StructField(*f) for f in fields]))
+    return Layout(scratch_table(statistics, "statistics"), group, score, ties, T.StructType([usable.schema[c] for c in columns]))
 
 
-def row_group_plan(path: str, spark, group: str, score: str, n: int) -> DataFrame:
-    """One row per row group, with ``floor``: the N-th score its group is proven to reach.
+def row_group_plan(layout: Layout, n: int) -> DataFrame:
+    """One row per row group: ``file, rg, band, rows, members, highs, skip``.
 
-    Columns ``file, rg, only_group`` (null if it holds several groups), ``top, n_rows,
-    floor`` and ``skip``. The table stays distributed; only file names pass the driver.
+    A group's proven N-th score is the least score of the row groups that, taken in
+    descending least score, hold N of its rows; ``skip`` tells that the greatest score of
+    each contained group is strictly below that group's.
     """
-    files = list_files(spark, path)
-    if not files:
-        return spark.createDataFrame([], "file string, rg int, only_group string, top double, n_rows bigint, floor double, skip boolean")
-    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 1000))
-    stats = names.mapInPandas(_statistics(group, score, n), "file string, rg int, only_group string, top double, floor double, n_rows bigint")
-    floors = stats.filter("floor IS NOT NULL").groupBy("only_group").agg(F.max("floor").alias("_floor"))
-    plan = stats.drop("floor").join(floors, "only_group", "left").withColumnRenamed("_floor", "floor")
-    return plan.withColumn("skip", F.coalesce(F.col("top") < F.col("floor"), F.lit(False)))
+    by = Window.partitionBy("member").orderBy(F.desc("low"), "file", "rg").rowsBetween(Window.unboundedPreceding, 0)
+    reached = layout.statistics.withColumn("_upto", F.sum("n").over(by))
+    proven = reached.withColumn("_nth", F.max(F.when(F.col("_upto") >= n, F.col("low"))).over(Window.partitionBy("member")))
+    below = F.coalesce(F.col("high") < F.col("_nth"), F.lit(False))
+    return proven.groupBy("file", "rg", "band", "rows").agg(
+        F.min(below.cast("int")).cast("boolean").alias("skip"), F.collect_list(F.struct("member", "high")).alias("_m")
+    ).select("file", "rg", "band", "rows", F.col("_m.member").alias("members"), F.col("_m.high").alias("highs"), "skip")
 
 
 def _read_descending(group: str, score: str, ties: list[str], columns: list[str], n: int):
-    def nth_best(kept: pd.DataFrame) -> dict:
-        sizes = kept.groupby(group, sort=False)[score].agg(["size", "min"])
-        return sizes.loc[sizes["size"] >= n, "min"].to_dict()
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, *ties], ascending=[False] + [True] * len(ties), na_position="last", kind="stable")
+        return rows[rows.groupby(group, sort=False).cumcount() < n]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
         for pdf in batches:
-            for file, tops, rgs, only in zip(pdf["file"], pdf["tops"], pdf["rgs"], pdf["onlys"]):
-                source = _open(file)
-                kept, floor = None, {}
-                for top, rg, name in sorted(zip(tops, rgs, only), key=lambda x: (-x[0], x[1])):
-                    if name is not None and name in floor and top < floor[name]:
+            for file, plan in zip(pdf["file"], pdf["plan"]):
+                fs, at = _filesystem(file)
+                source = pq.ParquetFile(at, filesystem=fs)
+                kept, nth, band = None, {}, None
+                for part in sorted(plan, key=lambda p: (p["band"], p["rg"])):
+                    if part["band"] != band and kept is not None:  # every deeper band is met with the N-th scores of all before
+                        kept = best(kept)
+                        sizes = kept.groupby(group, sort=False)[score].agg(["size", "min"])
+                        nth = sizes.loc[sizes["size"] >= n, "min"].to_dict()
+                    band = part["band"]
+                    if nth and all(g in nth and h < nth[g] for g, h in zip(part["members"], part["highs"])):
                         continue
-                    part = source.read_row_group(int(rg), columns=columns).to_pandas()
-                    kept = part if kept is None else pd.concat([kept, part], ignore_index=True)
-                    kept = kept.sort_values([score, *ties], ascending=[False] + [True] * len(ties), na_position="last", kind="stable")
-                    kept = kept.groupby(group, sort=False).head(n)
-                    floor = {str(g): s for g, s in nth_best(kept).items()}
+                    rows = source.read_row_group(int(part["rg"]), columns=columns).to_pandas()
+                    kept = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
                 if kept is not None and len(kept):
-                    yield kept[columns]
+                    yield best(kept)[columns]
 
     return read
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, n: int, ties: list[str], row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
+def top_n(layout: Layout, n: int) -> DataFrame:
+    """The ``n`` best rows of every group of a layout; see :func:`top_n_per_group`."""
+    group, score, ties = layout.group, layout.score, layout.ties
+    columns = [group, score, *ties]
+    plan = row_group_plan(layout, n).filter(~F.col("skip"))
+    tasks = plan.groupBy("file").agg(F.collect_list(F.struct("rg", "band", "members", "highs")).alias("plan"))
+    # A file's plan is some kilobytes, and AQE would make one task of all.
+    tasks = tasks.repartition(max(1, layout.statistics.select("file").distinct().count()), "file")
+    best = tasks.mapInPandas(_read_descending(group, score, ties, columns, n), layout.schema)
+    order = Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties])
+    # Every file has given at most n rows of a group, so this window is short.
+    return best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+
+
+def top_n_per_group(
+    df: DataFrame, group: str, score: str, n: int, ties: list[str], band_rows: int = BAND_ROWS, group_rows: int = ROW_GROUP_ROWS, placed: bool = False
+) -> DataFrame:
     """The ``n`` best rows of every group: columns group, score, ties and ``position``.
 
     Order: score descending, then ``ties`` ascending with nulls last; give ties that end
@@ -126,16 +199,4 @@ def top_n_per_group(df: DataFrame, group: str, score: str, n: int, ties: list[st
     scores at the N-th place are decided by the ties; fully equal rows count as often as
     they occur. No rows in, no rows out. Other columns are not read.
     """
-    columns = [group, score, *ties]
-    usable = df.select(*columns).filter(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    schema = T.StructType([usable.schema[c] for c in columns])
-    spark = df.sparkSession
-    path = cluster_by_group(usable, group, score, ties, row_group_bytes)
-    plan = row_group_plan(path, spark, group, score, n).filter(~F.col("skip"))
-    per_file = plan.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rg", "top", "only_group"))).alias("_p"))
-    tasks = per_file.select("file", F.col("_p.top").alias("tops"), F.col("_p.rg").alias("rgs"), F.col("_p.only_group").alias("onlys"))
-    tasks = tasks.repartition(max(1, len(list_files(spark, path))))  # else a few kilobytes of plan become one task
-    best = tasks.mapInPandas(_read_descending(group, score, ties, columns, n), schema)
-    order = Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties])
-    # Every file has given at most n rows of a group, so this window is short.
-    return best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+    return top_n(lay_out(df, group, score, ties, band_rows, group_rows, placed), n)
