@@ -181,7 +181,7 @@ def top_n(layout: Layout, n: int) -> DataFrame:
     plan = row_group_plan(layout, n).filter(~F.col("skip"))
     tasks = plan.groupBy("file").agg(F.collect_list(F.struct("rg", "band", "members", "highs")).alias("plan"))
     # A file's plan is some kilobytes, and AQE would make one task of all.
-    tasks = tasks.repartition(max(1, layout.statistics.select("file").distinct().count()), "file")
+    tasks = tasks.repartition(max(1, layout.statistics.select("file").distinct().count()))
     best = tasks.mapInPandas(_read_descending(group, score, ties, columns, n), layout.schema)
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties])
     # Every file has given at most n rows of a group, so this window is short.
