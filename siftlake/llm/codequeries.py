@@ -30,7 +30,12 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_files(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_distinctive": p5_distinctive, "p6_found": p6_found, "p6_classes": p6_classes}
+def p6_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its leaves and those that another repository has too: what speaks for a copy."""
+    return classify_files(table(spark, sf_dir, "chunks")).select("file_path", "leaves", "common")
+
+
+QUERIES = {"p5_found": p5_found, "p5_distinctive": p5_distinctive, "p6_found": p6_found, "p6_classes": p6_classes, "p6_shared": p6_shared}
 
 _TERMS = """
 WITH one AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE chunk_id IS NOT NULL),
@@ -51,4 +56,11 @@ SELECT chunk_id, term FROM ranked WHERE r <= 3""",
   (tf + total / n * (cf / total)) / (dl + total / n) AS p, cf / total AS q FROM tfs JOIN dfs USING (term) JOIN lens USING (chunk_id), sizes WHERE df >= 2),
 ranked AS (SELECT *, p * ln(p / q) AS kl, row_number() OVER (PARTITION BY chunk_id ORDER BY round(p * ln(p / q), 12) DESC, term) AS r FROM kls)
 SELECT chunk_id, term, tf, df, kl, tfidf FROM ranked WHERE r <= 5""",
+    "p6_shared": r"""
+WITH one AS (SELECT DISTINCT chunk_id, replace(file_path, '\', '/') AS path, content FROM chunks WHERE chunk_id IS NOT NULL AND file_path IS NOT NULL),
+cut AS (SELECT chunk_id, path, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 3) AS l FROM one),
+windows AS (SELECT path, unnest(CASE WHEN len(l) < 3 THEN l ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2]) END) AS leaf FROM cut),
+common AS (SELECT leaf FROM windows GROUP BY leaf HAVING count(DISTINCT split_part(path, '/', 1)) > 1),
+per AS (SELECT path, count(*) AS leaves, count(common.leaf) AS common FROM windows LEFT JOIN common USING (leaf) GROUP BY path)
+SELECT p.path AS file_path, CAST(coalesce(leaves, 0) AS BIGINT) AS leaves, CAST(coalesce(common, 0) AS BIGINT) AS common FROM (SELECT DISTINCT path FROM one) p LEFT JOIN per ON per.path = p.path""",
 }

@@ -5,9 +5,12 @@ A record's term distribution is smoothed with the collection's (Dirichlet prior
 ``p * ln(p / q)``. Common terms have p close to q and score about 0, frequent terms of the
 record that the collection hardly knows score most.
 
-Records are cut into terms once. Their profiles (terms and counts) are written down, the
-collection's counts come from the profiles, and scoring looks the counts up: in a sorted
-table that every task holds while it is small enough, else by a join on the term.
+Records are cut into terms once. Their profiles (terms and counts) are written down in
+parts. Each part hands on its own counts of terms, a row per different term; these are
+summed up per term and the sums go back to the parts that have the term, where they meet
+the profiles as these are read from their file. So no posting is ever shuffled, nothing is
+held by the driver or broadcast, and a task holds the terms of one part, however large the
+collection.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.session import scratch_table
+from siftlake.session import scratch_path
 
-#: Terms that a task may hold for the lookup (about 100 MB); larger vocabularies are joined.
-HELD_TERMS = 3_000_000
+#: Records of a part that are scored at a time.
+SLICE_RECORDS = 20_000
 
 
 def _profile_batch(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -57,22 +60,24 @@ def term_profiles(df: DataFrame, key: str, text: str) -> DataFrame:
     Repeated rows are one record; null keys and null, blank or term-less texts are left
     out; texts are taken whole.
     """
-    records = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(text).alias("text"))
+    records = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    return records.mapInArrow(_profile, f"key {kind}, terms array<string>, tfs array<int>, dl bigint").filter("dl > 0")
+    profiles = records.mapInArrow(_profile, f"key {kind}, terms array<string>, tfs array<int>, dl bigint").filter("dl > 0")
+    return profiles.groupBy("key").agg(F.max(F.struct("dl", "terms", "tfs")).alias("_p")).select("key", "_p.terms", "_p.tfs", "_p.dl")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial (term, df, cf) of a task's profiles, merged as they come."""
+    """(part, term, df, cf) of a task's profiles, merged as they come."""
     held: list[pa.Table] = []
 
     def merged() -> pa.Table:
-        t = pa.concat_tables(held).group_by("term").aggregate([("df", "sum"), ("cf", "sum")])
-        return t.rename_columns(["term", "df", "cf"])
+        t = pa.concat_tables(held).group_by(["part", "term"]).aggregate([("df", "sum"), ("cf", "sum")])
+        return t.rename_columns(["part", "term", "df", "cf"])
 
     for batch in batches:
-        terms, tfs = pc.list_flatten(batch.column(0)), pc.list_flatten(batch.column(1))
-        held.append(pa.table({"term": terms, "df": np.ones(len(terms), dtype=np.int64), "cf": pc.cast(tfs, pa.int64())}))
+        record = pc.list_parent_indices(batch.column("terms"))
+        terms, tfs = pc.list_flatten(batch.column("terms")), pc.list_flatten(batch.column("tfs"))
+        held.append(pa.table({"part": batch.column("part").take(record), "term": terms, "df": np.ones(len(terms), dtype=np.int64), "cf": pc.cast(tfs, pa.int64())}))
         if sum(t.num_rows for t in held) > 2_000_000:
             held = [merged()]
             if held[0].num_rows > 1_000_000:
@@ -81,10 +86,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged().to_batches()
 
 
-def term_statistics(profiles: DataFrame) -> DataFrame:
-    """``term, df, cf`` over all records; counts are combined in each task before the shuffle."""
-    parts = profiles.select("terms", "tfs").mapInArrow(_count, "term string, df bigint, cf bigint")
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+def part_statistics(profiles: DataFrame, min_df: int) -> DataFrame:
+    """``part, term, df, cf``: the counts over all records, for every part that has the term."""
+    parts = profiles.select("part", "terms", "tfs").mapInArrow(_count, "part int, term string, df bigint, cf bigint")
+    counted = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.collect_set("part").alias("parts"))
+    return counted.filter(F.col("df") >= min_df).select(F.explode("parts").alias("part"), "term", "df", "cf")
 
 
 def _scores(tf: np.ndarray, dl: np.ndarray, df: np.ndarray, cf: np.ndarray, n: int, total: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +124,25 @@ def _select(record: np.ndarray, term: np.ndarray, kl: np.ndarray, tfidf: np.ndar
     return np.flatnonzero(chosen)
 
 
-def _score_held(stats_b, n: int, total: int, mu: float, top: int, by_tfidf: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df_of, cf_of = stats_b.value
-        for batch in batches:
+def _part_files(folder: str) -> dict[int, str]:
+    import pyarrow.fs as pafs
+
+    fs, at = pafs.FileSystem.from_uri(folder)
+    names = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("part-")]
+    return {int(p.rsplit("/", 1)[1].split("-")[1]): p for p in names}
+
+
+def _score_parts(folder: str, n: int, total: int, mu: float, top: int, by_tfidf: int):
+    """Meets each part's statistics with its profiles, which are read from their file."""
+
+    def score(part: int, stats: pa.Table, files: dict[int, str]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        stats = stats.sort_by("term").combine_chunks()
+        known, df_of, cf_of = stats.column("term").combine_chunks(), stats.column("df").to_numpy(), stats.column("cf").to_numpy()
+        source = pq.ParquetFile(files[part], filesystem=pafs.FileSystem.from_uri(folder)[0])
+        for batch in source.iter_batches(batch_size=SLICE_RECORDS, columns=["key", "terms", "tfs", "dl"]):
             record = pc.list_parent_indices(batch.column("terms")).to_numpy()
             terms = pc.list_flatten(batch.column("terms"))
             tf = pc.list_flatten(batch.column("tfs")).to_numpy().astype(float)
@@ -139,12 +160,19 @@ def _score_held(stats_b, n: int, total: int, mu: float, top: int, by_tfidf: int)
                 names=["key", "term", "tf", "df", "kl", "tfidf"],
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:  # a task has one part
+            for part in pc.unique(batch.column("part")).to_pylist():
+                held.setdefault(part, []).append(batch.filter(pc.equal(batch.column("part"), part)))
+        files = _part_files(folder) if held else {}
+        for part in sorted(held):
+            yield from score(part, pa.Table.from_batches(held.pop(part)), files)
+
     return run
 
 
-def distinctive_terms(
-    df: DataFrame, key: str, text: str, top: int = 10, mu: float | None = None, min_df: int = 2, by_tfidf: int = 0, held_terms: int = HELD_TERMS
-) -> DataFrame:
+def distinctive_terms(df: DataFrame, key: str, text: str, top: int = 10, mu: float | None = None, min_df: int = 2, by_tfidf: int = 0) -> DataFrame:
     """The ``top`` terms of every record by divergence: ``key, term, tf, df, kl, tfidf``.
 
     Only terms in at least ``min_df`` records count; ``mu`` defaults to the mean record
@@ -154,38 +182,18 @@ def distinctive_terms(
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    profiles = scratch_table(term_profiles(df, key, text), "profiles")
-    size = profiles.agg(F.count("*"), F.sum("dl")).first()
-    n, total = size[0], size[1] or 0
+    folder = scratch_path(spark, "profiles")
+    # The number of a partition is that of the file it is written to.
+    term_profiles(df, key, text).withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    profiles = spark.read.schema(f"key {kind}, terms array<string>, tfs array<int>, dl bigint, part int").parquet(folder)
+    n, total, parts = profiles.agg(F.count("*"), F.sum("dl"), F.max("part")).first()
+    total = total or 0
     mu = float(mu if mu is not None else max(1.0, total / max(n, 1)))
-    stats = scratch_table(term_statistics(profiles).filter(F.col("df") >= min_df), "terms")
-    schema = f"key {kind}, term string, tf int, df bigint, kl double, tfidf double"
-    if stats.count() <= held_terms:
-        found = stats.toArrow().sort_by("term").combine_chunks()
-        column = lambda c: found.column(c).combine_chunks() if found.num_rows else pa.array([], found.schema.field(c).type)
-        stats_b = spark.sparkContext.broadcast((column("term"), column("df").to_numpy(), column("cf").to_numpy()))
-        scored = profiles.mapInArrow(_score_held(stats_b, n, total, mu, top, by_tfidf), schema)
-    else:
-        scored = _score_joined(profiles, stats, n, total, mu, top, by_tfidf)
+    stats = part_statistics(profiles, min_df).repartitionById((parts or 0) + 1, F.col("part"))
+    scored = stats.mapInArrow(_score_parts(folder, n, total, mu, top, by_tfidf), f"key {kind}, term string, tf int, df bigint, kl double, tfidf double")
     return scored.withColumnRenamed("key", key)
 
 
-def _score_joined(profiles: DataFrame, stats: DataFrame, n: int, total: int, mu: float, top: int, by_tfidf: int) -> DataFrame:
-    posting = profiles.select("key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_e")).select("key", "dl", F.col("_e.terms").alias("term"), F.col("_e.tfs").alias("tf"))
-    q = F.col("cf") / F.lit(float(total))
-    p = (F.col("tf") + mu * q) / (F.col("dl") + mu)
-    scored = posting.join(stats, "term").select(
-        "key", "term", "tf", "df", (p * F.log(p / q)).alias("kl"), F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 6).alias("tfidf")
-    )
-    by_kl = Window.partitionBy("key").orderBy(F.desc("kl"), "term")
-    first = scored.withColumn("_r", F.row_number().over(by_kl)).filter(F.col("_r") <= top).drop("_r")
-    if not by_tfidf:
-        return first
-    by_other = Window.partitionBy("key").orderBy(F.desc("tfidf"), "term")
-    other = scored.withColumn("_r", F.row_number().over(by_other)).filter(F.col("_r") <= by_tfidf).drop("_r")
-    return first.unionByName(other).dropDuplicates(["key", "term"])
-
-
 def first_by_tfidf(scored: DataFrame, key: str, m: int) -> DataFrame:
     """Of the operator's rows the first ``m`` per record by tf-idf (6 decimals), then term."""
     by = Window.partitionBy(key).orderBy(F.desc("tfidf"), "term")

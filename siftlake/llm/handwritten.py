@@ -7,12 +7,15 @@ no longer has the hash of the original file, but keeps most of its leaves. Node
 sums of their children's hashes, so a directory is one row per task before the shuffle,
 however many files it has; names play no part, as copies are often renamed.
 
-Generated and minified files and data blobs are told by a comment at the head or the foot
-of the file and by the layout of the lines.
+Generated files are told by a comment: the whole block of comments with which the file
+begins or ends is read, by the comment marks of its language. Files without such a comment,
+minified scripts and data blobs are told by the layout of the lines. Names of directories
+decide nothing; whether a file stands below a usual name for copies is only reported.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 
@@ -34,24 +37,31 @@ LEAST_LEAVES = 3
 LAYOUT_LINES = 12
 #: Lines after which records of a program repeat, at most.
 MOST_PERIOD = 6
-#: Deeper directories are taken together.
-MOST_LEVELS = 40
-#: First lines on which a marker of a generator may stand, and last lines.
-HEAD_LINES, FOOT_LINES = 6, 2
+#: Levels of directories whose hashes are made in one plan; a written table lies between such blocks.
+PLAN_LEVELS = 4
 
 VENDOR_DIRS = (
     "vendor", "third_party", "thirdparty", "third-party", "node_modules", "bower_components", "external", "extern",
     "deps", "bundled", "Godeps", "Pods", "site-packages",
 )
 
-_COMMENT = re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--|%)")
+#: How a comment line may begin, by language; block comments end with the last entry.
+_MARKS = {
+    "hash": (re.compile(r"\s*(?:#|\"\"\"|'''|=begin)"), re.compile(r"\"\"\"|'''|=begin"), re.compile(r"\"\"\"|'''|=end")),
+    "slash": (re.compile(r"\s*(?://|/\*|\*)"), re.compile(r"/\*"), re.compile(r"\*/")),
+    "any": (re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--|%)"), re.compile(r"/\*|<!--"), re.compile(r"\*/|-->")),
+}
+_STYLE = {
+    **dict.fromkeys(("python", "ruby", "shell", "bash", "perl", "r", "yaml", "toml", "elixir", "julia", "make", "dockerfile", "py", "rb", "sh", "pl"), "hash"),
+    **dict.fromkeys(("c", "cpp", "csharp", "go", "java", "javascript", "typescript", "rust", "kotlin", "swift", "scala", "dart", "js", "ts", "rs", "h", "cc"), "slash"),
+}
 _GENERATED = re.compile(
     r"code generated by\b|generated by\b.*\bdo not (?:edit|modify)|@generated\b|\bauto-?generated\b"
     r"|\bautomatically (?:generated|produced|created)|(?:generated|produced|created) automatically"
     r"|automatisch (?:erzeugt|generiert)|g[eé]n[eé]r[eé] automatiquement|generado autom[aá]ticamente|\bregenerate with\b",
     re.I,
 )
-_WORD, _NUMBER, _SPACE = re.compile(r"[A-Za-z_]\w*"), re.compile(r"-?\d+\w*"), re.compile(r"\s+")
+_WORD, _NUMBER, _LETTER = re.compile(r"[A-Za-z_]\w*"), re.compile(r"-?\d+\w*"), re.compile(r"[g-wyzG-WYZ_]")
 _STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
 _VALUES, _VALUE = re.compile(r"[0-9a-fA-FxX.,;\[\](){}\s+-]*"), re.compile(r"0[xX][0-9a-fA-F]+|\d+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
@@ -67,46 +77,82 @@ def _is_data(line: str) -> bool:
     return bool(_VALUES.fullmatch(body)) and len(_VALUE.findall(body)) >= 4
 
 
+#: What the first and the last character of a line tell about its shape.
+_KIND = {**dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "a"), '"': "q", "'": "q"}
+
+
+def _recurs(shapes: list) -> bool:
+    n = len(shapes)
+    return any(sum(map(operator.eq, shapes, shapes[p:])) >= 0.85 * (n - p) > 0 for p in range(1, min(MOST_PERIOD, n // 2) + 1))
+
+
 def _is_periodic(lines: list[str]) -> bool:
     """Whether the shapes of the lines (words, numbers and strings made alike) recur at one
     distance of at most MOST_PERIOD lines nearly everywhere: records written by a program."""
-    text = _STRING.sub("s", "\n".join(x.strip() for x in lines))
-    shapes = _NUMBER.sub("0", _WORD.sub("w", text)).split("\n")
-    return any(
-        sum(a == b for a, b in zip(shapes, shapes[p:])) >= 0.85 * (len(shapes) - p) > 0 for p in range(1, min(MOST_PERIOD, len(shapes) // 2) + 1)
-    )
-
-
-def _features(text: str) -> tuple:
-    """Lines, characters, characters of data lines, lines of a chunk whose layout
-    recurs, whether its first or last lines say generated, and the hashes of the leaves."""
+    lines = [x.strip() for x in lines]
+    # Equal shapes begin and end alike; that spares most texts the rest.
+    if not _recurs([(_KIND.get(x[0], x[0]), _KIND.get(x[-1], x[-1])) for x in lines]):
+        return False
+    text = _STRING.sub("s", "\n".join(lines))
+    return _recurs(_NUMBER.sub("0", _WORD.sub("w", text)).split("\n"))
+
+
+def comment_block(lines: list[str], style: str) -> tuple[list[str], bool]:
+    """The comment lines with which ``lines`` begin, and whether these are all of them."""
+    mark, opens, closes = _MARKS[style]
+    inside, n = False, 0
+    for n, x in enumerate(lines):  # noqa: B007
+        if inside:
+            inside = not closes.search(x)
+            continue
+        at = opens.search(x) if mark.match(x) else None
+        if at:
+            inside = not closes.search(x, at.end())
+        elif not mark.match(x):
+            return lines[:n], False
+    return lines, True
+
+
+def _says_generated(lines: list[str]) -> bool:
+    return bool(_GENERATED.search("\n".join(lines)))
+
+
+def _features(text: str, language: str = "") -> tuple:
+    """Lines, characters, characters of data lines, lines of a chunk whose layout recurs,
+    whether the comments at its beginning or end say generated, whether all of it is
+    comment, and the hashes of the leaves."""
     import xxhash
 
     raw = [x for x in text.split("\n") if x and not x.isspace()]
     if not raw:
-        return 0, 0, 0, 0, False, False, []
+        return 0, 0, 0, 0, False, False, True, []
     chars = sum(map(len, raw))
-    data = sum(len(x) for x in raw if len(x) > 8 and _is_data(x))
+    data = sum(len(x) for x in raw if len(x) > 8 and (len(x) >= 40 or "=" in x or not _LETTER.search(x)) and _is_data(x))
     uniform = len(raw) if _is_periodic(raw) else 0
-    marked = [bool(_COMMENT.match(x) and _GENERATED.search(x)) for x in raw]
-    head, foot = any(marked[:HEAD_LINES]), any(marked[-FOOT_LINES:])
-    lines = [s for x in raw if len(s := _SPACE.sub(" ", x.strip())) > 3]
+    style = _STYLE.get(language, "any")
+    top, whole = comment_block(raw, style)
+    mark = _MARKS[style][0]
+    n = len(raw)
+    while n and (mark.match(raw[n - 1]) or raw[n - 1].rstrip().endswith("*/")):
+        n -= 1
+    head, foot = _says_generated(top), _says_generated(raw[n:])
+    lines = [s for x in raw if len(s := " ".join(x.split())) > 3]
     h = np.array([xxhash.xxh64_intdigest(s) for s in lines], dtype=np.uint64)
     if len(h) >= LEAF_LINES:
         h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
-    return len(raw), chars, data, uniform, head, foot, h.astype(np.int64).tolist()
+    return len(raw), chars, data, uniform, head, foot, whole, h.astype(np.int64).tolist()
 
 
-_FEATURES = "chunk_id string, path string, slot int, lines bigint, chars bigint, data bigint, uniform bigint, head boolean, foot boolean, leaves array<bigint>"
+_FEATURES = "chunk_id string, path string, slot int, lines bigint, chars bigint, data bigint, uniform bigint, head boolean, foot boolean, whole boolean, leaves array<bigint>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [*[pa.int64()] * 4, pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+    kinds = [*[pa.int64()] * 4, *[pa.bool_()] * 3, pa.list_(pa.int64())]
     names = [x.strip().split(" ")[0] for x in _FEATURES.split(",")]
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
             part = batch.slice(at, 4000)
-            rows = list(zip(*(_features(t or "") for t in part.column("content").to_pylist())))
+            rows = list(zip(*map(_features, part.column("content").to_pylist(), part.column("language").to_pylist())))
             if rows:
                 arrays = [part.column("chunk_id"), part.column("path"), part.column("slot"), *[pa.array(r, k) for r, k in zip(rows, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -119,10 +165,12 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
         "chunk_id",
         F.replace(F.col("file_path"), F.lit("\\"), F.lit("/")).alias("path"),
         F.coalesce(F.expr("try_cast(substring_index(chunk_id, ':', -1) AS int)"), F.lit(0)).alias("slot"),
-        "content",
+        F.coalesce("content", F.lit("")).alias("content"),
+        # Without a language the suffix stands in for it.
+        F.lower(F.coalesce("language", F.element_at(F.split("file_path", r"\."), -1))).alias("language"),
     )
     rows = placed.mapInArrow(_extract, _FEATURES)
-    return one_record(rows, "chunk_id", ["path", "slot", "lines", "chars", "data", "uniform", "head", "foot", "leaves"])
+    return one_record(rows, "chunk_id", ["path", "slot", "lines", "chars", "data", "uniform", "head", "foot", "whole", "leaves"])
 
 
 def _node(lo: str = "lo", hi: str = "hi") -> list:
@@ -136,7 +184,7 @@ def _halves(h) -> list:
 
 def tree_hashes(files: DataFrame) -> DataFrame:
     """``dir, hash, leaves`` for every directory, from rows ``path, hash, leaves`` of files."""
-    depth = F.least(F.size(F.split("path", "/")) - 1, F.lit(MOST_LEVELS))
+    depth = F.size(F.split("path", "/")) - 1
     placed = files.withColumn("depth", depth).withColumn("dir", F.expr("substring_index(path, '/', depth)")).filter("depth > 0")
     deepest = placed.agg(F.max("depth")).first()[0] or 0
     below, levels = None, []
@@ -145,7 +193,7 @@ def tree_hashes(files: DataFrame) -> DataFrame:
         if below is not None:
             children = children.unionByName(below.select(F.substring_index("dir", "/", d).alias("dir"), *_halves(F.col("hash")), "leaves"))
         below = children.groupBy("dir").agg(*_node()).select("dir", F.xxhash64("lo", "hi").alias("hash"), "leaves")
-        if d % 4 == 0:
+        if d % PLAN_LEVELS == 0:
             below = scratch_table(below, "dirs")  # keeps the plan of deep trees short
         levels.append(below)
     out = levels[0] if levels else files.select(F.col("path").alias("dir"), "hash", "leaves").limit(0)
@@ -162,20 +210,25 @@ def _shared(nodes: DataFrame, node: str) -> DataFrame:
 def classify_files(chunks: DataFrame) -> DataFrame:
     """One row per file: ``file_path`` (with /) and why it is not hand-written.
 
-    Columns ``generated, minified, data, vendored`` (booleans), ``shared_leaves`` (share of
-    leaves found in another repository), ``handwritten``. The repository is the first part
+    Columns ``generated, minified, data, vendored`` (booleans), ``leaves``, ``common`` and
+    ``shared_leaves`` (how many and which share are found in another repository),
+    ``named_vendor`` (stands below a usual name for copies; no verdict), ``handwritten``.
+    The repository is the first part
     of the path; repositories whose whole trees are equal are mirrors and count as one.
     Null chunk ids and paths are ignored, paths with ``\\`` are the same as with ``/``, null
-    and blank contents have no lines, the language is not needed; repeated rows are one
-    chunk; no rows in, no rows out; other columns are ignored.
+    and blank contents have no lines, without a language the suffix tells the comment marks;
+    repeated rows are one chunk; no rows in, no rows out; other columns are ignored.
     """
     rows = scratch_table(chunk_features(chunks), "features")
     files = rows.groupBy("path").agg(
         F.sum("lines").alias("lines"), F.sum("chars").alias("chars"), F.sum("data").alias("data_chars"), F.sum("uniform").alias("uniform"),
-        (F.max(F.col("head") & (F.col("slot") == 0)) | F.max_by("foot", "slot")).alias("head"), F.sum(F.size("leaves")).alias("leaves"),
+        F.min(F.when(F.col("head"), F.col("slot"))).alias("_head"), F.min(F.when(~F.col("whole"), F.col("slot"))).alias("_body"),
+        F.max(F.when(F.col("foot"), F.col("slot"))).alias("_foot"), F.max(F.when(~F.col("whole"), F.col("slot"))).alias("_end"), F.sum(F.size("leaves")).alias("leaves"),
         F.bit_xor(F.xxhash64("slot", "leaves")).alias("hash"),
     )
-    files = scratch_table(files, "files")
+    # The comments at the head may go on over chunks that hold nothing else, and so may those at the foot.
+    marked = (F.col("_head") <= F.coalesce("_body", "_head")) | (F.col("_foot") >= F.coalesce("_end", "_foot"))
+    files = scratch_table(files.withColumn("head", F.coalesce(marked, F.lit(False))).drop("_head", "_body", "_foot", "_end"), "files")
     trees = scratch_table(tree_hashes(files.select("path", "hash", F.col("leaves").cast("bigint").alias("leaves"))), "trees")
 
     roots = trees.filter(~F.col("dir").contains("/"))
@@ -190,7 +243,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     inner = trees.filter(big & F.col("dir").contains("/"))
     same_dir = inner.join(_shared(with_repo(inner, "dir"), "hash"), "hash", "left_semi").select(F.col("dir").alias("_dir"))
     parts = F.split("path", "/")
-    above = files.select("path", F.explode(F.expr(f"transform(sequence(2, greatest(2, least(size(split(path, '/')) - 1, {MOST_LEVELS}))), i -> substring_index(path, '/', i))")).alias("_dir"))
+    above = files.select("path", F.explode(F.expr("transform(sequence(2, greatest(2, size(split(path, '/')) - 1)), i -> substring_index(path, '/', i))")).alias("_dir"))
     in_shared_dir = above.join(same_dir, "_dir", "left_semi").select(F.col("path").alias("_p")).distinct()
 
     # A leaf counts once per file; a leaf that all files have is one row per file, joined once.
@@ -213,7 +266,10 @@ def classify_files(chunks: DataFrame) -> DataFrame:
         (text & (F.col("head") | ((F.col("lines") >= LAYOUT_LINES) & (F.col("uniform") >= 0.8 * F.col("lines"))))).alias("generated"),
         (text & (F.col("chars") / F.col("lines") >= 120) & (F.col("data_chars") < 0.7 * F.col("chars"))).alias("minified"),
         (text & (F.col("data_chars") >= 0.7 * F.col("chars"))).alias("data"),
-        (vendor_dir | (big & (F.col("_fh").isNotNull() | (share >= SHARED_LEAVES))) | F.col("_p").isNotNull()).alias("vendored"),
+        ((big & (F.col("_fh").isNotNull() | (share >= SHARED_LEAVES))) | F.col("_p").isNotNull()).alias("vendored"),
+        "leaves",
+        F.coalesce("_common", F.lit(0)).alias("common"),
         share.alias("shared_leaves"),
+        vendor_dir.alias("named_vendor"),
     )
     return flags.withColumn("handwritten", ~(F.col("generated") | F.col("minified") | F.col("data") | F.col("vendored")))

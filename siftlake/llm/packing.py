@@ -3,8 +3,9 @@
 Items are spread over shards by hash; each shard is packed for itself, so the work is
 one pass over numbers. In a shard the partitions to merge are those with the largest
 imbalance, and they are merged against each other: the fullest windows of one with the
-emptiest of the other. That gives windows of nearly equal size. If a window still
-overflows, the number of windows is raised.
+emptiest of the other. That gives windows of nearly equal size. If windows still
+overflow, they exchange items with windows that have room, and only for what stays over the
+number of windows is raised and differenced again.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.bytetokens import token_counts
 from siftlake.session import scratch_table
 
+#: Exchanges are looked for in blocks of at most this many pairs of offers.
+BLOCK_OFFERS = 4_000_000
 #: Items of a shard: enough to fill windows well, few enough for one short task.
 SHARD_ITEMS = 1_000
 
@@ -84,9 +87,45 @@ def difference(weights: np.ndarray, k: int) -> tuple[list[list[int]], np.ndarray
 
 
 def _subsets(weights: np.ndarray, part: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """Weight and items of every single item and pair of a window."""
-    pairs = [(x, y) for i, x in enumerate(part) for y in part[i + 1 :]]
-    return [*[(int(weights[x]), (x,)) for x in part], *[(int(weights[x] + weights[y]), (x, y)) for x, y in pairs]]
+    """Single items and pairs of a window, one for each different weight."""
+    found: dict[int, tuple[int, ...]] = {}
+    kinds: dict[int, list[int]] = {}
+    for x in part:
+        kinds.setdefault(int(weights[x]), []).append(x)
+    for w, xs in kinds.items():
+        found.setdefault(w, (xs[0],))
+    ordered = list(kinds.items())
+    for i, (w, xs) in enumerate(ordered):
+        if len(xs) > 1:
+            found.setdefault(2 * w, (xs[0], xs[1]))
+        for u, ys in ordered[i + 1 :]:
+            found.setdefault(w + u, (xs[0], ys[0]))
+    return list(found.items())
+
+
+def _exchange(give: list, offers: list, room: np.ndarray, need: int) -> tuple[int, int, int] | None:
+    """(offer given, window, offer taken): the exchange that frees ``need`` with least to spare, else the
+    one that frees most; none if none frees anything."""
+    mine, best, found = np.array([w for w, _ in give]), None, None
+    windows = np.flatnonzero(room > 0)
+    sizes = np.array([len(offers[i]) for i in windows], dtype=np.int64)
+    at = 0
+    while at < len(windows):  # some windows at a time: those with many small items have many offers
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]) * len(mine), BLOCK_OFFERS)))
+        some = windows[at:upto]
+        where = np.repeat(some, sizes[at:upto])
+        theirs = np.array([w for i in some for w, _ in offers[i]])
+        which = np.concatenate([np.arange(n) for n in sizes[at:upto]])
+        gain = mine[:, None] - theirs[None, :]
+        fits = (gain > 0) & (gain <= room[where][None, :])
+        if fits.any():
+            cures = fits & (gain >= need)
+            rank = np.where(cures, gain - need, np.where(fits, (1 << 40) - gain, 1 << 60))
+            i, j = np.unravel_index(int(np.argmin(rank)), gain.shape)
+            if best is None or rank[i, j] < best:
+                best, found = rank[i, j], (int(i), int(where[j]), int(which[j]))
+        at = upto
+    return found
 
 
 def _settle(weights: np.ndarray, parts: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
@@ -101,43 +140,44 @@ def _settle(weights: np.ndarray, parts: list[list[int]], capacity: int) -> tuple
     room = np.array([capacity - int(weights[p].sum()) for p in parts])
     offers = [[(0, ()), *_subsets(weights, p)] for p in parts]
     while room[full := int(np.argmin(room))] < 0:
-        windows = np.flatnonzero(room > 0)
         give = offers[full][1:]
-        where = np.repeat(windows, [len(offers[i]) for i in windows])
-        take = [o for i in windows for o in offers[i]]
-        gain = np.array([w for w, _ in give])[:, None] - np.array([w for w, _ in take])[None, :] if take else np.zeros((len(give), 0))
-        fits = (gain > 0) & (gain <= room[where][None, :])
-        if not fits.any():
+        found = _exchange(give, offers, room, int(-room[full]))
+        if found is None:
             enough = [x for x in parts[full] if weights[x] >= -room[full]] or parts[full]
             item = min(enough, key=lambda x: (weights[x], x))
             parts[full].remove(item)
             loose.append(item)
-            room[full] = capacity - int(weights[parts[full]].sum())
-            offers[full] = [(0, ()), *_subsets(weights, parts[full])]
-            continue
-        cures = fits & (gain >= -room[full])
-        at = np.argmin(np.where(cures, gain, 1 << 60)) if cures.any() else np.argmax(np.where(fits, gain, -1))
-        i, j = np.unravel_index(at, gain.shape)
-        other, out, back = int(where[j]), give[i][1], take[j][1]
-        parts[full] = [x for x in parts[full] if x not in out] + list(back)
-        parts[other] = [x for x in parts[other] if x not in back] + list(out)
-        for w in (full, other):
+            changed = (full,)
+        else:
+            i, other, j = found
+            out, back = give[i][1], offers[other][j][1]
+            parts[full] = [x for x in parts[full] if x not in out] + list(back)
+            parts[other] = [x for x in parts[other] if x not in back] + list(out)
+            changed = (full, other)
+        for w in changed:
             room[w] = capacity - int(weights[parts[w]].sum())
             offers[w] = [(0, ()), *_subsets(weights, parts[w])]
     return parts, loose
 
 
-def fill(weights: np.ndarray, capacity: int) -> list[list[int]]:
+def fill(weights: np.ndarray, capacity: int, exchange: bool = True) -> list[list[int]]:
     """Parts of at most ``capacity``; every weight must fit.
 
     Differencing into as many windows as the total needs makes them nearly equal. Windows
     that overflow are settled by exchanges; what they still have to give up goes, again by
-    differencing, into additional windows: the number rises only by what is over.
+    differencing, into additional windows: the number rises only by what is over. Without
+    ``exchange`` the number is raised and everything differenced again until all fit, which
+    takes more windows if these hold few items each.
     """
     if not len(weights):
         return []
     k = min(len(weights), max(1, math.ceil(int(weights.sum()) / capacity)))
     parts, sums = difference(weights, k)
+    if not exchange:
+        while sums.max() > capacity:
+            k = min(len(weights), k + max(1, int((sums > capacity).sum()) // 4))
+            parts, sums = difference(weights, k)
+        return [p for p in parts if p]
     loose: list[int] = []
     if sums[0] > capacity:
         parts, loose = _settle(weights, parts, capacity)

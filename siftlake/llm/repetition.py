@@ -153,19 +153,31 @@ def _rest(least: int, discount: np.ndarray) -> list:
     return [F.sum("c").cast("double").alias("total"), (F.sum(taken.cast("double")) / F.sum("c")).alias("rest")]
 
 
+def _taken(count: str, discount: np.ndarray):
+    """What is taken off a count: one of three discounts."""
+    c = F.col(count)
+    return F.when(c == 1, float(discount[1])).when(c == 2, float(discount[2])).otherwise(float(discount[3]))
+
+
+def _discounts(table: DataFrame, count: str) -> np.ndarray:
+    """The three discounts of modified Kneser-Ney smoothing, from the counts of counts."""
+    n = [0, *table.agg(*[F.count(F.when(F.col(count) == i, 1)) for i in (1, 2, 3, 4)]).first()]
+    y = n[1] / max(n[1] + 2 * n[2], 1)
+    return np.array([0.0, *[min(i, max(0.0, i - (i + 1) * y * n[i + 1] / max(n[i], 1))) for i in (1, 2, 3)]])
+
+
 def count_model(docs: DataFrame, text: str) -> Counts:
     """Counts all texts; nothing is left out."""
     pairs = docs.select(text).mapInArrow(_count_pairs, "v bigint, w bigint, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
     pairs = scratch_table(pairs, "pairs")
-    n = [0, *pairs.agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()]
-    y = n[1] / max(n[1] + 2 * n[2], 1)
-    discount = np.array([0.0, *[min(i, max(0.0, i - (i + 1) * y * n[i + 1] / max(n[i], 1))) for i in (1, 2, 3)]])
+    discount = _discounts(pairs, "c")
     words = scratch_table(pairs.groupBy("w").agg(F.count("*").alias("kinds")), "words")
-    size = words.agg(F.count("*"), F.sum("kinds")).first()
-    vocabulary, kinds = size[0] or 0, size[1] or 1
-    # Absolute discounting of the continuation counts; what it frees is shared evenly.
-    flat = 0.5 * vocabulary / kinds / (vocabulary + 1)
-    words = words.withColumn("share", (F.col("kinds") - 0.5) / kinds + flat)
+    # The lower order is smoothed by the continuation counts in the same way; what that frees is shared evenly.
+    lower = _discounts(words, "kinds")
+    vocabulary, kinds, freed = words.agg(F.count("*"), F.sum("kinds"), F.sum(_taken("kinds", lower))).first()
+    vocabulary, kinds = vocabulary or 0, kinds or 1
+    flat = float(freed or 0.0) / kinds / (vocabulary + 1)
+    words = words.withColumn("share", (F.col("kinds") - _taken("kinds", lower)) / kinds + flat)
     contexts = scratch_table(pairs.groupBy("v").agg(*_rest(1, discount)), "contexts")
     return Counts(pairs, contexts, words, max(flat, 1e-9), discount)
 

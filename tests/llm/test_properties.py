@@ -50,7 +50,7 @@ def test_merged_sketches_keep_count_and_range(parts):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=400))
 def test_features_of_any_text(text):
-    lines, chars, data, uniform, head, foot, leaves = _features(text)
+    lines, chars, data, uniform, head, foot, whole, leaves = _features(text)
     assert 0 <= data <= chars and uniform in (0, lines) and len(leaves) <= max(lines, 1)
 
 
