@@ -59,12 +59,18 @@ def by_category(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     return scores.join(kinds, "query_id").groupBy("category").agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))
 
 
+def by_language(scores: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Mean score per language; tasks without one are a language of their own (null)."""
+    langs = tasks.select(F.col("task_id").cast("bigint").alias("query_id"), "language").dropDuplicates(["query_id"])
+    return scores.join(langs, "query_id").groupBy("language").agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))
+
+
 def macro_average(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     """Mean of the means per language, and percentiles over all queries."""
-    langs = tasks.select(F.col("task_id").cast("bigint").alias("query_id"), "language").dropDuplicates(["query_id"])
-    per = scores.join(langs, "query_id").groupBy("language").agg(F.avg("ndcg").alias("m"))
-    overall = scores.agg(F.percentile("ndcg", F.array(F.lit(0.5), F.lit(0.9))).alias("p"))
-    return per.agg(F.avg("m").alias("macro")).crossJoin(F.broadcast(overall)).select("macro", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"))
+    per = by_language(scores, tasks)
+    places = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    overall = scores.agg(F.percentile("ndcg", F.array(*[F.lit(p) for p in places.values()])).alias("p"))
+    return per.agg(F.avg("ndcg").alias("macro")).crossJoin(F.broadcast(overall)).select("macro", *[F.col("p")[i].alias(n) for i, n in enumerate(places)])
 
 
 def coverage_curve(results: DataFrame, targets: DataFrame, tokens: Column | None = None) -> DataFrame:

@@ -58,16 +58,27 @@ def usage_stream(spark, sf_dir):
     return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "call", "calls", "snippet_chars", "file_chars", "saved_chars")
 
 
+#: Each retriever's list for a query is judged for itself: a run is 3 * query_id + place of the retriever.
+RETRIEVERS = ["bm25", "grep", "semantic"]
+
+
+def _runs(df, query="query_id"):
+    """Every row once for each retriever, with the number of the run for that of the query."""
+    run = F.explode(F.array(*[(F.col(query).cast("bigint") * len(RETRIEVERS) + i) for i in range(len(RETRIEVERS))]))
+    return df.withColumn("_run", run).drop(query).withColumnRenamed("_run", query)
+
+
 def _results(spark, sf_dir, n=50):
-    """The held semantic results of every query, ranked, with their chunks."""
-    held = table(spark, sf_dir, "retrieved").filter("score IS NOT NULL AND NOT isnan(score) AND retriever = 'semantic'")
-    held = held.groupBy(F.col("query_id").cast("bigint").alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
+    """The held results of every run, ranked, with their chunks."""
+    held = table(spark, sf_dir, "retrieved").filter(F.expr("score IS NOT NULL AND NOT isnan(score)") & F.col("retriever").isin(RETRIEVERS))
+    run = F.col("query_id").cast("bigint") * len(RETRIEVERS) + F.array_position(F.array(*[F.lit(r) for r in RETRIEVERS]), F.col("retriever")) - 1
+    held = held.groupBy(run.alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
     chunks = prepare_chunks(table(spark, sf_dir, "chunks")).select("chunk_id", "file_path", "start_line", "end_line", "content")
     return top_k(held, n).join(chunks, "chunk_id")
 
 
 def _targets(spark, sf_dir):
-    return E.task_targets(table(spark, sf_dir, "tasks"))
+    return _runs(E.task_targets(table(spark, sf_dir, "tasks")))
 
 
 def span_overlap_join(spark, sf_dir):
@@ -80,12 +91,17 @@ def ndcg_at_10(spark, sf_dir):
 
 def ndcg_by_category(spark, sf_dir):
     scores = E.ndcg(_results(spark, sf_dir), _targets(spark, sf_dir), 10)
-    return E.by_category(scores, table(spark, sf_dir, "tasks")).select("category", F.round("ndcg", 9).alias("ndcg"), "queries")
+    return E.by_category(scores, _runs(table(spark, sf_dir, "tasks"), "task_id")).select("category", F.round("ndcg", 9).alias("ndcg"), "queries")
 
 
 def ndcg_macro(spark, sf_dir):
     scores = scratch_table(E.ndcg(_results(spark, sf_dir), _targets(spark, sf_dir), 10), "ndcg")
-    return E.macro_average(scores, table(spark, sf_dir, "tasks")).select(*[F.round(c, 9).alias(c) for c in ("macro", "median", "p90")])
+    return E.macro_average(scores, _runs(table(spark, sf_dir, "tasks"), "task_id")).select(*[F.round(c, 9).alias(c) for c in ("macro", "median", "p90", "p95", "p99")])
+
+
+def ndcg_by_language(spark, sf_dir):
+    scores = E.ndcg(_results(spark, sf_dir), _targets(spark, sf_dir), 10)
+    return E.by_language(scores, _runs(table(spark, sf_dir, "tasks"), "task_id")).select("language", F.round("ndcg", 9).alias("ndcg"), "queries")
 
 
 def _curve(spark, sf_dir):
@@ -97,7 +113,7 @@ def coverage_curve(spark, sf_dir):
 
 
 def recall_at_budget(spark, sf_dir):
-    return E.recall_at(_curve(spark, sf_dir), _targets(spark, sf_dir), [500, 1000, 2000, 4000, 8000]).select("budget", F.round("recall", 9).alias("recall"))
+    return E.recall_at(_curve(spark, sf_dir), _targets(spark, sf_dir), [500, 1000, 2000, 4000, 8000, 16_000, 32_000]).select("budget", F.round("recall", 9).alias("recall"))
 
 
 def tokens_first_hit(spark, sf_dir):
@@ -116,12 +132,12 @@ def paired_reduction(spark, sf_dir):
     The first hit is looked for in all ranked files. Queries of which no file covers a
     target are never found, so their files need no ranking.
     """
-    chunks, targets = prepare_chunks(table(spark, sf_dir, "chunks")), _targets(spark, sf_dir)
+    chunks, targets = prepare_chunks(table(spark, sf_dir, "chunks")), E.task_targets(table(spark, sf_dir, "tasks"))
     whole = chunks.groupBy("file_path").agg(F.sum(F.length("content")).alias("chars"), F.lit(1).alias("start_line"), F.max("end_line").alias("end_line"))
     asked = _tasks(spark, sf_dir).join(E.covered_queries(whole, targets), "query_id", "left_semi")
     files = E.keyword_ranking(asked, chunks, STOPWORDS).join(whole, "file_path")
     other = E.first_hits(E.coverage_curve(files, targets, F.expr("chars div 4")), targets, 32_000)
-    out = E.paired_reduction(E.first_hits(_curve(spark, sf_dir), targets, 32_000), other)
+    out = E.paired_reduction(E.first_hits(_curve(spark, sf_dir), _runs(targets), 32_000), _runs(other))
     return out.select("n_paired", *[F.round(c, 9).alias(c) for c in ("median_reduction", "mean_reduction", "better")])
 
 
@@ -188,7 +204,7 @@ def ignore_eval(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        savings_buckets, call_type_share, usage_daily, usage_stream, span_overlap_join, ndcg_at_10, ndcg_by_category, ndcg_macro, coverage_curve, recall_at_budget,
+        savings_buckets, call_type_share, usage_daily, usage_stream, span_overlap_join, ndcg_at_10, ndcg_by_category, ndcg_by_language, ndcg_macro, coverage_curve, recall_at_budget,
         tokens_first_hit, grep_keyword_rank, paired_reduction, savings_of_results, chunk_lines, syntax_chunks, language_of_files, ext_by_content, file_states, git_urls, ignore_eval,
     )
 }
@@ -198,12 +214,15 @@ CAST(floor(value * 10) AS BIGINT) AS file_chars FROM events)"""
 _DAILY = f"""WITH {_LOG} SELECT strftime(day, '%Y-%m-%d') AS day, call, count(*) AS calls, CAST(sum(snippet_chars) AS BIGINT) AS snippet_chars, CAST(sum(file_chars) AS BIGINT) AS file_chars,
 CAST(sum(greatest(0, file_chars - snippet_chars)) AS BIGINT) AS saved_chars FROM log GROUP BY ALL"""
 _RESULTS = f"""{Q.CHUNKS},
-held AS (SELECT query_id, chunk_id, max(score) AS score FROM retrieved WHERE score IS NOT NULL AND NOT isnan(score) AND retriever = 'semantic' GROUP BY ALL),
+held AS (SELECT CAST(query_id AS BIGINT) * 3 + list_position(['bm25', 'grep', 'semantic'], retriever) - 1 AS query_id, chunk_id, max(score) AS score FROM retrieved
+  WHERE score IS NOT NULL AND NOT isnan(score) AND retriever IN ('bm25', 'grep', 'semantic') GROUP BY ALL),
 topped AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM held),
 results AS (SELECT query_id, rank, one.* FROM topped JOIN one USING (chunk_id) WHERE rank <= 50),
 flat AS (SELECT DISTINCT task_id AS query_id, generate_subscripts(targets, 1) - 1 AS target, unnest(targets) AS t FROM (SELECT DISTINCT task_id, targets FROM tasks)),
-targets AS (SELECT query_id, CAST(target AS INTEGER) AS target, replace(t.path, '\\', '/') AS path,
+ptargets AS (SELECT query_id, CAST(target AS INTEGER) AS target, replace(t.path, '\\', '/') AS path,
   CASE WHEN t.start_line IS NOT NULL AND t.end_line IS NOT NULL THEN t.start_line END AS s, CASE WHEN t.start_line IS NOT NULL AND t.end_line IS NOT NULL THEN t.end_line END AS e FROM flat),
+runs AS (SELECT unnest([0, 1, 2]) AS run),
+targets AS (SELECT CAST(query_id AS BIGINT) * 3 + run AS query_id, target, path, s, e FROM ptargets, runs),
 hits AS (SELECT r.query_id, target, rank FROM results r JOIN targets t ON r.query_id = t.query_id AND (file_path = path OR ends_with(file_path, '/' || path) OR ends_with(path, '/' || file_path))
   AND (s IS NULL OR NOT (end_line < s OR start_line > e))),
 wanted AS (SELECT query_id, count(*) AS n FROM targets GROUP BY query_id),
@@ -218,7 +237,7 @@ _GREP = f"""asked AS (SELECT DISTINCT task_id AS query_id, query FROM tasks WHER
 kw AS (SELECT DISTINCT query_id, lower(w) AS word FROM (SELECT query_id, unnest(regexp_extract_all(query, '[a-zA-Z][a-zA-Z0-9]*')) AS w FROM asked) WHERE length(w) >= 3 AND NOT list_contains({Q.STOP}, lower(w))),
 fw AS (SELECT DISTINCT file_path, lower(w) AS word FROM (SELECT file_path, unnest(regexp_extract_all(content, '[a-zA-Z][a-zA-Z0-9]*')) AS w FROM one)),
 gh AS (SELECT query_id, file_path, count(*) AS hits FROM kw JOIN fw USING (word) GROUP BY ALL),
-grepped AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, file_path) AS INTEGER) AS rank FROM gh) WHERE rank <= 50)"""
+grepped AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, file_path) AS INTEGER) AS rank FROM gh))"""
 
 _DIM = "dim(ext, language, content_type) AS (VALUES " + ", ".join(f"('{s}', '{lang}', '{k}')" for s, lang, k in language_rows()) + ")"
 
@@ -248,25 +267,30 @@ SELECT *, CAST(saved_chars // 4 AS BIGINT) AS saved_tokens, CAST(CASE WHEN file_
     "usage_stream": _DAILY,
     "span_overlap_join": f"WITH {_RESULTS} SELECT query_id, target, rank FROM hits",
     "ndcg_at_10": f"WITH {_RESULTS} SELECT query_id, round(ndcg, 9) AS ndcg FROM scores",
-    "ndcg_by_category": f"""WITH {_RESULTS}, k AS (SELECT DISTINCT task_id AS query_id, coalesce(category, CASE WHEN NOT contains(trim(query), ' ') THEN 'symbol' WHEN starts_with(lower(query), 'how ') THEN 'architecture'
- WHEN query IS NOT NULL THEN 'semantic' ELSE 'semantic' END) AS category FROM tasks)
+    "ndcg_by_category": f"""WITH {_RESULTS}, k AS (SELECT DISTINCT CAST(task_id AS BIGINT) * 3 + run AS query_id, coalesce(category, CASE WHEN NOT contains(trim(query), ' ') THEN 'symbol' WHEN starts_with(lower(query), 'how ') THEN 'architecture'
+ WHEN query IS NOT NULL THEN 'semantic' ELSE 'semantic' END) AS category FROM tasks, runs)
 SELECT category, round(avg(ndcg), 9) AS ndcg, count(*) AS queries FROM scores JOIN k USING (query_id) GROUP BY category""",
-    "ndcg_macro": f"""WITH {_RESULTS}, l AS (SELECT DISTINCT task_id AS query_id, language FROM tasks), per AS (SELECT language, avg(ndcg) AS m FROM scores JOIN l USING (query_id) GROUP BY language)
-SELECT round((SELECT avg(m) FROM per), 9) AS macro, round(quantile_cont(ndcg, 0.5), 9) AS median, round(quantile_cont(ndcg, 0.9), 9) AS p90 FROM scores""",
+    "ndcg_macro": f"""WITH {_RESULTS}, l AS (SELECT DISTINCT CAST(task_id AS BIGINT) * 3 + run AS query_id, language FROM tasks, runs), per AS (SELECT language, avg(ndcg) AS m FROM scores JOIN l USING (query_id) GROUP BY language)
+SELECT round((SELECT avg(m) FROM per), 9) AS macro, round(quantile_cont(ndcg, 0.5), 9) AS median, round(quantile_cont(ndcg, 0.9), 9) AS p90,
+ round(quantile_cont(ndcg, 0.95), 9) AS p95, round(quantile_cont(ndcg, 0.99), 9) AS p99 FROM scores""",
+    "ndcg_by_language": f"""WITH {_RESULTS}, l AS (SELECT DISTINCT CAST(task_id AS BIGINT) * 3 + run AS query_id, language FROM tasks, runs)
+SELECT language, round(avg(ndcg), 9) AS ndcg, count(*) AS queries FROM scores JOIN l USING (query_id) GROUP BY language""",
     "coverage_curve": f"WITH {_RESULTS}, {_CURVE} SELECT * FROM curve",
-    "recall_at_budget": f"""WITH {_RESULTS}, {_CURVE}, b AS (SELECT unnest([500, 1000, 2000, 4000, 8000])::BIGINT AS budget),
+    "recall_at_budget": f"""WITH {_RESULTS}, {_CURVE}, b AS (SELECT unnest([500, 1000, 2000, 4000, 8000, 16000, 32000])::BIGINT AS budget),
 best AS (SELECT query_id, budget, max(covered) AS covered FROM curve, b WHERE tokens <= budget GROUP BY ALL)
 SELECT budget, round(avg(coalesce(covered, 0) / n), 9) AS recall FROM wanted CROSS JOIN b LEFT JOIN best USING (query_id, budget) GROUP BY budget""",
     "tokens_first_hit": f"WITH {_RESULTS}, {_CURVE} {_FIRST.format(c='curve')}",
     "grep_keyword_rank": f"WITH {Q.CHUNKS}, {_GREP} SELECT query_id, rank, file_path, hits FROM grepped",
     "paired_reduction": f"""WITH {_RESULTS}, {_CURVE}, {_GREP},
 whole AS (SELECT file_path, sum(length(content)) AS chars FROM one GROUP BY file_path), gt AS (SELECT g.*, chars FROM grepped g JOIN whole USING (file_path)),
-ghit AS (SELECT query_id, target, min(rank) AS rank FROM gt JOIN (SELECT file_path, max(end_line) AS end_line FROM one GROUP BY file_path) USING (file_path) JOIN targets t USING (query_id)
+ghit AS (SELECT query_id, target, min(rank) AS rank FROM gt JOIN (SELECT file_path, max(end_line) AS end_line FROM one GROUP BY file_path) USING (file_path) JOIN ptargets t USING (query_id)
   WHERE (file_path = path OR ends_with(file_path, '/' || path) OR ends_with(path, '/' || file_path)) AND (s IS NULL OR NOT (end_line < s OR 1 > e)) GROUP BY ALL),
 gnew AS (SELECT query_id, rank, count(*) AS new FROM ghit GROUP BY ALL),
 gcurve AS (SELECT g.query_id, g.rank, CAST(sum(chars // 4) OVER w AS BIGINT) AS tokens, coalesce(sum(new) OVER w, 0) AS covered FROM gt g LEFT JOIN gnew f ON f.query_id = g.query_id AND f.rank = g.rank
   WINDOW w AS (PARTITION BY g.query_id ORDER BY g.rank)),
-a AS ({_FIRST.format(c='curve')}), b AS ({_FIRST.format(c='gcurve')}),
+a AS ({_FIRST.format(c='curve')}),
+b AS (SELECT CAST(w.query_id AS BIGINT) * 3 + run AS query_id, CAST(coalesce(min(tokens), 32000) AS BIGINT) AS tokens, min(tokens) IS NOT NULL AS found
+  FROM (SELECT DISTINCT query_id FROM ptargets) w CROSS JOIN runs LEFT JOIN gcurve c ON c.query_id = w.query_id AND covered > 0 GROUP BY w.query_id, run),
 both_ AS (SELECT a.tokens AS x, b.tokens AS y FROM a JOIN b USING (query_id) WHERE a.found AND b.found AND b.tokens > 0)
 SELECT count(*) AS n_paired, round(1 - quantile_cont(x / y, 0.5), 9) AS median_reduction, round(1 - avg(x / y), 9) AS mean_reduction, round(avg(CASE WHEN x < y THEN 1.0 ELSE 0.0 END), 9) AS better FROM both_""",
     "savings_of_results": f"""WITH {_RESULTS}, five AS (SELECT * FROM results WHERE rank <= 5), sizes AS (SELECT path AS file_path, max(size) AS size FROM files GROUP BY path),
