@@ -1,37 +1,43 @@
 """The most similar vectors of every vector: a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample and shipped to the executors; every vector is
-put into one leaf. A query walks the tree best bin first: a priority queue of nodes by
-similarity to their centroid, opening inner nodes and collecting leaves. How many leaves
-a query visits is calibrated: a sample of queries is answered exactly against all rows,
-and the visits are widened until the recall asked for is reached.
+The upper part of the tree is fitted on a bounded sample and shipped to the executors; its
+ends are cells of some ten thousand rows. Each cell then gets its own lower part, fitted by
+the task that holds the cell, down to leaves of a few rows: the number of leaves grows with
+the collection, and no one holds them all. A query walks the upper part best bin first, by a
+priority queue of nodes ordered by similarity to their centroid, and is sent to the cells it
+reaches; within a cell it visits the best leaves. How many cells and leaves is calibrated: a
+sample of queries is answered exactly against all rows, and visits are widened at the least
+cost until the recall asked for is reached. Other queries, also answered exactly, measure it.
 
 Equal vectors are one class, searched once; a class with a third of all rows costs one
-row in the index. Leaves are worked through in blocks of bounded size.
+row in the index. Cells are worked through in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import one_record
 from siftlake.session import scratch_table
 
-#: Rows the tree may be fitted on; with 64 dimensions this is 13 MB on the driver. Leaves grow
-#: with the collection beyond it: for hundreds of millions of vectors raise it accordingly.
+#: Rows the upper part may be fitted on; with 64 dimensions this is 13 MB on the driver.
 SAMPLE_ROWS = 50_000
-#: Exactly answered queries from which the number of leaf visits is calibrated.
-CALIBRATION_QUERIES = 400
-#: Rows of a leaf, and queries of a leaf, that one task takes at a time.
-BLOCK_ROWS = 20_000
+#: Exactly answered queries: half of them set the visits, the others measure the recall.
+CALIBRATION_QUERIES = 800
+#: Rows of a cell, about, and of a leaf, at most. A sample of SAMPLE_ROWS has a few thousand
+#: cells at most: with more than some ten million rows cells grow and are cut into blocks.
+CELL_ROWS = 16_000
+LEAF_ROWS = 16
+#: Rows of a cell, and queries of a cell, that one task takes at a time.
+BLOCK_ROWS = 50_000
 
 
 @dataclass
@@ -103,21 +109,38 @@ def assign_leaves(tree: Tree, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, v: np.ndarray, visits: int) -> list[list[int]]:
-    """For each vector its first ``visits`` leaves, best bin first."""
-    out = []
-    for at in range(0, len(v), 2048):
-        near = v[at : at + 2048] @ tree.centroids.T
-        for row in near:
-            queue, found = [(0.0, 0)], []
-            while queue and len(found) < visits:
-                _, node = heapq.heappop(queue)
-                if tree.leaf[node] >= 0:
-                    found.append(tree.leaf[node])
-                else:
-                    for child in tree.children[node]:
-                        heapq.heappush(queue, (-row[child], child))
-            out.append(found)
+def best_bins(tree: Tree, v: np.ndarray, visits: int) -> np.ndarray:
+    """For each vector its first ``visits`` leaves, best bin first; -1 where there are no more.
+
+    The priority queues of a batch of vectors are rows of one array: in each round every
+    vector takes its best node and either notes a leaf or queues the node's children.
+    """
+    width = max((len(c) for c in tree.children), default=0)
+    kids = np.full((len(tree.children), max(width, 1)), -1)
+    for i, c in enumerate(tree.children):
+        kids[i, : len(c)] = c
+    leaf, centroids = np.array(tree.leaf), tree.centroids.astype(np.float32)
+    out = np.full((len(v), visits), -1, dtype=np.int64)
+    for at in range(0, len(v), 4096):
+        some = v[at : at + 4096].astype(np.float32)
+        rows = np.arange(len(some))
+        nodes, sims, found = np.zeros((len(some), 1), dtype=np.int64), np.ones((len(some), 1), dtype=np.float32), np.zeros(len(some), dtype=np.int64)
+        while len(rows):
+            best = np.argmax(sims[rows], axis=1)
+            top = sims[rows, best]
+            rows, best = rows[top > -2], best[top > -2]  # the others have seen all leaves
+            node = nodes[rows, best]
+            sims[rows, best] = -3
+            ends = leaf[node] >= 0
+            out[at + rows[ends], found[rows[ends]]] = leaf[node[ends]]
+            found[rows[ends]] += 1
+            if (~ends).any():
+                more = kids[node[~ends]]
+                near = np.einsum("bd,bkd->bk", some[rows[~ends]], centroids[more])
+                new_nodes, new_sims = np.zeros((len(some), more.shape[1]), dtype=np.int64), np.full((len(some), more.shape[1]), -3, dtype=np.float32)
+                new_nodes[rows[~ends]], new_sims[rows[~ends]] = more, np.where(more >= 0, near, -3)
+                nodes, sims = np.hstack([nodes, new_nodes]), np.hstack([sims, new_sims])
+            rows = rows[found[rows] < visits]
     return out
 
 
@@ -136,94 +159,170 @@ def _classes(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(cls.alias("cls"), F.col(key).alias("key"), F.col(vector).alias("v"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return _unit(np.stack(column.to_numpy()).astype(np.float64)) if len(column) else np.zeros((0, 1))
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of equally long lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 1), dtype=np.float32)
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
-def _exact(queries: np.ndarray, names: list[str], k: int):
-    """Per batch of rows the k best of each query: brute force, for calibration only."""
+def _leaf_centres(v: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """The unit mean of each leaf; leaves are numbered from 0 without gaps."""
+    sums = np.zeros((int(leaf.max()) + 1, v.shape[1]))
+    np.add.at(sums, leaf, v)
+    return _unit(sums).astype(np.float32)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sims = queries @ _matrix(pdf["v"]).T
-            for q, row in enumerate(sims):
-                row = np.where(pdf["rep"].to_numpy() == names[q], -2.0, row)
-                best = np.argsort(-row, kind="stable")[: k + 1]
-                best = best[row[best] > -2]
-                yield pd.DataFrame({"q": q, "leaf": pdf["leaf"].to_numpy()[best], "cos": row[best]})
 
-    return scan
+def _assign(tree_b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = assign_leaves(tree_b.value, _matrix(b.column("v"))) if b.num_rows else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=[*b.schema.names, "cell"])
 
+    return run
 
-def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: float, queries: int = CALIBRATION_QUERIES) -> tuple[int, float]:
-    """The least number of leaf visits that reaches ``recall``, and the recall measured.
 
-    True neighbours are the k best of a query with at least ``min_cosine``, found by brute
-    force over all rows; queries are the first classes in order of their hash.
-    """
-    asked = index.select("cls", "rep", "v").orderBy("cls").limit(queries).toPandas()
-    if asked.empty:
-        return 1, 1.0
-    q = _matrix(asked["v"])
-    order = Window.partitionBy("q").orderBy(F.desc("cos"), "leaf")
-    part = index.select("rep", "leaf", "v").mapInPandas(_exact(q, list(asked["rep"]), k), "q int, leaf bigint, cos double")
-    true = part.filter(F.col("cos") >= min_cosine).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).toPandas()
-    if true.empty:
-        return 1, 1.0
-    bins = best_bins(tree, q, tree.n_leaves)
-    place = [{leaf: i for i, leaf in enumerate(b)} for b in bins]
-    needed = np.sort([place[a][b] + 1 for a, b in zip(true["q"], true["leaf"])])
-    at = min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)
-    visits = int(needed[max(at, 0)])
-    return visits, float((needed <= visits).mean())
+def _grow(leaf_rows: int):
+    """The lower part of the tree for one block of a cell: its rows with the number of their leaf."""
 
+    def run(t: pa.Table) -> pa.Table:
+        v = _matrix(t.column("v"))
+        order = np.argsort(t.column("rid").to_numpy(), kind="stable")  # the same leaves if the task is repeated
+        leaf = np.empty(len(v), dtype=np.int32)
+        leaf[order] = assign_leaves(fit_tree(v[order], 16, leaf_rows), v[order])
+        _, leaf = np.unique(leaf, return_inverse=True)
+        return t.append_column("leaf", pa.array(leaf.astype(np.int32)))
 
-def _assign(tree_b):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(leaf=assign_leaves(tree_b.value, _matrix(pdf["v"])))
+    return run
+
+
+def _exact(queries: np.ndarray, names: np.ndarray, k: int):
+    """For one block of a cell the k best rows of each calibration query, with the place their
+    leaf takes among the block's leaves: brute force, for calibration only."""
+
+    def run(t: pa.Table) -> pa.Table:
+        v, leaf, rid = _matrix(t.column("v")), t.column("leaf").to_numpy(), t.column("rid").to_numpy()
+        centres = _leaf_centres(v, leaf)
+        out = []
+        for at in range(0, len(queries), 200):
+            q = queries[at : at + 200]
+            place = np.argsort(np.argsort(-(q.astype(np.float32) @ centres.T), axis=1, kind="stable"), axis=1)
+            sims = np.round(q @ v.T, 6)
+            sims[names[at : at + 200, None] == rid[None, :]] = -2
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(sims, best, axis=1)
+            i, j = np.nonzero(near > -2)
+            out.append((at + i, rid[best[i, j]], near[i, j], np.take_along_axis(place, leaf[best], axis=1)[i, j]))
+        q, near, cos, place = (np.concatenate(x) for x in zip(*out))
+        cell = np.full(len(q), t.column("cell")[0].as_py(), dtype=np.int32)
+        return pa.table({"q": pa.array(q.astype(np.int32)), "cell": cell, "near": near, "cos": cos, "place": pa.array(place.astype(np.int32)), "leaves": pa.array(np.full(len(q), len(centres), dtype=np.int32))})
 
     return run
 
 
-def _visits(tree_b, visits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf[["rep", "v"]].assign(leaves=best_bins(tree_b.value, _matrix(pdf["v"]), visits))
+@dataclass
+class Visits:
+    """Cells per query and leaves per block of a cell; the recall that other queries measured."""
+
+    cells: int
+    leaves: int
+    all_cells: int
+    all_leaves: int
+    recall: float
+
+
+def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: float, queries: int = CALIBRATION_QUERIES) -> Visits:
+    """The cheapest visits that reach ``recall``, and the recall that held-out queries get.
+
+    True neighbours are the k best of a query with at least ``min_cosine``, found by brute
+    force over all rows; if no query has one, the k best whatever their cosine. Queries are
+    chosen by another hash than the tree's sample.
+    """
+    n = index.count()
+    share = min(1.0, 1.2 * queries / max(n, 1))
+    place = F.xxhash64(F.lit(9), "rid")
+    asked = index.filter(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(place).limit(queries).select("rid", "v").toArrow()
+    q, names = _matrix(asked.column("v")), asked.column("rid").to_numpy()
+    found = index.groupBy("cell", "block").applyInArrow(_exact(q, names, k), "q int, cell int, near bigint, cos double, place int, leaves int")
+    order = Window.partitionBy("q").orderBy(F.desc("cos"), "near")
+    true = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).toPandas()
+    if (true["cos"] >= min_cosine).any():
+        true = true[true["cos"] >= min_cosine]
+    all_leaves, cells = int(index.select("cell", "block", "leaf").distinct().count()), tree.n_leaves
+    if true.empty:
+        return Visits(1, 1, cells, all_leaves, 1.0)
+    bins = best_bins(tree, q, cells)
+    at = np.empty((len(q), cells), dtype=np.int64)
+    np.put_along_axis(at, bins, np.arange(cells)[None, :].repeat(len(q), 0), axis=1)
+    cell_place, leaf_place = at[true["q"].to_numpy(), true["cell"].to_numpy()], true["place"].to_numpy()
+    fit = true["q"].to_numpy() % 2 == 0
+    if fit.all() or not fit.any():
+        fit = np.ones(len(true), dtype=bool)
+    best = None
+    for m in range(1, cells + 1):
+        need = np.sort(np.where(cell_place[fit] < m, leaf_place[fit], 1 << 30))
+        f = need[max(0, math.ceil(recall * len(need)) - 1)]
+        if f < 1 << 30:
+            # In rows: the leaves' centroids and the visited leaves are compared, and the query is sent once a cell.
+            cost = m * (all_leaves / cells / 2 + (f + 1) * n / all_leaves + 500)
+            if best is None or cost < best[0]:
+                best = (cost, m, int(f) + 1)
+    _, m, f = best
+    held = ~fit if (~fit).any() else fit
+    return Visits(m, f, cells, all_leaves, float(((cell_place[held] < m) & (leaf_place[held] < f)).mean()))
+
+
+def _to_cells(tree_b, visits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bins = best_bins(tree_b.value, _matrix(b.column("v")), visits)
+                row, _ = np.nonzero(bins >= 0)
+                yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(bins[bins >= 0].astype(np.int32))], names=["rid", "v", "cell"])
 
     return run
 
 
-def _block_search(k: int, min_cosine: float):
-    """Top k rows of one block for each query of one block."""
+def _search(k: int, min_cosine: float, visits: int):
+    """The k best rows of a block for each query sent to it, in the block's ``visits`` best leaves."""
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = t.column("leaf").is_null().to_numpy()
+        rows, asked = t.filter(pa.array(~asks)), t.filter(pa.array(asks))
+        out: list[tuple] = []
+        if rows.num_rows and asked.num_rows:
+            rows = rows.take(pa.array(np.lexsort((rows.column("rid").to_numpy(), rows.column("leaf").to_numpy()))))
+            v, leaf, rid = _matrix(rows.column("v")), rows.column("leaf").to_numpy(), rows.column("rid").to_numpy()
+            centres = _leaf_centres(v, leaf)
+            bounds = np.searchsorted(leaf, np.arange(len(centres) + 1))
+            q_all, asker = _matrix(asked.column("v")), asked.column("rid").to_numpy()
+            f = min(visits, len(centres))
+            for at in range(0, len(q_all), 4096):
+                q, name = q_all[at : at + 4096], asker[at : at + 4096]
+                near = q.astype(np.float32) @ centres.T
+                picked = np.argpartition(-near, f - 1, axis=1)[:, :f] if f < len(centres) else np.arange(f)[None, :].repeat(len(q), 0)
+                who, which = np.repeat(np.arange(len(q)), f), picked.ravel()
+                order = np.argsort(which, kind="stable")
+                who, ends = who[order], np.searchsorted(which[order], np.arange(len(centres) + 1))
+                parts = []
+                for leaf_no in np.flatnonzero(np.diff(ends)):
+                    mine = who[ends[leaf_no] : ends[leaf_no + 1]]
+                    a, b = bounds[leaf_no], bounds[leaf_no + 1]
+                    sims = np.round(q[mine] @ v[a:b].T, 6)
+                    sims[name[mine][:, None] == rid[None, a:b]] = -2
+                    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1] if b - a > k else np.full(len(mine), -2.0)
+                    i, j = np.nonzero((sims >= np.maximum(floor, min_cosine)[:, None]) & (sims > -2))
+                    parts.append((mine[i], rid[a + j], sims[i, j]))
+                i, r, cos = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((r, -cos, i))
+                i, r, cos = i[order], r[order], cos[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((name[i[kept]], r[kept], cos[kept]))
+        rid, near, cos = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return pa.table({"rid": pa.array(rid, pa.int64()), "near": pa.array(near, pa.int64()), "cos": pa.array(cos, pa.float64())})
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, asked = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out = []
-        if len(rows) and len(asked):
-            rows = rows.sort_values("rep")
-            names, v = rows["rep"].to_numpy(), _matrix(rows["v"])
-            for at in range(0, len(asked), 512):
-                some = asked.iloc[at : at + 512]
-                sims = np.round(_matrix(some["v"]) @ v.T, 6)
-                asker = some["rep"].to_numpy()
-                own = np.searchsorted(names, asker)
-                own_at = np.flatnonzero((own < len(names)) & (names[np.minimum(own, len(names) - 1)] == asker))
-                sims[own_at, own[own_at]] = -2
-                floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1] if sims.shape[1] > k else np.full(len(sims), -2.0)
-                q, r = np.nonzero((sims >= np.maximum(floor, min_cosine)[:, None]) & (sims > -2))
-                cos = sims[q, r]
-                order = np.lexsort((r, -cos, q))  # names are in ascending order, so r breaks ties by name
-                q, r, cos = q[order], r[order], cos[order]
-                first = np.searchsorted(q, np.arange(len(some)))
-                kept = np.arange(len(q)) - first[q] < k
-                if kept.any():
-                    out.append(pd.DataFrame({"rep": asker[q[kept]], "near": names[r[kept]], "cos": cos[kept]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()  # Spark refuses empty string columns
-
-    return search
+    return run
 
 
 def nearest_neighbours(
@@ -233,8 +332,8 @@ def nearest_neighbours(
     k: int = 5,
     min_cosine: float = -1.0,
     recall: float = 0.98,
-    branching: int = 64,
-    leaf_rows: int = 200,
+    cell_rows: int = CELL_ROWS,
+    leaf_rows: int = LEAF_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     report: dict | None = None,
 ) -> DataFrame:
@@ -244,37 +343,41 @@ def nearest_neighbours(
     ``min_cosine`` are given. Null keys and vectors that are null, empty, all zero or not
     finite take no part; vectors must have one length; repeated rows are one; rows with
     equal vectors are each other's neighbours with cosine 1 and are ranked exactly; no
-    rows in, no rows out; other columns are ignored. ``report`` receives the visits, the
-    leaves and the recall measured.
+    rows in, no rows out; other columns are ignored. ``report`` receives the cells and
+    leaves visited, how many there are, and the recall measured on held-out queries.
     """
     spark = df.sparkSession
     members = scratch_table(_classes(usable_vectors(df, key, vector), key, vector), "members")
     reps = members.groupBy("cls").agg(F.min("key").alias("rep"), F.first("v").alias("v"))
-    reps = scratch_table(reps, "classes")
-    sample = reps.orderBy("cls").limit(sample_rows).select("v").toArrow()  # cls is a hash: a random, repeatable sample
-    if not sample.num_rows:
+    # Numbers in the order of the keys: they break ties as the keys do, at 8 bytes each.
+    reps = scratch_table(reps.orderBy("rep").withColumn("rid", F.monotonically_increasing_id()), "classes")
+    n = reps.count()
+    if not n:
         return spark.createDataFrame([], f"{key} string, near string, cos double, position int")
-    flat = np.concatenate([c.flatten().to_numpy() for c in sample.column("v").chunks]).astype(np.float32)
-    tree = fit_tree(flat.reshape(sample.num_rows, -1), branching, leaf_rows)
+    share = min(1.0, sample_rows / n)
+    sample = reps.filter(F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("v").toArrow()
+    flat = _matrix(sample.column("v")).astype(np.float32)
+    tree = fit_tree(flat, 16, max(50, int(len(flat) * cell_rows / n)))
     del sample, flat
-    tree_b = spark.sparkContext.broadcast(tree)  # at most sample_rows / leaf_rows * branching centroids or so
-    index = scratch_table(reps.mapInPandas(_assign(tree_b), "cls string, rep string, v array<float>, leaf bigint"), "index")
-    visits, measured = calibrate(index, tree, k, min_cosine, recall)
+    tree_b = spark.sparkContext.broadcast(tree)  # a few thousand centroids at most
+    cells = reps.select("rid", "v").mapInArrow(_assign(tree_b), "rid bigint, v array<float>, cell int")
+    counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # a row per cell of the broadcast tree
+    blocks = spark.createDataFrame([(c, math.ceil(x / BLOCK_ROWS)) for c, x in counts.items()], "cell int, nb int")
+    spread = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int")
+    placed = cells.join(F.broadcast(blocks), "cell").select("rid", "v", "cell", spread("nb").alias("block"))
+    grown = placed.groupBy("cell", "block").applyInArrow(_grow(leaf_rows), "rid bigint, v array<float>, cell int, block int, leaf int")
+    index = scratch_table(grown, "index")
+    visits = calibrate(index, tree, k, min_cosine, recall)
     if report is not None:
-        report.update(visits=visits, leaves=tree.n_leaves, recall=measured)
-
-    sizes = index.groupBy("leaf").count()
-    blocks = sizes.select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("nb"))
-    asks = index.mapInPandas(_visits(tree_b, visits), "rep string, v array<float>, leaves array<bigint>")
-    asks = asks.select("rep", "v", F.explode("leaves").alias("leaf"))
-    # One row per leaf, and the tree bounds the number of leaves: always small enough to send.
-    asked = asks.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("nq"))
-    plan = F.broadcast(blocks.join(asked, "leaf"))
-    salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    rows = index.join(plan, "leaf").select("leaf", salt("nb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "rep", "v", F.lit(False).alias("asks"))
-    queries = asks.join(plan, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), salt("nq").alias("q"), "rep", "v", F.lit(True).alias("asks"))
-    near = rows.unionByName(queries).groupBy("leaf", "b", "q").applyInPandas(_block_search(k, min_cosine), "rep string, near string, cos double")
-    by = Window.partitionBy("rep").orderBy(F.desc("cos"), "near")
+        report.update(cells=visits.cells, leaves=visits.leaves, all_cells=visits.all_cells, all_leaves=visits.all_leaves, recall=visits.recall, read=visits.cells * visits.leaves / visits.all_leaves)
+
+    asks = index.select("rid", "v").mapInArrow(_to_cells(tree_b, visits.cells), "rid bigint, v array<float>, cell int")
+    # A cell gets about as many times its rows in queries as cells are visited: so many tasks share them.
+    plan = F.broadcast(blocks.withColumn("nq", F.lit(max(1, min(visits.cells, math.ceil(visits.cells * max(counts.values()) / BLOCK_ROWS))))))
+    rows = index.join(plan, "cell").select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("part"), "rid", "v", "leaf")
+    sent = asks.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "rid"), F.col("nq")).cast("int").alias("part"), "rid", "v", F.lit(None).cast("int").alias("leaf"))
+    near = rows.unionByName(sent).groupBy("cell", "block", "part").applyInArrow(_search(k, min_cosine, visits.leaves), "rid bigint, near bigint, cos double")
+    by = Window.partitionBy("rid").orderBy(F.desc("cos"), "near")
     best = near.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
 
     # Back from classes to rows. The first k + 1 members of a class are all that can be
@@ -282,10 +385,10 @@ def nearest_neighbours(
     in_class = Window.partitionBy("cls").orderBy("key")
     firsts = members.select("cls", "key").withColumn("_o", F.row_number().over(in_class)).filter(F.col("_o") <= k + 1)
     first_of = firsts.groupBy("cls").agg(F.array_sort(F.collect_list("key")).alias("firsts"))
-    named = reps.select("cls", "rep").join(first_of, "cls")
-    other = named.select(F.col("rep").alias("near"), F.slice("firsts", 1, k).alias("_keys"))
-    listed = best.join(other, "near").groupBy("rep").agg(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("_keys").alias("keys"))).alias("_l"))
-    listed = named.join(listed, "rep", "left").select(
+    named = reps.select("cls", "rid").join(first_of, "cls")
+    other = named.select(F.col("rid").alias("near"), F.slice("firsts", 1, k).alias("_keys"))
+    listed = best.join(other, "near").groupBy("rid").agg(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("_keys").alias("keys"))).alias("_l"))
+    listed = named.join(listed, "rid", "left").select(
         "cls",
         F.expr("transform(firsts, x -> named_struct('d', -1D, 'key', x))").alias("_own"),
         F.expr("flatten(transform(coalesce(_l, array()), e -> transform(e.keys, x -> named_struct('d', e.d, 'key', x))))").alias("_other"),
