@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftlake.sources.urls import TRANSPORTS
+
 # They decide which results a search gives.
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 CAMEL_PART = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
@@ -22,11 +24,22 @@ DEFINITION_KEYWORDS = [
     "abstract class", "data class", "fn", "fun", "package", "namespace", "protocol", "record", "typedef",
 ]
 SQL_DEFINITIONS = ["CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "CREATE FUNCTION"]
-TEST_FILE = (
-    r"(?:^|/)(?:test_[^/]*\.(?:py|cpp|c|dart|lua)|[^/]*_test\.(?:py|go|rb|cpp|c|dart|lua)|[^/]*_spec\.(?:rb|lua)"
-    r"|[^/]*Tests?\.(?:java|kt|swift|cs)|[^/]*Test\.(?:php|scala)|[^/]*Spec\.(?:kt|swift|scala)|[^/]*Suite\.scala"
-    r"|[^/]*\.(?:test|spec)\.[jt]sx?|test_helpers?[^/]*\.\w+)$"
-)
+TEST_FILES = [
+    r"test_[^/]*\.py", r"[^/]*_test\.py",
+    r"[^/]*_test\.go",
+    r"[^/]*Tests?\.java",
+    r"[^/]*Test\.php",
+    r"[^/]*_spec\.rb", r"[^/]*_test\.rb",
+    r"[^/]*\.test\.[jt]sx?", r"[^/]*\.spec\.[jt]sx?",
+    r"[^/]*Tests?\.kt", r"[^/]*Spec\.kt",
+    r"[^/]*Tests?\.swift", r"[^/]*Spec\.swift",
+    r"[^/]*Tests?\.cs",
+    r"test_[^/]*\.cpp", r"[^/]*_test\.cpp", r"test_[^/]*\.c", r"[^/]*_test\.c",
+    r"[^/]*Spec\.scala", r"[^/]*Suite\.scala", r"[^/]*Test\.scala",
+    r"[^/]*_test\.dart", r"test_[^/]*\.dart",
+    r"[^/]*_spec\.lua", r"[^/]*_test\.lua", r"test_[^/]*\.lua",
+    r"test_helpers?[^/]*\.\w+",
+]
 TEST_DIR = r"(?:^|/)(?:tests?|__tests__|spec|testing)(?:/|$)"
 COMPAT_DIR = r"(?:^|/)(?:compat|_compat|legacy)(?:/|$)"
 EXAMPLE_DIR = r"(?:^|/)(?:_?examples?|docs?_src)(?:/|$)"
@@ -93,7 +106,7 @@ def path_penalty(path: Column) -> Column:
     p = normal_path(path)
     factor = lambda hit, f: F.when(hit, F.lit(PENALTY[f])).otherwise(F.lit(1.0))
     return (
-        factor(p.rlike(TEST_FILE) | p.rlike(TEST_DIR), "strong")
+        factor(p.rlike("(?:^|/)(?:" + "|".join(TEST_FILES) + ")$") | p.rlike(TEST_DIR), "strong")
         * factor(file_name(p).isin(REEXPORT_FILES), "moderate")
         * factor(p.rlike(COMPAT_DIR), "strong")
         * factor(p.rlike(EXAMPLE_DIR), "strong")
@@ -160,11 +173,9 @@ def defines(content: Column, name: Column) -> Column:
 
 
 def infer_category(query: Column) -> Column:
-    return (
-        F.when(~F.contains(F.trim(query), F.lit(" ")), "symbol")
-        .when(F.startswith(F.lower(query), F.lit("how ")) | F.startswith(F.lower(query), F.lit("how does")) | F.startswith(F.lower(query), F.lit("how are")), "architecture")
-        .otherwise("semantic")
-    )
+    """A single word is a symbol, a question for the how of something is about architecture."""
+    single = ~F.contains(F.trim(query), F.lit(" "))
+    return F.when(single, "symbol").when(F.startswith(F.lower(query), F.lit("how ")), "architecture").otherwise("semantic")
 
 
 def snippet(content: Column, lines: int | None) -> Column:
@@ -176,17 +187,8 @@ def snippet(content: Column, lines: int | None) -> Column:
     return F.array_join(F.slice(F.split(content, "\\R"), 1, lines), "\n") if lines else F.lit("")
 
 
-def line_at(text: Column, offset: Column) -> Column:
-    """1 + the line feeds strictly before a 0-based character offset."""
-    before = F.substring(text, F.lit(1), offset.cast("int"))
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-
-
-def is_git_url(path: Column) -> Column:
-    return path.rlike(r"^(?:https://|http://|ssh://|git://|git\+ssh://|file://)") | path.rlike(r"^[\w.-]+@[\w.-]+:(?!/)")
-
-
-def path_matches(path: Column, target: Column) -> Column:
-    """Whether one path is the other or its end at a directory border."""
-    p, t = normal_path(path), normal_path(target)
-    return (p == t) | F.endswith(p, F.concat(F.lit("/"), t)) | F.endswith(t, F.concat(F.lit("/"), p))
+def is_git_url(source: Column) -> Column:
+    """As :func:`siftlake.sources.urls.is_git_url`, inside the JVM."""
+    place = F.substring_index(source, ":", 1)
+    scp = F.contains(source, F.lit(":")) & place.rlike("^[0-9A-Za-z_.-]+@[0-9A-Za-z_.-]+$") & ~F.startswith(F.substring(source, F.length(place) + 2, F.lit(1)), F.lit("/"))
+    return F.when(F.contains(source, F.lit("://")), F.substring_index(source, "://", 1).isin(TRANSPORTS)).otherwise(scp)

@@ -16,43 +16,47 @@ LEAST_NODE, MOST_DEPTH = 50, 500
 Provider = Callable[[str], list[tuple[int, int]] | None]
 
 
-def line_boundaries(text: Column, limit: int = CHUNK_CHARS) -> Column:
-    """Array of (s, e) character offsets: lines merged while their lengths stay within the limit.
+#: Everything that ends a line, and a line with its end.
+_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029"
+LINE = rf"[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+"
+#: A character that is no blank of any kind.
+INKED = r"[^\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CHUNK = "struct<start_line:int,end_line:int,content:string>"
 
-    One fold over the line lengths; blank text gives an empty array.
+
+def line_chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
+    """Array of (start_line, end_line, content): lines merged while their lengths stay within the limit.
+
+    One fold over the lines notes where each chunk begins; the chunks are then cut out of the
+    array of lines, so the work is in proportion to the text. Lines are numbered by line
+    feeds; a line feed at the end belongs to its own line. Null and blank text gives no chunk.
     """
-    lines = F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
-    lengths = F.transform(lines, F.length)
-    pair = "struct<s:int,e:int>"
-    empty = F.lit(0)
-    start = F.struct(F.array().cast(f"array<{pair}>").alias("done"), empty.alias("s"), empty.alias("e"))
-
-    def step(acc: Column, n: Column) -> Column:
-        fits = (acc["e"] - acc["s"] + n <= limit) | (acc["e"] == acc["s"])
-        closed = F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0))
+    facts = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), F.endswith(x, F.lit("\n")).cast("int").alias("f")))
+    zero = F.lit(0)
+    none = F.array().cast("array<struct<i:int,n:int,first:int,last:int>>")
+    start = F.struct(none.alias("done"), zero.alias("i"), zero.alias("n"), zero.alias("chars"), F.lit(1).alias("first"), F.lit(1).alias("next"), zero.alias("feed"))
+
+    def closed(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(acc["i"].alias("i"), acc["n"].alias("n"), acc["first"].alias("first"), (acc["next"] - acc["feed"]).alias("last"))))
+
+    def step(acc: Column, line: Column) -> Column:
+        fits = (acc["chars"] + line["n"] <= limit) | (acc["n"] == 0)
+        own = lambda more, alone: F.when(fits, more).otherwise(alone)
         return F.struct(
-            F.when(fits, acc["done"]).otherwise(closed).alias("done"),
-            F.when(fits, acc["s"]).otherwise(acc["e"]).alias("s"),
-            (acc["e"] + n).alias("e"),
-        )
+            own(acc["done"], closed(acc)).alias("done"), own(acc["i"], acc["i"] + acc["n"]).alias("i"), own(acc["n"] + 1, F.lit(1)).alias("n"),
+            own(acc["chars"] + line["n"], line["n"]).alias("chars"), own(acc["first"], acc["next"]).alias("first"),
+            (acc["next"] + line["f"]).alias("next"), line["f"].alias("feed"),
+        )
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["e"] > acc["s"], F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["done"])
-
-    folded = F.aggregate(lengths, start, step, finish)
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), folded).otherwise(F.array().cast(f"array<{pair}>"))
+    cuts = F.aggregate(facts, start, step, lambda acc: F.when(acc["n"] > 0, closed(acc)).otherwise(acc["done"]))
+    cut = F.transform(cuts, lambda c: F.struct(c["first"].alias("start_line"), c["last"].alias("end_line"), F.array_join(F.slice(lines, c["i"] + 1, c["n"]), "").alias("content")))
+    return F.when(F.coalesce(text, F.lit("")).rlike(INKED), cut).otherwise(F.array()).cast(f"array<{_CHUNK}>")
 
 
 def chunk_lines(files: DataFrame, path: str = "path", text: str = "text", limit: int = CHUNK_CHARS) -> DataFrame:
     """``path, slot, start_line, end_line, content`` of every chunk; whole texts, any length."""
-    at = files.select(path, text, F.posexplode(line_boundaries(F.col(text), limit)).alias("slot", "b"))
-    piece = F.substring(F.col(text), F.col("b.s") + 1, F.col("b.e") - F.col("b.s"))
-    before = F.substring(F.col(text), F.lit(1), F.col("b.s"))
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    rows = at.select(path, "slot", piece.alias("content"), (breaks(before) + 1).alias("start_line"))
-    # The line of the last character: a line feed at the end belongs to its own line.
-    inner = F.substring(F.col("content"), F.lit(1), F.length("content") - 1)
-    return rows.select(path, "slot", "start_line", (F.col("start_line") + breaks(inner)).alias("end_line"), "content")
+    return files.select(path, F.posexplode(line_chunks(F.col(text), limit)).alias("slot", "_c")).select(path, "slot", "_c.*")
 
 
 def _merge(parts: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
@@ -68,17 +72,6 @@ def _merge(parts: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_parts(text: str, limit: int = CHUNK_CHARS) -> list[tuple[int, int]]:
-    """The line chunker over all line ends that Python knows."""
-    if not text.strip():
-        return []
-    at, lines = 0, []
-    for line in text.splitlines(keepends=True):
-        lines.append((at, at + len(line)))
-        at += len(line)
-    return _merge(lines, limit)
-
-
 def python_parts(text: str, limit: int = CHUNK_CHARS) -> list[tuple[int, int]] | None:
     """Syntax chunks of Python source from the standard parser; None if it does not parse.
 
@@ -121,21 +114,25 @@ def python_parts(text: str, limit: int = CHUNK_CHARS) -> list[tuple[int, int]] |
 PROVIDERS: dict[str, Provider] = {"python": python_parts}
 
 
-def chunk_syntax(files: DataFrame, path: str = "path", text: str = "text", language: str = "language", providers: dict[str, Provider] | None = None) -> DataFrame:
-    """Chunks along the syntax where a provider knows the language, else along lines."""
+def chunk_syntax(files: DataFrame, path: str = "path", text: str = "text", language: str = "language", providers: dict[str, Provider] | None = None, limit: int = CHUNK_CHARS) -> DataFrame:
+    """Chunks along the syntax where a provider knows the language, else along lines.
+
+    Providers look at the texts of their languages only; a text they cannot parse is cut
+    along lines like those of other languages, inside the JVM.
+    """
     known = PROVIDERS if providers is None else providers
-    columns = ["path", "slot", "start_line", "end_line", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for p, t, lang in zip(pdf[path], pdf[text], pdf[language]):
-                t = t or ""
-                parts = known[lang](t) if lang in known else None
-                for slot, (s, e) in enumerate(line_parts(t) if parts is None else parts):
-                    first = t.count("\n", 0, s) + 1
-                    out.append((p, slot, first, first + t.count("\n", s, e - 1), t[s:e]))
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
-    return files.select(path, text, language).mapInPandas(run, "path string, slot int, start_line int, end_line int, content string")
+            if len(pdf):
+                found = []
+                for t, lang in zip(pdf["_text"], pdf["_language"]):
+                    parts = known[lang](t) if lang in known and t else None
+                    found.append(parts if parts is None else [{"start_line": (n := t.count("\n", 0, s) + 1), "end_line": n + t.count("\n", s, e - 1), "content": t[s:e]} for s, e in parts])
+                yield pdf[["_path", "_text"]].assign(_chunks=pd.Series(found, index=pdf.index, dtype=object))
+
+    named = files.select(F.col(path).alias("_path"), F.col(text).alias("_text"), F.col(language).alias("_language"))
+    parsed = named.filter(F.col("_language").isin(list(known))).mapInPandas(run, f"_path string, _text string, _chunks array<{_CHUNK}>")
+    rest = named.filter(F.coalesce(~F.col("_language").isin(list(known)), F.lit(True))).select("_path", "_text", F.lit(None).cast(f"array<{_CHUNK}>").alias("_chunks"))
+    cut = parsed.unionByName(rest).select("_path", F.posexplode(F.coalesce("_chunks", line_chunks(F.col("_text"), limit))).alias("slot", "_c"))
+    return cut.select(F.col("_path").alias("path"), "slot", "_c.*")

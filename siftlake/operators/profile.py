@@ -7,7 +7,6 @@ The batch is split into words by Arrow; only words that differ are looked at in
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,19 +15,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from siftlake.functions.text import CAMEL_PART
-
 #: Dimensions of the built-in encoder.
 DIMS = 64
-_CAMEL = re.compile(CAMEL_PART)
 
 
-@lru_cache(maxsize=200_000)
-def identifier_parts(token: str) -> tuple[str, ...]:
-    """The identifier in lower case, and its parts if there are at least two."""
-    lower = token.lower()
-    parts = [p for p in lower.split("_") if p] if "_" in token else [m.lower() for m in _CAMEL.findall(token)]
-    return (lower, *parts) if len(parts) >= 2 else (lower,)
+#: Where a new part begins: the letters before and after, for a batch of words at once.
+_BORDERS = ["([A-Z])([A-Z][a-z])", "([a-z])([A-Z0-9])", "([A-Z])([0-9])", "([0-9])([A-Za-z])"]
+
+
+def word_parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of every word one after the other, and how many each has: the word in lower
+    case, then its parts if it has at least two. Words with ``_`` are cut there, others
+    where case or digits change, as :func:`siftlake.functions.text.split_identifier` does."""
+    marked = words
+    for border in _BORDERS:
+        marked = pc.replace_substring_regex(marked, border, r"\1 \2")
+    snake = pc.match_substring(words, "_")
+    cut = pc.ascii_lower(pc.if_else(snake, pc.replace_substring(words, "_", " "), marked))
+    lower = pc.ascii_lower(words)
+    # A blank before the cut word keeps the whole word as the first entry of its list.
+    both = pc.split_pattern(pc.binary_join_element_wise(lower, pc.ascii_trim_whitespace(cut), " "), " ")
+    owner, flat = pc.list_parent_indices(both).to_numpy(), pc.list_flatten(both)
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    n = np.bincount(owner[filled], minlength=len(words))
+    first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
+    kept = filled & (first | (n[owner] >= 3))
+    return flat.filter(pa.array(kept)), np.bincount(owner[kept], minlength=len(words))
 
 
 @lru_cache(maxsize=200_000)
@@ -44,18 +56,16 @@ def profile(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     # An identifier is what follows the leading digits of a run of word characters.
     coded = pc.ascii_ltrim(pc.list_flatten(words), characters="0123456789").dictionary_encode()
     codes = coded.indices.to_numpy()
-    place: dict[str, int] = {}
-    parts = [[place.setdefault(p, len(place)) for p in identifier_parts(w)] if w else [] for w in coded.dictionary.to_pylist()]
-    sizes = np.array([len(p) for p in parts] or [0])
-    flat = np.array([x for p in parts for x in p], dtype=np.int64)
+    terms, sizes = word_parts(coded.dictionary)
+    named = terms.dictionary_encode()
+    flat, names = named.indices.to_numpy().astype(np.int64), named.dictionary.to_pylist()
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     n = sizes[codes] if len(codes) else np.empty(0, dtype=np.int64)
     at = np.repeat(first[codes] if len(codes) else n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    m = max(1, len(place))
+    m = max(1, len(names))
     pairs, tfs = np.unique(np.repeat(row, n) * m + flat[at], return_counts=True)
     owner, term = pairs // m, pairs % m
     offsets = pa.array(np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32))
-    names = list(place)
     dims, signs = (np.array(x) for x in zip(*map(direction, names))) if names else (np.zeros(1, int), np.zeros(1))
     v = np.zeros((len(keys), DIMS))
     np.add.at(v, (owner, dims[term] if names else owner), (signs[term] if names else 1.0) * np.log1p(tfs))

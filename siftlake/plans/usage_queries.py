@@ -147,7 +147,7 @@ def savings_of_results(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "[\\r\\x0b\\f\\x85\\u2028\\u2029]", " ").alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
 
 
 def chunk_lines(spark, sf_dir):
@@ -243,8 +243,8 @@ _DIM = "dim(ext, language, content_type) AS (VALUES " + ", ".join(f"('{s}', '{la
 
 ORACLE = {
     "ext_by_content": f"WITH {_DIM} SELECT content_type, list_sort(list(DISTINCT ext)) AS exts FROM dim GROUP BY content_type",
-    "chunk_lines": r"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(text, '[\r\x0b\f\x{85}\x{2028}\x{2029}]', ' ', 'g') AS text FROM documents WHERE regexp_matches(text, '\S')),
-l AS (SELECT path, text, list_transform(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), lambda x: length(x)) AS ns FROM d),
+    "chunk_lines": r"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE regexp_matches(text, '\S')),
+l AS (SELECT path, text, list_transform(regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+'), lambda x: length(x)) AS ns FROM d),
 -- i lines are read, s and e bound the open chunk; (cs, ce) is the chunk that this line closed
 step(path, i, s, e, slot, cs, ce) AS (
   SELECT path, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM l

@@ -83,11 +83,19 @@ def test_snippets_and_lines(spark):
     assert _one(spark, "abc", lambda c: T.snippet(c, None)) == "abc"
     with pytest.raises(ValueError):
         T.snippet(F.col("x"), -1)
-    assert [_one(spark, "a\nb\nc", lambda c: T.line_at(c, F.lit(i))) for i in (0, 1, 2, 4)] == [1, 1, 2, 3]
 
 
-@pytest.mark.parametrize("source,git", [("https://x/y", True), ("git@host:a/b.git", True), ("/tmp/x", False), ("file:///x", True), ("C:/x", False), ("./a", False)])
+@pytest.mark.parametrize("source,git", [("https://x/y", True), ("git@host:a/b.git", True), ("/tmp/x", False), ("file:///x", True), ("C:/x", False), ("./a", False), ("git@host:/abs", False), ("a b@host:x", False), ("git+ssh://h/x", True), ("ftp://h/x", False), ("HTTPS://x", False), ("x", False)])
 def test_git_urls(spark, source, git):
     from siftlake.sources.urls import is_git_url
 
     assert _one(spark, source, T.is_git_url) is git and is_git_url(source) is git
+
+
+def test_safe_transports():
+    from siftlake.sources.urls import require_safe
+
+    assert require_safe("https://x/y") == "https://x/y" and require_safe("/tmp/x") == "/tmp/x"
+    for source in ("file:///etc", "ssh://h/x", "git@host:a/b"):
+        with pytest.raises(ValueError):
+            require_safe(source)

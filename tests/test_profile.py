@@ -7,9 +7,15 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftlake.functions.text import IDENTIFIER
-from siftlake.operators.chunking import line_parts, python_parts
-from siftlake.operators.profile import DIMS, identifier_parts, profile
+from siftlake.functions.text import CAMEL_PART, IDENTIFIER
+from siftlake.operators.chunking import python_parts
+from siftlake.operators.profile import DIMS, profile, word_parts
+
+
+def _parts(word):
+    """The word in lower case and, if there are at least two, its parts."""
+    parts = [p for p in word.lower().split("_") if p] if "_" in word else [p.lower() for p in re.findall(CAMEL_PART, word)]
+    return [word.lower(), *parts] if len(parts) > 1 else [word.lower()]
 
 
 @settings(max_examples=150, deadline=None)
@@ -18,19 +24,17 @@ def test_profile_counts_identifiers(texts):
     batch = profile(pa.array(range(len(texts))), pa.array(texts, pa.string()))
     rows = zip(texts, batch["terms"].to_pylist(), batch["tfs"].to_pylist(), batch["dl"].to_pylist(), batch["v"].to_pylist())
     for text, terms, tfs, length, v in rows:
-        counts = Counter(p for w in re.findall(IDENTIFIER, text or "") for p in identifier_parts(w))
+        counts = Counter(p for w in re.findall(IDENTIFIER, text or "") for p in _parts(w))
         assert dict(zip(terms, tfs)) == dict(counts) and length == sum(counts.values())
         assert v is None or (len(v) == DIMS and abs(sum(x * x for x in v) - 1) < 1e-9)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab\n\r\u2028 é", max_size=300), st.integers(1, 40))
-def test_line_chunks_cover_the_text(text, limit):
-    parts = line_parts(text, limit)
-    if text.strip():
-        assert "".join(text[s:e] for s, e in parts) == text
-    else:
-        assert parts == []
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBcD_9xYZ1", min_size=1, max_size=12), max_size=10))
+def test_word_parts(words):
+    flat, n = word_parts(pa.array(words, pa.string()))
+    ends = [0, *n.cumsum().tolist()]
+    assert [flat.to_pylist()[a:b] for a, b in zip(ends, ends[1:])] == [_parts(w) for w in words]
 
 
 @settings(max_examples=60, deadline=None)

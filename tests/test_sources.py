@@ -78,17 +78,23 @@ def test_languages(spark):
 
 def test_line_chunks(spark):
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice(["a" * rnd.randrange(300), "\n", "é ", "\n\n"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    texts = ["".join(rnd.choice(["a" * rnd.randrange(300), "\n", "é ", "\n\n", "\r\n", "\r", "\x0b", "\x0c", "\x1d", "\x85", "\u2028"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
     texts += ["", "   \n ", "x" * 2000, "ab\n" * 6, "one\n" + "y" * 900 + "\nend"]
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("n", None)], "path string, text string")
     got: dict = {}
     for r in C.chunk_lines(rows).orderBy("slot").collect():
         got.setdefault(r["path"], []).append((r["slot"], r["start_line"], r["end_line"], r["content"]))
     for i, t in enumerate(texts):
-        parts = C.line_parts(t)
-        want = [(k, t.count("\n", 0, s) + 1, t.count("\n", 0, s) + 1 + t.count("\n", s, e - 1), t[s:e]) for k, (s, e) in enumerate(parts)]
-        assert got.get(str(i), []) == want
-    assert C.line_parts("ab\n" * 6, 10) == [(0, 9), (9, 18)]
+        want, s = [], 0
+        for line in t.splitlines(keepends=True) if t.strip() else []:
+            if want and want[-1][1] - want[-1][0] + len(line) <= 750:
+                want[-1][1] += len(line)
+            else:
+                want.append([s, s + len(line)])
+            s += len(line)
+        assert got.get(str(i), []) == [(k, (n := t.count("\n", 0, a) + 1), n + t.count("\n", a, b - 1), t[a:b]) for k, (a, b) in enumerate(want)]
+    few = C.chunk_lines(spark.createDataFrame([("p", "ab\n" * 6)], "path string, text string"), limit=10).orderBy("slot").collect()
+    assert [(r["start_line"], r["end_line"], r["content"]) for r in few] == [(1, 3, "ab\n" * 3), (4, 6, "ab\n" * 3)]
 
 
 def test_syntax_chunks(spark):
