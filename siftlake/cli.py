@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import os
-import shutil
 import sys
 import time
 
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 from siftlake.operators import search as S
 from siftlake.operators.usage import read_log, usage_records, usage_report, write_log
 from siftlake.session import build_session
-from siftlake.snapshots import Snapshots
-from siftlake.sources.files import cache_root
+from siftlake.snapshots import Snapshots, snapshot_root
 from siftlake.sources.languages import KINDS, language_table
 from siftlake.sources.tasks import results_json
 
@@ -49,8 +47,8 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _log_path() -> str:
-    return os.path.join(cache_root(), "usage")
+def _log_path(spark) -> str:
+    return f"{snapshot_root(spark)}/usage"
 
 
 def _answer(index, ranked, query: str, call: str, args) -> str:
@@ -58,7 +56,7 @@ def _answer(index, ranked, query: str, call: str, args) -> str:
     found = rows.collect()  # at most top-k rows
     sizes = index.chunks.groupBy("file_path").agg(F.sum(F.octet_length("content")).alias("size"))
     if found:
-        write_log(usage_records(rows, sizes, time.time(), call, args.max_snippet_lines), _log_path())
+        write_log(usage_records(rows, sizes, time.time(), call, args.max_snippet_lines), _log_path(index.chunks.sparkSession))
     if args.format == "json":
         return results_json(query, found, args.max_snippet_lines)
     return "\n\n".join(f"{r['file_path']}:{r['start_line']}-{r['end_line']}  ({r['score']:.4f})\n{r['content']}" for r in found) or "no results"
@@ -72,10 +70,11 @@ def run(argv: list[str], spark=None) -> str:
         rows = language_table(spark).groupBy("content_type").agg(F.sort_array(F.collect_set("ext")).alias("e")).orderBy("content_type").collect()
         return "\n".join(f"{r['content_type']}: {' '.join(r['e'])}" for r in rows)
     if args.command == "savings":
-        return usage_report(read_log(spark, _log_path()), dt.datetime.now(dt.timezone.utc)) if os.path.isdir(_log_path()) else "nothing recorded yet"
+        fs, at = file_system(spark, _log_path(spark))
+        return usage_report(read_log(spark, _log_path(spark)), dt.datetime.now(dt.timezone.utc)) if fs.exists(at) else "nothing recorded yet"
     if args.command == "clear":
         if args.what in ("all", "savings"):
-            shutil.rmtree(_log_path(), ignore_errors=True)
+            remove_tree(spark, _log_path(spark))
         n = registry.clear(args.what == "orphans") if args.what != "savings" else 0
         return f"removed {n} snapshots"
     index = registry.get_all(args.paths, args.content)

@@ -102,8 +102,14 @@ class Index:
         spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def build_index(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
-    """Index a table of chunks (chunk_id, content, file_path, start_line, end_line, language)."""
+def build_index(chunks: DataFrame, vectors: DataFrame | None = None, strict: bool = False) -> Index:
+    """Index a table of chunks (chunk_id, content, file_path, start_line, end_line, language).
+
+    Repeated rows are one chunk. With ``strict`` different rows under one id are refused.
+    """
+    columns = ["chunk_id", "content", "file_path", "start_line", "end_line", "language"]
+    if strict and not chunks.select(*columns).distinct().groupBy("chunk_id").count().filter("count > 1 AND chunk_id IS NOT NULL").isEmpty():
+        raise ValueError("several different chunks have the same id")
     prepared = prepare_chunks(chunks)
     profiled = chunk_profiles(prepared)
     return index_of(prepared, exploded_terms(profiled), chunk_vectors(profiled) if vectors is None else vectors)
@@ -172,7 +178,14 @@ def unique_labels(sources: list[str]) -> list[str]:
 
 
 def merge_indexes(parts: dict[str, Index]) -> Index:
-    """One index over several; paths and ids get the label in front, terms stay as they are."""
+    """One index over several; paths and ids get the label in front, terms stay as they are.
+
+    Refuses indexes whose vectors come from encoders of different dimensions.
+    """
+    found = {label: part.vectors.select(F.size("v").alias("n")).first() for label, part in parts.items()}
+    dims = {label: r["n"] for label, r in found.items() if r is not None}
+    if len(set(dims.values())) > 1:
+        raise ValueError(f"the vectors are of different encoders: {dims}")
     out: list[DataFrame] = []
     for label, part in parts.items():
         c = part.chunks.withColumns({"chunk_id": F.concat(F.lit(label + "/"), "chunk_id"), "file_path": F.concat(F.lit(label + "/"), "file_path")})

@@ -18,14 +18,15 @@ from siftlake.functions.text import (
 )
 from siftlake.operators.index import Index, chunk_vectors, exploded_terms
 from siftlake.operators.profile import profiles
+from siftlake.session import scratch_path
 
 # Fixed values of the ranking.
 RRF_K = 60
 OVERFETCH = 5
 DEFINITION_BOOST, EMBEDDED_SCALE, STEM_NAME_FACTOR = 3.0, 0.5, 1.5
 COHERENCE, SATURATION, LEAST_MATCH_RATIO, LEAST_STEM = 0.2, 0.5, 0.10, 4
-#: Query vectors that a task holds at a time.
-QUERY_BLOCK = 1_024
+#: Query vectors and rows that a task holds at a time.
+QUERY_BLOCK, HELD_ROWS = 1_024, 50_000
 
 
 def ordered(score: str, *ties: str) -> list[Column]:
@@ -61,48 +62,68 @@ def top_k(scored: DataFrame, k: int, score: str = "score", ties: tuple[str, ...]
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def _block_top(queries: list, matrix: np.ndarray, k: int):
+def _partition_top(folder: str, k: int):
+    """A task's rows against all query vectors, which are read block by block from the shared folder."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        import pyarrow.dataset as ds
+        import pyarrow.fs as pafs
+
+        fs, at = pafs.FileSystem.from_uri(folder)
+        held: list[pa.RecordBatch] = []
+
+        def unit(v: pa.Array) -> np.ndarray:
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
             norm = np.linalg.norm(flat, axis=1, keepdims=True)
-            sims = np.where(norm.T > 0, matrix @ (flat / np.where(norm > 0, norm, 1)).T, -2.0)
-            # Ties at the last place are kept here and decided by the window over all batches.
-            floor = -np.partition(-np.round(sims, 9), min(k, sims.shape[1]) - 1, axis=1)[:, min(k, sims.shape[1]) - 1]
-            q, r = np.nonzero((np.round(sims, 9) >= floor[:, None]) & (sims > -2))
-            yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q], pa.int64()), batch.column(0).take(pa.array(r)), pa.array(sims[q, r])], names=["query_id", "chunk_id", "score"])
+            return np.where(norm > 0, flat / np.where(norm > 0, norm, 1), np.nan)
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            names, labels = rows.column("chunk_id").chunk(0), rows.column("label").chunk(0).fill_null("\0").dictionary_encode()
+            matrix = unit(rows.column("v").chunk(0))
+            known = {x: i for i, x in enumerate(labels.dictionary.to_pylist())}
+            code = labels.indices.to_numpy()
+            for block in ds.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK):
+                if not block.num_rows:
+                    continue
+                sims = unit(block.column("v")) @ matrix.T
+                wanted = np.array([-1 if x is None else known.get(x, -2) for x in block.column("label").to_pylist()])
+                sims = np.where(np.isnan(sims) | ((wanted[:, None] != -1) & (wanted[:, None] != code[None, :])), -2.0, sims)
+                rounded, n = np.round(sims, 9), min(k, sims.shape[1])
+                # Ties at the last place are kept here and decided by the window over all tasks.
+                floor = -np.partition(-rounded, n - 1, axis=1)[:, n - 1]
+                q, r = np.nonzero((rounded >= floor[:, None]) & (sims > -2))
+                yield pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(q)), names.take(pa.array(r)), pa.array(sims[q, r])], names=["query_id", "chunk_id", "score"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS:
+                yield from answer()
+        if held:
+            yield from answer()
 
     return run
 
 
-def semantic_top(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "chunk_id", vector: str = "v") -> DataFrame:
+def semantic_top(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "chunk_id", vector: str = "v", label: str | None = None) -> DataFrame:
     """Exact nearest rows by cosine: ``query_id, chunk_id, score, rank``.
 
-    The query vectors go to the tasks in blocks of QUERY_BLOCK, so what is sent is bounded;
-    each task multiplies its rows with a block and hands on k rows per query. Rows whose
-    vector is null, not finite or zero are no results; low similarities are.
+    The rows are scanned once; each task reads the query vectors, written to the shared
+    folder, block by block, and hands on k rows per query. Nothing passes the driver. With
+    ``label``, a column of both sides, a query meets only rows of its label, and all if its
+    own is null. Rows whose vector is null, not finite or zero are no results; low
+    similarities are.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    ok = vectors.filter(F.col(vector).isNotNull() & F.expr(f"forall(`{vector}`, x -> x IS NOT NULL AND NOT isnan(x))")).select(F.col(key).cast("string").alias("chunk_id"), vector)
-    asked = query_vectors.select(F.col("query_id").cast("bigint"), "v").orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    out, block = None, []
-
-    def search(block: list) -> DataFrame:
-        m = np.array([r["v"] for r in block], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        return ok.mapInArrow(_block_top([r["query_id"] for r in block], m, k), "query_id bigint, chunk_id string, score double")
-
-    for row in asked:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        last = search(block) if block else vectors.sparkSession.createDataFrame([], "query_id bigint, chunk_id string, score double")
-        out = last if out is None else out.unionByName(last)
-    return top_k(out, k)
+    shown = F.lit(None).cast("string") if label is None else F.col(label).cast("string")
+    usable = lambda c: F.col(c).isNotNull() & F.expr(f"forall(`{c}`, x -> x IS NOT NULL AND NOT isnan(x))")
+    rows = vectors.filter(usable(vector)).select(F.col(key).cast("string").alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"), shown.alias("label"))
+    folder = scratch_path(vectors.sparkSession, "queries")
+    query_vectors.filter(usable("v")).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("v"), shown.alias("label")).write.parquet(folder)
+    return top_k(rows.mapInArrow(_partition_top(folder, k), "query_id bigint, chunk_id string, score double"), k)
 
 
 def encode_queries(queries: DataFrame) -> DataFrame:
@@ -219,9 +240,21 @@ def search(
         raise ValueError("alpha must lie in [0, 1]")
     asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", "query")
     allowed = selected_chunks(index, languages, paths)
+    semantic, lexical = retrieve(index, asked, OVERFETCH * k, allowed, query_vectors)
+    return combine(index, asked, semantic, lexical, k, alpha, rerank, allowed)
+
+
+def retrieve(index: Index, asked: DataFrame, n: int, allowed: DataFrame | None = None, query_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` chunks of every query by either retriever: (semantic, lexical)."""
     vectors = index.vectors if allowed is None else index.vectors.join(allowed, "chunk_id", "left_semi")
-    semantic = semantic_top(vectors, encode_queries(asked) if query_vectors is None else query_vectors, OVERFETCH * k)
-    lexical = top_k(lexical_scores(index, asked, allowed), OVERFETCH * k)
+    semantic = semantic_top(vectors, encode_queries(asked) if query_vectors is None else query_vectors, n)
+    return semantic, top_k(lexical_scores(index, asked, allowed), n)
+
+
+def combine(
+    index: Index, asked: DataFrame, semantic: DataFrame, lexical: DataFrame, k: int, alpha: float | None = None, rerank: bool = True, allowed: DataFrame | None = None
+) -> DataFrame:
+    """Fuses what the retrievers found, reranks it and gives the first ``k`` of every query."""
     alphas = asked.select("query_id", resolve_alpha(F.col("query"), None if alpha is None else F.lit(alpha)).alias("alpha"))
     scored = fuse(semantic, lexical, alphas).join(index.chunks, "chunk_id")
     if not rerank:
@@ -247,17 +280,10 @@ def find_related(index: Index, seeds: DataFrame, k: int = 5) -> DataFrame:
 
     ``seeds`` has query_id (bigint) and chunk_id; a seed without a language meets all chunks.
     """
-    known = seeds.join(index.chunks.select("chunk_id", "language"), "chunk_id").join(index.vectors, "chunk_id")
-    out = None
-    languages = [r["language"] for r in known.select("language").distinct().orderBy("language").collect()]  # as many as languages exist
-    for name in languages:
-        mine = known.filter(F.col("language").eqNullSafe(F.lit(name))).select("query_id", "v", F.col("chunk_id").alias("_seed"))
-        rows = index.vectors if name is None else index.vectors.join(index.chunks.filter(F.col("language") == name).select("chunk_id"), "chunk_id", "left_semi")
-        near = semantic_top(rows, mine, k + 1).join(mine.select("query_id", "_seed"), "query_id").filter("chunk_id <> _seed").drop("_seed", "rank")
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        return index.chunks.sparkSession.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int")
-    return top_k(out, k)
+    spoken = index.chunks.select("chunk_id", "language")
+    known = seeds.join(spoken, "chunk_id").join(index.vectors, "chunk_id").select("query_id", "language", "v", F.col("chunk_id").alias("_seed"))
+    near = semantic_top(index.vectors.join(spoken, "chunk_id"), known, k + 1, label="language")
+    return top_k(near.drop("rank").join(known.select("query_id", "_seed"), "query_id").filter("chunk_id <> _seed").drop("_seed"), k)
 
 
 def resolve_chunk(chunks: DataFrame, lookups: DataFrame) -> DataFrame:

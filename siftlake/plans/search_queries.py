@@ -10,18 +10,25 @@ from siftlake.operators import index as I
 from siftlake.operators import search as S
 from siftlake.operators.evaluate import mode_quality, task_targets
 from siftlake.plans import sql as Q
-from siftlake.session import scratch_table, table
+from siftlake.session import scratch_path, scratch_table, table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.prepare_chunks(table(spark, sf_dir, "chunks"))
 
 
+_BUILT: dict[tuple[str, str], I.Index] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    chunks = scratch_table(_chunks(spark, sf_dir), "chunks")
-    profiled = scratch_table(I.chunk_profiles(chunks), "profiles")
-    built = I.index_of(chunks, I.exploded_terms(profiled), I.chunk_vectors(profiled))
-    return I.Index(chunks, built.terms, scratch_table(built.postings, "postings"), built.vectors)
+    """The index of a folder's chunks, built once a session and written down."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _BUILT:
+        chunks = scratch_table(_chunks(spark, sf_dir), "chunks")
+        profiled = scratch_table(I.chunk_profiles(chunks), "profiles")
+        built = I.index_of(chunks, I.exploded_terms(profiled), I.chunk_vectors(profiled))
+        _BUILT[at] = I.Index(chunks, built.terms, scratch_table(built.postings, "postings"), built.vectors)
+    return _BUILT[at]
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,15 +164,15 @@ def hybrid_reranked(spark, sf_dir):
 
 
 def saturation_decay(spark, sf_dir):
-    """Saturation over the held scores of every query."""
-    held = table(spark, sf_dir, "retrieved").filter("score IS NOT NULL AND NOT isnan(score) AND retriever = 'semantic'").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    """Saturation over the held scores of every query, of whichever retriever."""
+    held = table(spark, sf_dir, "retrieved").filter("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     placed = held.join(_chunks(spark, sf_dir).select("chunk_id", "file_path", "start_line"), "chunk_id")
     return S.saturate(placed.filter("score >= 0"), 10).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 def resolve_chunk(spark, sf_dir):
     tasks = table(spark, sf_dir, "tasks").select(F.explode("targets").alias("t"))
-    lookups = tasks.select(F.col("t.path").alias("path"), F.col("t.end_line").alias("line")).filter("line IS NOT NULL")
+    lookups = tasks.select(F.col("t.path").alias("path"), F.explode(F.array("t.start_line", "t.end_line")).alias("line")).filter("line IS NOT NULL")
     return S.resolve_chunk(_chunks(spark, sf_dir), lookups)
 
 
@@ -211,7 +218,20 @@ def ablation_modes(spark, sf_dir):
     """Mean NDCG of every combination of retrievers, with and without reranking."""
     asked = _tasks(spark, sf_dir)
     targets = task_targets(table(spark, sf_dir, "tasks")).join(asked.select("query_id"), "query_id", "left_semi")
-    return mode_quality(_index(spark, sf_dir), asked, scratch_table(targets, "targets"))
+    return mode_quality(_index(spark, sf_dir), asked, scratch_table(targets, "targets")).select("mode", F.round("ndcg", 9).alias("ndcg"), "queries")
+
+
+def snapshot_roundtrip(spark, sf_dir):
+    """An index written, read back and checked, then updated: files whose path has a length
+    divisible by 3 are stale, those of an even length among them are read again."""
+    chunks = _chunks(spark, sf_dir)
+    at = scratch_path(spark, "snapshot")
+    I.build_index(table(spark, sf_dir, "chunks")).save(at, source="chunks")
+    loaded = I.load_index(spark, at, source="chunks")
+    length = F.length("file_path")
+    stale = chunks.filter(length % 3 == 0)
+    updated = I.update_index(loaded, stale.filter(length % 2 == 0).select("chunk_id", "content", "file_path", "start_line", "end_line", "language"), stale.select(F.col("file_path").alias("path")))
+    return updated.chunks.groupBy("language").agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"))
 
 
 QUERIES = {
@@ -219,7 +239,7 @@ QUERIES = {
     for f in (
         tokenize, enrich_bm25, term_freq, doc_freq, doc_len, impacts, bm25_topk, bm25_filtered, semantic_topk, cosine_topk, cosine_topk_filtered, find_related,
         query_analysis, split_identifier, path_penalty, rrf_fused, hybrid_fused, coherence_boost, path_boost, definition_boost, hybrid_reranked, saturation_decay,
-        resolve_chunk, snippets, index_stats, manifest_diff, incremental_postings, merge_union, ablation_modes,
+        resolve_chunk, snippets, index_stats, manifest_diff, incremental_postings, merge_union, ablation_modes, snapshot_roundtrip,
     )
 }
 
@@ -248,7 +268,7 @@ ORACLE = {
     "find_related": f"""WITH {Q.CHUNKS},
 vec AS (SELECT DISTINCT chunk_id, CAST(v AS DOUBLE[]) AS v FROM vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 lv AS (SELECT chunk_id, language, start_line, v FROM vec JOIN one USING (chunk_id)),
-seed AS (SELECT *, CAST('0x' || substr(md5(chunk_id), 1, 12) AS BIGINT) AS query_id FROM lv WHERE start_line = 1 AND CAST('0x' || substr(md5(chunk_id), 1, 12) AS BIGINT) % 50 = 0),
+seed AS (SELECT *, CAST('0x' || substr(md5(chunk_id), 1, 12) AS BIGINT) AS query_id FROM lv WHERE CAST('0x' || substr(md5(chunk_id), 1, 12) AS BIGINT) % 50 = 0),
 s AS (SELECT query_id, c.chunk_id, list_cosine_similarity(seed.v, c.v) AS score FROM seed JOIN lv c ON seed.language IS NULL OR c.language = seed.language WHERE c.chunk_id <> seed.chunk_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
@@ -263,12 +283,12 @@ CASE WHEN NOT contains(trim(query), ' ') THEN 'symbol' WHEN starts_with(lower(qu
     "definition_boost": f"WITH {_FUSED}, {Q.COHERENT}, {Q.PATHED}, {Q.BOOSTED} {_SCORE} boosted",
     "hybrid_reranked": f"WITH {Q.hybrid(10)} {_OUT} final",
     "saturation_decay": f"""WITH {Q.CHUNKS},
-held AS (SELECT query_id, chunk_id, max(score) AS score FROM retrieved WHERE score IS NOT NULL AND NOT isnan(score) AND retriever = 'semantic' GROUP BY ALL),
+held AS (SELECT query_id, chunk_id, max(score) AS score FROM retrieved WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
 p AS (SELECT query_id, chunk_id, file_path, start_line, score FROM held JOIN one USING (chunk_id) WHERE score >= 0),
 d AS (SELECT * EXCLUDE (score), score * pow(0.5, row_number() OVER (PARTITION BY query_id, file_path ORDER BY round(score, 9) DESC, start_line, chunk_id) - 1) AS score FROM p),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, start_line, file_path, chunk_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM r WHERE rank <= 10""",
-    "resolve_chunk": f"""WITH {Q.CHUNKS}, t AS (SELECT unnest(targets) AS t FROM tasks), l AS (SELECT DISTINCT t.path AS path, t.end_line AS line FROM t WHERE t.end_line IS NOT NULL),
+    "resolve_chunk": f"""WITH {Q.CHUNKS}, t AS (SELECT unnest(targets) AS t FROM tasks), l AS (SELECT DISTINCT t.path AS path, unnest([t.start_line, t.end_line]) AS line FROM t),
 r AS (SELECT path, line, chunk_id, row_number() OVER (PARTITION BY path, line ORDER BY (line = end_line), start_line, chunk_id) AS r
       FROM l JOIN one ON file_path = replace(path, '\\', '/') AND line BETWEEN start_line AND end_line) SELECT path, line, chunk_id FROM r WHERE r = 1""",
     "snippets": f"""WITH {Q.CHUNKS} SELECT chunk_id, array_to_string(string_split(content, chr(10))[1:3], chr(10)) AS first_lines, 0 AS none, CAST(length(content) // 4 AS BIGINT) AS tokens,
@@ -279,5 +299,18 @@ SELECT indexed_files, total_chunks, language, count(*) AS chunks FROM one, t WHE
 c AS (SELECT path, arg_max(mtime_ns, (seen_at, mtime_ns)) AS m, TRUE AS c FROM files GROUP BY path)
 SELECT path, CASE WHEN p IS NULL THEN 'new' WHEN c IS NULL THEN 'deleted' WHEN p.m IS NOT DISTINCT FROM c.m THEN 'reuse' ELSE 'changed' END AS state FROM p FULL JOIN c USING (path)""",
     "incremental_postings": f"WITH {Q.POSTINGS} SELECT term, chunk_id, tf, round(impact, 9) AS impact FROM posts",
+    "ablation_modes": f"""WITH {Q.modes(10)},
+flat AS (SELECT DISTINCT task_id AS task, generate_subscripts(targets, 1) - 1 AS target, unnest(targets) AS t FROM (SELECT DISTINCT task_id, targets FROM tasks)),
+aims AS (SELECT task * 8 + m AS query_id, target, replace(t.path, '\\', '/') AS path,
+  CASE WHEN t.start_line IS NOT NULL AND t.end_line IS NOT NULL THEN t.start_line END AS s, CASE WHEN t.start_line IS NOT NULL AND t.end_line IS NOT NULL THEN t.end_line END AS e
+  FROM flat, range(8) AS ms(m) WHERE task * 8 + m IN (SELECT query_id FROM asked)),
+wanted AS (SELECT query_id, count(*) AS n FROM aims GROUP BY query_id),
+firsts AS (SELECT f.query_id, target, min(rank) AS rank FROM judged f JOIN one USING (chunk_id) JOIN aims a ON a.query_id = f.query_id
+  AND (file_path = path OR ends_with(file_path, '/' || path) OR ends_with(path, '/' || file_path)) AND (s IS NULL OR NOT (end_line < s OR start_line > e)) GROUP BY ALL),
+gained AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT DISTINCT query_id, rank FROM firsts WHERE rank <= 10) GROUP BY ALL),
+scores AS (SELECT w.query_id, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM wanted w LEFT JOIN gained USING (query_id))
+SELECT ['lexical', 'lexical+ranking', 'semantic', 'semantic+ranking', 'auto', 'auto+ranking', 'even', 'even+ranking'][query_id % 8 + 1] AS mode, round(avg(ndcg), 9) AS ndcg, count(*) AS queries FROM scores GROUP BY mode""",
+    "snapshot_roundtrip": f"""WITH {Q.CHUNKS} SELECT language, count(*) AS chunks, count(DISTINCT file_path) AS files FROM one
+WHERE NOT (length(file_path) % 3 = 0 AND length(file_path) % 2 = 1) GROUP BY language""",
     "merge_union": f"WITH {Q.POSTINGS} SELECT term, count(*) AS df, round(sum(impact), 6) AS impact FROM posts GROUP BY term",
 }

@@ -1,6 +1,6 @@
 """Pieces of SQL that the twins share. Written for DuckDB, whose expressions know no look-around."""
 
-from siftlake.functions.text import DEFINITION_KEYWORDS, SQL_DEFINITIONS, STOPWORDS
+from siftlake.functions.text import DEFINITION_KEYWORDS, SQL_DEFINITIONS, STOPWORDS, TEST_FILES
 from siftlake.operators.index import K1, B
 from siftlake.operators.profile import DIMS
 
@@ -86,10 +86,7 @@ facts AS (SELECT query_id, {SYMBOL} AS symbol, CASE WHEN {SYMBOL} THEN list_dist
 
 def penalty(path: str) -> str:
     name = f"string_split({path}, '/')[-1]"
-    test_file = (
-        r"(?:^|/)(?:test_[^/]*\.(?:py|cpp|c|dart|lua)|[^/]*_test\.(?:py|go|rb|cpp|c|dart|lua)|[^/]*_spec\.(?:rb|lua)|[^/]*Tests?\.(?:java|kt|swift|cs)"
-        r"|[^/]*Test\.(?:php|scala)|[^/]*Spec\.(?:kt|swift|scala)|[^/]*Suite\.scala|[^/]*\.(?:test|spec)\.[jt]sx?|test_helpers?[^/]*\.\w+)$"
-    )
+    test_file = "(?:^|/)(?:" + "|".join(TEST_FILES) + ")$"
     return (
         f"(CASE WHEN regexp_matches({path}, '{test_file}') OR regexp_matches({path}, '(?:^|/)(?:tests?|__tests__|spec|testing)(?:/|$)') THEN 0.3 ELSE 1.0 END"
         f" * CASE WHEN {name} IN ('__init__.py', 'package-info.java') THEN 0.5 ELSE 1.0 END"
@@ -150,3 +147,14 @@ final AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
 
 def hybrid(k: int) -> str:
     return ",".join([POSTINGS, QUERIES, QTERMS, lexical(5 * k), ENCODED, semantic(5 * k), FACTS, FUSED, COHERENT, PATHED, BOOSTED, ranked(k)])
+
+
+def modes(k: int) -> str:
+    """``judged``: the first results of every query in each of eight modes; a query's number times 8 plus the mode's."""
+    asked = "asked AS (SELECT DISTINCT task_id * 8 + m AS query_id, query FROM tasks, range(8) AS ms(m) WHERE trim(coalesce(query, '')) <> '')"
+    alpha = "CASE query_id % 8 // 2 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN CASE WHEN symbol THEN 0.3 ELSE 0.5 END ELSE 0.5 END"
+    facts = FACTS.replace("facts AS (", "facts0 AS (") + f", facts AS (SELECT * EXCLUDE (alpha), {alpha} AS alpha FROM facts0)"
+    final = ranked(k).replace(penalty("file_path"), f"CASE WHEN b.query_id % 8 // 2 = 1 THEN 1.0 ELSE {penalty('file_path')} END")
+    return ",".join([POSTINGS, asked, QTERMS, lexical(5 * k), ENCODED, semantic(5 * k), facts, FUSED, COHERENT, PATHED, BOOSTED, final]) + f""",
+plain AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, start_line, file_path, chunk_id) AS rank FROM cand) WHERE rank <= {k}),
+judged AS (SELECT query_id, chunk_id, rank FROM final WHERE query_id % 2 = 1 UNION ALL SELECT query_id, chunk_id, rank FROM plain WHERE query_id % 2 = 0)"""

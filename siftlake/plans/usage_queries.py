@@ -19,6 +19,7 @@ from siftlake.session import scratch_path, scratch_table, table
 from siftlake.sources.files import file_status
 from siftlake.sources.ignore import is_ignored, parse
 from siftlake.sources.languages import language_rows, language_table, suffix, with_language
+from siftlake.sources.tasks import filter_tasks, with_repositories
 from siftlake.streaming.usage import daily_usage, stream_log
 
 NOW = dt.datetime(2024, 1, 29, 12)
@@ -182,6 +183,13 @@ def git_urls(spark, sf_dir):
     return repos.select(F.explode(forms).alias("source")).select("source", is_git_url(F.col("source")).alias("git"))
 
 
+def task_filters(spark, sf_dir):
+    """Tasks joined with their repositories, of three languages."""
+    tasks = table(spark, sf_dir, "tasks").select("task_id", "repo", "query", "category", F.size("targets").alias("targets")).distinct()
+    repos = table(spark, sf_dir, "files").groupBy(F.col("repo").alias("name")).agg(F.max("language").alias("language")).filter("name IS NOT NULL")
+    return filter_tasks(with_repositories(tasks, repos), languages=["rust", "typescript", "ruby"]).select("task_id", "repo", "language", "category", "targets")
+
+
 def ignore_eval(spark, sf_dir):
     """Which files a set of ignore rules leaves out."""
     rules = parse(["tests/", "*.rb", "!keep_*.rb", "/*/docs/**", "**/internal/*.go", "[a-c]*-kit/"])
@@ -205,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         savings_buckets, call_type_share, usage_daily, usage_stream, span_overlap_join, ndcg_at_10, ndcg_by_category, ndcg_by_language, ndcg_macro, coverage_curve, recall_at_budget,
-        tokens_first_hit, grep_keyword_rank, paired_reduction, savings_of_results, chunk_lines, syntax_chunks, language_of_files, ext_by_content, file_states, git_urls, ignore_eval,
+        tokens_first_hit, grep_keyword_rank, paired_reduction, savings_of_results, chunk_lines, syntax_chunks, language_of_files, ext_by_content, file_states, git_urls, ignore_eval, task_filters,
     )
 }
 
@@ -303,4 +311,11 @@ SELECT path, f.ext AS ext, language AS by_suffix, content_type FROM f LEFT JOIN
     "file_states": r"""SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 1000000 THEN 'too_large' WHEN strlen(coalesce(text, '')) < 128 AND NOT regexp_matches(coalesce(text, ''), '\S') THEN 'empty' ELSE 'valid' END AS status FROM documents""",
     "git_urls": """WITH r AS (SELECT DISTINCT repo FROM tasks), s AS (SELECT unnest([repo, 'https://example.org/' || repo, 'git@example.org:x/' || repo, '/src/' || repo]) AS source FROM r)
 SELECT source, starts_with(source, 'https://') OR starts_with(source, 'git@') AS git FROM s""",
+    "ignore_eval": r"""SELECT path, regexp_matches(path, '(^|/)tests/') OR len(list_filter(string_split(path, '/'), lambda c: ends_with(c, '.rb') AND NOT starts_with(c, 'keep_'))) > 0
+ OR regexp_matches(path, '^[^/]+/docs/.+') OR regexp_matches(path, '(^|/)internal/[^/]*\.go(/|$)') OR regexp_matches(path, '(^|/)[a-c][^/]*-kit/') AS ignored
+FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL)""",
+    "task_filters": """WITH r AS (SELECT repo, max(language) AS language FROM files WHERE repo IS NOT NULL GROUP BY repo),
+t AS (SELECT DISTINCT task_id, repo, query, category, len(targets) AS targets FROM tasks)
+SELECT task_id, repo, r.language AS language, coalesce(category, CASE WHEN NOT contains(trim(query), ' ') THEN 'symbol' WHEN starts_with(lower(query), 'how ') THEN 'architecture' ELSE 'semantic' END) AS category,
+  CAST(targets AS INTEGER) AS targets FROM t JOIN r USING (repo) WHERE r.language IN ('rust', 'typescript', 'ruby')""",
 }

@@ -58,11 +58,18 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(archive)  # the driver serves it; executors fetch their own copy
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only if none is configured."""
+    """The cluster's shared folder; a folder of our own only on a local master without one."""
     configured = spark.sparkContext.getConf().get(_SETTING, None)
     if configured:
         return configured.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError(f"{_SETTING} must name a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         made = tempfile.mkdtemp(prefix="siftlake-")
@@ -72,6 +79,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path; what Spark itself would use for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if it is not there."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_small(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file aside and move it into place: a reader sees the old one or the new one."""
+    fs, at = file_system(spark, path)
+    staged = at.suffix("-" + uuid.uuid4().hex)
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = spark.sparkContext
+    rename = context._jvm.org.apache.hadoop.fs.Options.Rename
+    options = context._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(at), options)
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

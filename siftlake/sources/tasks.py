@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions.text import infer_category
+
 _TASK = "struct<query:string,category:string,language:string,relevant:array<string>,secondary:array<string>>"
 
 
@@ -30,6 +32,24 @@ def read_repos(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, language string, url string, revision string, benchmark_root string").option("multiLine", True).json(path)
 
 
+def with_repositories(tasks: DataFrame, repos: DataFrame) -> DataFrame:
+    """Tasks of the repositories that are at hand: ``repo, query, category, targets, language``.
+
+    The language is that of the repository (``repos``: name, language); a task without a
+    category gets it from its query. Tasks of other repositories are left out.
+    """
+    known = repos.select(F.col("name").alias("repo"), F.col("language").alias("_language")).dropDuplicates(["repo"])
+    joined = tasks.join(known, "repo")
+    return joined.withColumns({"language": F.col("_language"), "category": F.coalesce("category", infer_category(F.col("query")))}).drop("_language")
+
+
+def filter_tasks(tasks: DataFrame, repos: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """Tasks of any of the repositories and any of the languages; None or nothing is no filter."""
+    for column, wanted in (("repo", repos), ("language", languages)):
+        tasks = tasks.filter(F.col(column).isin(wanted)) if wanted else tasks
+    return tasks
+
+
 def results_json(query: str, rows: list, lines: int | None = None) -> str:
     """A result set as JSON text; ``lines`` as for snippets."""
     def shown(text: str) -> str:

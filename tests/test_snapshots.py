@@ -7,7 +7,7 @@ import subprocess
 import pytest
 
 from siftlake.cli import run
-from siftlake.operators.index import build_index
+from siftlake.operators.index import build_index, merge_indexes
 from siftlake.snapshots import Snapshots, chunk_table
 from siftlake.sources.files import list_tree, read_files
 
@@ -46,10 +46,13 @@ def test_reuse_update_and_rebuild(spark, project, tmp_path):
     assert registry._current(home) != before
     rebuilt = build_index(chunk_table(read_files(list_tree(spark, str(project)), str(project))))
     assert _postings(updated) == _postings(rebuilt)
-    os.rename(os.path.join(registry._current(home), "terms"), os.path.join(registry._current(home), "gone"))
+    current = registry._current(home).removeprefix("file://")
+    os.rename(f"{current}/terms", f"{current}/gone")
     registry._open.clear()
     assert _postings(registry.get(str(project))) == _postings(rebuilt)  # an incomplete snapshot is rebuilt
     assert registry.get_all([str(project), str(project)]).chunks.count() == rebuilt.chunks.count()
+    both = [str(project), str(project.parent)]
+    assert registry.get_all(both) is registry.get_all(both)  # merged once while its parts are the same
     assert registry.clear(orphans_only=True) == 0 and registry.clear() == 1
 
 
@@ -61,6 +64,18 @@ def test_git_source(spark, project, tmp_path):
     assert {r["file_path"] for r in index.chunks.collect()} == {"auth.py", "utils.py"}
     with pytest.raises(RuntimeError):
         registry.get(f"file://{tmp_path}/none")
+    with pytest.raises(ValueError):
+        Snapshots(spark, str(tmp_path / "cache"), safe_only=True).get(f"file://{project}")
+
+
+def test_merging_refuses_other_encoders_and_building_refuses_two_rows_of_one_id(spark):
+    chunk = "chunk_id string, content string, file_path string, start_line int, end_line int, language string"
+    one = build_index(spark.createDataFrame([("a:0", "def a", "a", 1, 1, None)] * 2, chunk), strict=True)
+    other = build_index(spark.createDataFrame([("b:0", "def b", "b", 1, 1, None)], chunk), spark.createDataFrame([("b:0", [1.0, 2.0])], "chunk_id string, v array<double>"))
+    with pytest.raises(ValueError):
+        merge_indexes({"one": one, "other": other})
+    with pytest.raises(ValueError):
+        build_index(spark.createDataFrame([("a:0", "x", "a", 1, 1, None), ("a:0", "y", "a", 1, 1, None)], chunk), strict=True)
 
 
 def test_command_line(spark, project, tmp_path, monkeypatch):
