@@ -46,9 +46,10 @@ def _islands(ranges: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
 
 
 def _across(inner: DataFrame, keys: list[str], lo: str, hi: str, stretch: int) -> DataFrame:
-    """Joins the intervals that meet at a border of two stretches; the rest passes."""
+    """Joins the intervals that meet at a border of two stretches; the others stay with their stretch."""
     at_border = F.expr(f"`{lo}` % {stretch}L = 0 OR `{hi}` % {stretch}L = 0")
-    return inner.filter(~at_border).select(*keys, lo, hi).unionByName(_islands(inner.filter(at_border), keys, lo, hi).select(*keys, lo, hi))
+    place = F.when(at_border, F.lit(-1)).otherwise(F.expr(f"`{lo}` div {stretch}L"))
+    return _islands(inner.withColumn("_g", place), [*keys, "_g"], lo, hi).select(*keys, lo, hi)
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", stretch: int = STRETCH) -> DataFrame:
@@ -192,6 +193,7 @@ def files_to_process(files: DataFrame, manifest: DataFrame, runs: DataFrame, axi
     )
     numbered = scratch_table(version_axes(state, axis_length), "axes")
     placed = state.join(numbered, (state.path == numbered.path) & state.mtime_ns.eqNullSafe(numbered.mtime_ns)).select("axis", "now", F.col("seq").alias("lo"), (F.col("seq") + 1).alias("hi"))
+    placed = scratch_table(placed, "placed")
     gaps = subtract_ranges(placed.filter("now"), placed.filter("NOT now"), ["axis"])
     # An axis is short, so an interval's numbers fit in one row's array.
     due = gaps.select("axis", F.explode(F.expr("sequence(lo, hi - 1)")).alias("seq"))
