@@ -3,11 +3,12 @@
 The rows are clustered by group into parquet files. Within a file the row groups are bands
 of depth: the first holds the best rows of each of the file's groups, the next twice as
 many of the following ones, and so on, whatever N will be asked. Beside the files stands a
-table of statistics: for every row group and every group in it the number of rows and the
-least and greatest score. A reader goes through row groups from the top and skips one as
-soon as its greatest score is strictly below the N-th best score of every group in it. Two
-sources give those N-th scores: the statistics (row groups with N rows of a group prove
-that their least score is reached N times), and the rows read so far.
+table of statistics: for every row group and every group in it the number of rows, and the
+best and the worst of them: greatest and least score, with the ties that order equal scores.
+A reader goes through row groups from the top and skips one as soon as its best row is
+strictly below the N-th best of every group in it. Two sources give those N-th rows: the
+statistics (row groups with N rows of a group prove that their worst row is reached N times),
+and the rows read so far.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +48,7 @@ def holding_scores(scored: DataFrame, group: str, item: str, when: str, score: s
 
 @dataclass
 class Layout:
-    """Clustered files and their statistics: ``file, rg, band, rows, member, n, low, high``, a row per row group and group."""
+    """Clustered files and their statistics: ``file, rg, band, rows, member, n, best, worst``, a row per row group and group."""
 
     statistics: DataFrame
     group: str
@@ -62,7 +63,7 @@ def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
-def _lay_out(path: str, group: str, score: str, columns: list[str], band_rows: int, group_rows: int):
+def _lay_out(path: str, group: str, columns: list[str], band_rows: int, group_rows: int):
     """Writes a partition, sorted by (group, best first), as one file in bands; gives its statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +81,15 @@ def _lay_out(path: str, group: str, score: str, columns: list[str], band_rows: i
                 fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 writer = pq.ParquetWriter(at, t.schema, filesystem=fs, compression="snappy")
             writer.write_table(t, row_group_size=t.num_rows)
-            s = t.select([group, score]).group_by(group).aggregate([(score, "count"), (score, "min"), (score, "max")])
-            n = s.num_rows
+            g = t.column(group).combine_chunks()  # groups one after the other, each from its best row down
+            first = np.flatnonzero(np.r_[True, pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)])
+            last_row = np.r_[first[1:], len(g)] - 1
+            keys = [c for c in columns if c != group]
+            best, worst = (pa.StructArray.from_arrays([t.column(c).combine_chunks().take(pa.array(at)) for c in keys], names=keys) for at in (first, last_row))
+            n = len(first)
             numbers = [pa.array(np.full(n, written, dtype=np.int32)), pa.array(np.full(n, band, dtype=np.int32)), pa.array(np.full(n, t.num_rows, dtype=np.int64))]
-            parts = [s.column(c).combine_chunks() for c in (group, f"{score}_count", f"{score}_min", f"{score}_max")]
             written += 1
-            return pa.RecordBatch.from_arrays([pa.array([file] * n), *numbers, *parts], names=["file", "rg", "band", "rows", "member", "n", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([file] * n), *numbers, g.take(pa.array(first)), pa.array(last_row - first + 1), best, worst], names=["file", "rg", "band", "rows", "member", "n", "best", "worst"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -122,27 +126,34 @@ def lay_out(df: DataFrame, group: str, score: str, ties: list[str], band_rows: i
     if not placed:
         usable = usable.withColumn("_h", F.xxhash64(*columns)).repartitionByRange(group, "_h").select(*columns)
     ordered = usable.sortWithinPartitions(group, F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties])
-    kinds = {c: usable.schema[c].dataType for c in (group, score)}
-    fields = [("file", T.StringType()), ("rg", T.IntegerType()), ("band", T.IntegerType()), ("rows", T.LongType()), ("member", kinds[group]), ("n", T.LongType()), ("low", kinds[score]), ("high", kinds[score])]
+    key = T.StructType([usable.schema[c] for c in (score, *ties)])
+    fields = [("file", T.StringType()), ("rg", T.IntegerType()), ("band", T.IntegerType()), ("rows", T.LongType()), ("member", usable.schema[group].dataType), ("n", T.LongType()), ("best", key), ("worst", key)]
     path = scratch_path(df.sparkSession, "clustered")
-    statistics = ordered.mapInArrow(_lay_out(path, group, score, columns, band_rows, group_rows), T.StructType([T.StructField(*f) for f in fields]))
+    statistics = ordered.mapInArrow(_lay_out(path, group, columns, band_rows, group_rows), T.StructType([T.StructField(*f) for f in fields]))
     return Layout(scratch_table(statistics, "statistics"), group, score, ties, T.StructType([usable.schema[c] for c in columns]))
 
 
 def row_group_plan(layout: Layout, n: int) -> DataFrame:
-    """One row per row group: ``file, rg, band, rows, members, highs, skip``.
+    """One row per row group: ``file, rg, band, rows, members, bests, skip``.
 
-    A group's proven N-th score is the least score of the row groups that, taken in
-    descending least score, hold N of its rows; ``skip`` tells that the greatest score of
-    each contained group is strictly below that group's.
+    A group's proven N-th row is the worst row of the row groups that, taken in descending
+    order of their worst, hold N of its rows; ``skip`` tells that the best row of each
+    contained group is strictly below that group's.
     """
-    by = Window.partitionBy("member").orderBy(F.desc("low"), "file", "rg").rowsBetween(Window.unboundedPreceding, 0)
-    reached = layout.statistics.withColumn("_upto", F.sum("n").over(by))
-    proven = reached.withColumn("_nth", F.max(F.when(F.col("_upto") >= n, F.col("low"))).over(Window.partitionBy("member")))
-    below = F.coalesce(F.col("high") < F.col("_nth"), F.lit(False))
+
+    def key(row: str) -> Column:
+        """Ascending from the best row: score descending, then the ties, nulls last."""
+        ties = [x for t in layout.ties for x in (F.col(f"{row}.{t}").isNull().alias(f"no_{t}"), F.col(f"{row}.{t}"))]
+        return F.struct((-F.col(f"{row}.{layout.score}")).alias("below"), *ties)
+
+    keyed = layout.statistics.withColumns({"_best": key("best"), "_worst": key("worst")})
+    by = Window.partitionBy("member").orderBy("_worst", "file", "rg").rowsBetween(Window.unboundedPreceding, 0)
+    reached = keyed.withColumn("_upto", F.sum("n").over(by))
+    proven = reached.withColumn("_nth", F.min(F.when(F.col("_upto") >= n, F.col("_worst"))).over(Window.partitionBy("member")))
+    below = F.coalesce(F.col("_best") > F.col("_nth"), F.lit(False))
     return proven.groupBy("file", "rg", "band", "rows").agg(
-        F.min(below.cast("int")).cast("boolean").alias("skip"), F.collect_list(F.struct("member", "high")).alias("_m")
-    ).select("file", "rg", "band", "rows", F.col("_m.member").alias("members"), F.col("_m.high").alias("highs"), "skip")
+        F.min(below.cast("int")).cast("boolean").alias("skip"), F.collect_list(F.struct("member", "best")).alias("_m")
+    ).select("file", "rg", "band", "rows", F.col("_m.member").alias("members"), F.col("_m.best").alias("bests"), "skip")
 
 
 def _read_descending(group: str, score: str, ties: list[str], columns: list[str], n: int):
@@ -150,6 +161,10 @@ def _read_descending(group: str, score: str, ties: list[str], columns: list[str]
         rows = rows.sort_values([score, *ties], ascending=[False] + [True] * len(ties), na_position="last", kind="stable")
         return rows[rows.groupby(group, sort=False).cumcount() < n]
 
+    def key(row) -> tuple:
+        """As in the plan; ``row`` maps columns to values."""
+        return (-row[score], *[x for t in ties for x in ((True, 0) if pd.isna(row[t]) else (False, row[t]))])
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
@@ -159,12 +174,12 @@ def _read_descending(group: str, score: str, ties: list[str], columns: list[str]
                 source = pq.ParquetFile(at, filesystem=fs)
                 kept, nth, band = None, {}, None
                 for part in sorted(plan, key=lambda p: (p["band"], p["rg"])):
-                    if part["band"] != band and kept is not None:  # every deeper band is met with the N-th scores of all before
+                    if part["band"] != band and kept is not None:  # every deeper band is met with the N-th rows of all before
                         kept = best(kept)
-                        sizes = kept.groupby(group, sort=False)[score].agg(["size", "min"])
-                        nth = sizes.loc[sizes["size"] >= n, "min"].to_dict()
+                        last = kept[kept.groupby(group, sort=False).cumcount() == n - 1]
+                        nth = {r[group]: key(r) for r in last.to_dict("records")}
                     band = part["band"]
-                    if nth and all(g in nth and h < nth[g] for g, h in zip(part["members"], part["highs"])):
+                    if nth and all(g in nth and key(h) > nth[g] for g, h in zip(part["members"], part["bests"])):
                         continue
                     rows = source.read_row_group(int(part["rg"]), columns=columns).to_pandas()
                     kept = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
@@ -179,7 +194,7 @@ def top_n(layout: Layout, n: int) -> DataFrame:
     group, score, ties = layout.group, layout.score, layout.ties
     columns = [group, score, *ties]
     plan = row_group_plan(layout, n).filter(~F.col("skip"))
-    tasks = plan.groupBy("file").agg(F.collect_list(F.struct("rg", "band", "members", "highs")).alias("plan"))
+    tasks = plan.groupBy("file").agg(F.collect_list(F.struct("rg", "band", "members", "bests")).alias("plan"))
     # A file's plan is some kilobytes, and AQE would make one task of all.
     tasks = tasks.repartition(max(1, layout.statistics.select("file").distinct().count()))
     best = tasks.mapInPandas(_read_descending(group, score, ties, columns, n), layout.schema)
