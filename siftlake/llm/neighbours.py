@@ -31,13 +31,17 @@ from siftlake.session import scratch_table
 #: Rows the upper part may be fitted on; with 64 dimensions this is 13 MB on the driver.
 SAMPLE_ROWS = 50_000
 #: Exactly answered queries: half of them set the visits, the others measure the recall.
-CALIBRATION_QUERIES = 800
+CALIBRATION_QUERIES = 1_600
 #: Rows of a cell, about, and of a leaf, at most. A sample of SAMPLE_ROWS has a few thousand
 #: cells at most: with more than some ten million rows cells grow and are cut into blocks.
 CELL_ROWS = 16_000
 LEAF_ROWS = 16
 #: Rows of a cell, and queries of a cell, that one task takes at a time.
 BLOCK_ROWS = 50_000
+#: Queries that a task compares with its block at a time.
+SEARCH_QUERIES = 8_192
+#: Distances are counted in millionths; query, distance and row of a block then fit in one number, which sorts them.
+_MICRO, _NEVER = 1_000_000, (1 << 22) - 1
 
 
 @dataclass
@@ -62,10 +66,8 @@ def _kmeans(v: np.ndarray, k: int, rnd: np.random.Generator, rounds: int = 8) ->
     c = v[rnd.choice(len(v), size=k, replace=False)]
     for _ in range(rounds):
         near = np.argmax(v @ c.T, axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, v)
-        alive = np.bincount(near, minlength=len(c)) > 0
-        c = _unit(sums[alive])
+        member = (near[None, :] == np.arange(len(c))[:, None]).astype(v.dtype)
+        c = _unit((member @ v)[member.any(axis=1)])
     return c
 
 
@@ -169,9 +171,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _leaf_centres(v: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """The unit mean of each leaf; leaves are numbered from 0 without gaps."""
-    sums = np.zeros((int(leaf.max()) + 1, v.shape[1]))
-    np.add.at(sums, leaf, v)
-    return _unit(sums).astype(np.float32)
+    order = np.argsort(leaf, kind="stable")
+    first = np.searchsorted(leaf[order], np.arange(int(leaf.max()) + 1))
+    return _unit(np.add.reduceat(v[order], first, axis=0)).astype(np.float32)
 
 
 def _assign(tree_b):
@@ -207,13 +209,15 @@ def _exact(queries: np.ndarray, names: np.ndarray, k: int):
         out = []
         for at in range(0, len(queries), 200):
             q = queries[at : at + 200]
-            place = np.argsort(np.argsort(-(q.astype(np.float32) @ centres.T), axis=1, kind="stable"), axis=1)
             sims = np.round(q @ v.T, 6)
             sims[names[at : at + 200, None] == rid[None, :]] = -2
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if len(v) > k else np.arange(len(v))[None, :].repeat(len(q), 0)
+            to_leaf = q.astype(np.float32) @ centres.T
+            own = np.take_along_axis(to_leaf, leaf[best], axis=1)
+            place = (to_leaf[:, None, :] > own[:, :, None]).sum(axis=2)
             near = np.take_along_axis(sims, best, axis=1)
             i, j = np.nonzero(near > -2)
-            out.append((at + i, rid[best[i, j]], near[i, j], np.take_along_axis(place, leaf[best], axis=1)[i, j]))
+            out.append((at + i, rid[best[i, j]], near[i, j], place[i, j]))
         q, near, cos, place = (np.concatenate(x) for x in zip(*out))
         cell = np.full(len(q), t.column("cell")[0].as_py(), dtype=np.int32)
         return pa.table({"q": pa.array(q.astype(np.int32)), "cell": cell, "near": near, "cos": cos, "place": pa.array(place.astype(np.int32)), "leaves": pa.array(np.full(len(q), len(centres), dtype=np.int32))})
@@ -285,7 +289,10 @@ def _to_cells(tree_b, visits: int):
 
 
 def _search(k: int, min_cosine: float, visits: int):
-    """The k best rows of a block for each query sent to it, in the block's ``visits`` best leaves."""
+    """The k best rows of a block for each query sent to it, in the block's ``visits`` best leaves.
+
+    A block has less than 2**18 rows: blocks of BLOCK_ROWS are drawn by a hash.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         asks = t.column("leaf").is_null().to_numpy()
@@ -296,29 +303,31 @@ def _search(k: int, min_cosine: float, visits: int):
             v, leaf, rid = _matrix(rows.column("v")), rows.column("leaf").to_numpy(), rows.column("rid").to_numpy()
             centres = _leaf_centres(v, leaf)
             bounds = np.searchsorted(leaf, np.arange(len(centres) + 1))
-            q_all, asker = _matrix(asked.column("v")), asked.column("rid").to_numpy()
             f = min(visits, len(centres))
-            for at in range(0, len(q_all), 4096):
-                q, name = q_all[at : at + 4096], asker[at : at + 4096]
+            by_rank = np.sort(rid)
+            rank, most = np.searchsorted(by_rank, rid), round((1 - min_cosine) * _MICRO)
+            q_all, asker = _matrix(asked.column("v")), asked.column("rid").to_numpy()
+            for at in range(0, len(q_all), SEARCH_QUERIES):
+                q, name = q_all[at : at + SEARCH_QUERIES], asker[at : at + SEARCH_QUERIES]
                 near = q.astype(np.float32) @ centres.T
                 picked = np.argpartition(-near, f - 1, axis=1)[:, :f] if f < len(centres) else np.arange(f)[None, :].repeat(len(q), 0)
-                who, which = np.repeat(np.arange(len(q)), f), picked.ravel()
+                del near
+                who, which = np.repeat(np.arange(len(q), dtype=np.int32), f), picked.ravel().astype(np.int32)
                 order = np.argsort(which, kind="stable")
                 who, ends = who[order], np.searchsorted(which[order], np.arange(len(centres) + 1))
                 parts = []
                 for leaf_no in np.flatnonzero(np.diff(ends)):
                     mine = who[ends[leaf_no] : ends[leaf_no + 1]]
                     a, b = bounds[leaf_no], bounds[leaf_no + 1]
-                    sims = np.round(q[mine] @ v[a:b].T, 6)
-                    sims[name[mine][:, None] == rid[None, a:b]] = -2
-                    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1] if b - a > k else np.full(len(mine), -2.0)
-                    i, j = np.nonzero((sims >= np.maximum(floor, min_cosine)[:, None]) & (sims > -2))
-                    parts.append((mine[i], rid[a + j], sims[i, j]))
-                i, r, cos = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((r, -cos, i))
-                i, r, cos = i[order], r[order], cos[order]
-                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((name[i[kept]], r[kept], cos[kept]))
+                    far = _MICRO - np.rint((q[mine] @ v[a:b].T) * _MICRO).astype(np.int64)
+                    far[name[mine][:, None] == rid[None, a:b]] = _NEVER
+                    nearest = np.partition(far, k - 1, axis=1)[:, k - 1] if b - a > k else np.full(len(mine), _NEVER)
+                    i, j = np.nonzero((far <= np.minimum(nearest, most)[:, None]) & (far < _NEVER))
+                    parts.append((mine[i].astype(np.int64) << 40) | (far[i, j] << 18) | rank[a + j])
+                found = np.sort(np.concatenate(parts))  # by query, distance, then key
+                i = found >> 40
+                found = found[np.arange(len(i)) - np.searchsorted(i, i) < k]
+                out.append((name[found >> 40], by_rank[found & 0x3FFFF], (_MICRO - ((found >> 18) & 0x3FFFFF)) / _MICRO))
         rid, near, cos = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
         return pa.table({"rid": pa.array(rid, pa.int64()), "near": pa.array(near, pa.int64()), "cos": pa.array(cos, pa.float64())})
 

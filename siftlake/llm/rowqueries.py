@@ -26,7 +26,7 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Recall asked for of near-equal vectors, and of the nearest however far they are.
-CLOSE_RECALL, ANY_RECALL = 0.999, 0.93
+CLOSE_RECALL, ANY_RECALL = 0.9995, 0.93
 
 
 def _similar(spark: SparkSession, sf_dir: str, k: int, min_cosine: float, recall: float, report: dict | None = None) -> DataFrame:
