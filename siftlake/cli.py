@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.operators import search as S
 from siftlake.operators.usage import read_log, usage_records, usage_report, write_log
-from siftlake.session import build_session
+from siftlake.session import build_session, file_system, remove_tree
 from siftlake.snapshots import Snapshots, snapshot_root
 from siftlake.sources.languages import KINDS, language_table
 from siftlake.sources.tasks import results_json
