@@ -45,7 +45,8 @@ def test_row_groups_of_many_groups_are_skipped(spark):
     plan = row_group_plan(layout, 10).cache()
     total, skipped = plan.agg(F.count("*"), F.sum(F.col("skip").cast("int"))).first()
     assert total > 30 and skipped > 0.7 * total
-    assert plan.filter("skip AND size(members) > 1").count() > 0.5 * total
+    mixed, mixed_skipped = plan.filter("size(members) > 1").agg(F.count("*"), F.sum(F.col("skip").cast("int"))).first()
+    assert mixed > 10 and mixed_skipped > 0.5 * mixed  # those of the small groups
     kept = plan.filter("NOT skip").agg(F.sum("rows")).first()[0]
     assert kept < 0.3 * 200_000
     want = {(r["g"], r["c"]) for r in df.withColumn("p", F.expr("row_number() OVER (PARTITION BY g ORDER BY s DESC, c)")).filter("p <= 10").collect()}
