@@ -36,6 +36,8 @@ CALIBRATION_QUERIES = 1_600
 #: cells at most: with more than some ten million rows cells grow and are cut into blocks.
 CELL_ROWS = 16_000
 LEAF_ROWS = 16
+#: Leaves of a block that a query visits at least: a thousand rows cost next to nothing.
+LEAST_LEAVES = 64
 #: Rows of a cell, and queries of a cell, that one task takes at a time.
 BLOCK_ROWS = 50_000
 #: Queries that a task compares with its block at a time.
@@ -236,7 +238,7 @@ class Visits:
     recall: float
 
 
-def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: float, queries: int = CALIBRATION_QUERIES) -> Visits:
+def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: float, queries: int = CALIBRATION_QUERIES, least_leaves: int = LEAST_LEAVES) -> Visits:
     """The cheapest visits that reach ``recall``, and the recall that held-out queries get.
 
     True neighbours are the k best of a query with at least ``min_cosine``, found by brute
@@ -255,7 +257,7 @@ def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: f
         true = true[true["cos"] >= min_cosine]
     all_leaves, cells = int(index.select("cell", "block", "leaf").distinct().count()), tree.n_leaves
     if true.empty:
-        return Visits(1, 1, cells, all_leaves, 1.0)
+        return Visits(1, least_leaves, cells, all_leaves, 1.0)
     bins = best_bins(tree, q, cells)
     at = np.empty((len(q), cells), dtype=np.int64)
     np.put_along_axis(at, bins, np.arange(cells)[None, :].repeat(len(q), 0), axis=1)
@@ -273,6 +275,7 @@ def calibrate(index: DataFrame, tree: Tree, k: int, min_cosine: float, recall: f
             if best is None or cost < best[0]:
                 best = (cost, m, int(f) + 1)
     _, m, f = best
+    f = max(f, least_leaves)
     held = ~fit if (~fit).any() else fit
     return Visits(m, f, cells, all_leaves, float(((cell_place[held] < m) & (leaf_place[held] < f)).mean()))
 
@@ -344,6 +347,7 @@ def nearest_neighbours(
     cell_rows: int = CELL_ROWS,
     leaf_rows: int = LEAF_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    least_leaves: int = LEAST_LEAVES,
     report: dict | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other rows of every row: ``key, near, cos, position``.
@@ -376,9 +380,9 @@ def nearest_neighbours(
     placed = cells.join(F.broadcast(blocks), "cell").select("rid", "v", "cell", spread("nb").alias("block"))
     grown = placed.groupBy("cell", "block").applyInArrow(_grow(leaf_rows), "rid bigint, v array<float>, cell int, block int, leaf int")
     index = scratch_table(grown, "index")
-    visits = calibrate(index, tree, k, min_cosine, recall)
+    visits = calibrate(index, tree, k, min_cosine, recall, least_leaves=least_leaves)
     if report is not None:
-        report.update(cells=visits.cells, leaves=visits.leaves, all_cells=visits.all_cells, all_leaves=visits.all_leaves, recall=visits.recall, read=visits.cells * visits.leaves / visits.all_leaves)
+        report.update(cells=visits.cells, leaves=visits.leaves, all_cells=visits.all_cells, all_leaves=visits.all_leaves, recall=visits.recall, read=visits.cells * min(visits.leaves / visits.all_leaves, 1 / visits.all_cells))
 
     asks = index.select("rid", "v").mapInArrow(_to_cells(tree_b, visits.cells), "rid bigint, v array<float>, cell int")
     # A cell gets about as many times its rows in queries as cells are visited: so many tasks share them.

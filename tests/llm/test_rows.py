@@ -78,7 +78,7 @@ def test_neighbours_recall_and_copies(spark):
     df = spark.createDataFrame(rows, "key string, cls array<float>, rep string")
     report: dict = {}
     got: dict = {}
-    near = nearest_neighbours(df, "key", "cls", k=5, recall=0.97, cell_rows=200, leaf_rows=10, report=report)
+    near = nearest_neighbours(df, "key", "cls", k=5, recall=0.97, cell_rows=200, leaf_rows=10, least_leaves=1, report=report)
     for r in near.orderBy("key", "position").collect():
         got.setdefault(r["key"], []).append(r["near"])
     want = _brute(rows, 5, -1)
