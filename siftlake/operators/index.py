@@ -75,12 +75,14 @@ def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Chunks, term counts, postings and vectors of one corpus."""
+    """Chunks, term counts, postings and vectors of one corpus; and the profiles that terms and
+    vectors come from, if the index was not put together from others."""
 
     chunks: DataFrame
     terms: DataFrame
     postings: DataFrame
     vectors: DataFrame
+    profiles: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """One row: files, chunks, and chunks per language (null language left out)."""
@@ -89,7 +91,8 @@ class Index:
         return self.chunks.agg(F.countDistinct("file_path").alias("indexed_files"), F.count("*").alias("total_chunks")).crossJoin(F.broadcast(languages))
 
     def cached(self) -> Index:
-        return Index(self.chunks.cache(), self.terms.cache(), self.postings.cache(), self.vectors.cache())
+        profiled = None if self.profiles is None else self.profiles.cache()
+        return Index(self.chunks.cache(), self.terms.cache(), self.postings.cache(), self.vectors.cache(), profiled)
 
     def save(self, path: str, **metadata) -> None:
         """Write a snapshot; the metadata comes last, a snapshot without it does not count."""
@@ -112,15 +115,25 @@ def build_index(chunks: DataFrame, vectors: DataFrame | None = None, strict: boo
         raise ValueError("several different chunks have the same id")
     prepared = prepare_chunks(chunks)
     profiled = chunk_profiles(prepared)
-    return index_of(prepared, exploded_terms(profiled), chunk_vectors(profiled) if vectors is None else vectors)
+    return index_of(prepared, exploded_terms(profiled), chunk_vectors(profiled) if vectors is None else vectors, profiled)
+
+
+def texts_of(index: Index, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``chunk_id, terms, tfs, dl``, a row per chunk with at least those of its terms that are among ``words``;
+    and one row with the number of chunks and of all their terms: ``n, all``."""
+    if index.profiles is not None:
+        return index.profiles.select("chunk_id", "terms", "tfs", "dl"), index.profiles.agg(F.count("*").alias("n"), F.sum("dl").alias("all"))
+    asked = index.terms.join(words, "term", "left_semi").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("_t"), F.first("dl").alias("dl"))
+    size = index.chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(index.terms.agg(F.sum("tf").alias("all"))))
+    return asked.select("chunk_id", F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"), "dl"), size
 
 
 def chunk_vectors(profiled: DataFrame, key: str = "chunk_id") -> DataFrame:
     return profiled.filter("v IS NOT NULL").select(key, "v")
 
 
-def index_of(prepared: DataFrame, terms: DataFrame, vectors: DataFrame) -> Index:
-    return Index(prepared, terms, postings(prepared, terms), vectors)
+def index_of(prepared: DataFrame, terms: DataFrame, vectors: DataFrame, profiled: DataFrame | None = None) -> Index:
+    return Index(prepared, terms, postings(prepared, terms), vectors, profiled)
 
 
 def load_index(spark: SparkSession, path: str, **expected) -> Index:

@@ -158,3 +158,34 @@ def test_arriving_files_keep_the_index(spark, corpus, tmp_path):
         keep_index(stream, apply, str(tmp_path / "state")).awaitTermination()
         corpus.filter("file_path = 'src/dates.go'").coalesce(1).write.mode("append").parquet(at)
     assert _postings(held["index"]) == _postings(I.build_index(corpus))
+
+
+def test_best_chunks_come_without_a_row_for_every_pair(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(f"c{i:04}", " ".join(rng.choices(words, [8, 4, 2, 1], k=rng.randint(1, 6))), f"d/f{i % 7}.py", 1, 1, "python" if i % 3 else "go", 0) for i in range(900)]
+    index = I.build_index(_chunks(spark, rows))
+    asked = _queries(spark, "alpha", "alpha beta beta", "gamma delta", "nothing", "delta alpha gamma beta")
+    united = I.index_of(index.chunks, index.terms, index.vectors)
+    for by, allowed in ((index, None), (united, S.selected_chunks(index, ["go"]))):
+        best, want = S.lexical_top(by, asked, 7, allowed), S.top_k(S.lexical_scores(by, asked, allowed), 7)
+        assert by is united or "Join" not in best._jdf.queryExecution().executedPlan().toString()
+        got, want = (sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (best, want))
+        assert got == want
+
+
+def test_a_task_hands_on_k_rows_whatever_it_reads(spark, tmp_path):
+    """Over 40,000 rows in three portions, with one score for all of them or rising ones."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from siftlake.operators.best import best_rows
+
+    pq.write_table(pa.table({"query_id": pa.array([1, 2], pa.int64())}), tmp_path / "part-0.parquet")
+    ids = np.random.default_rng(1).permutation(40_000)
+    rows = pa.table({"chunk_id": pa.array([f"c{i:05}" for i in ids]), "x": pa.array(ids)}).to_batches(max_chunksize=10_000)
+    score = lambda held: lambda block: np.stack([np.ones(held.num_rows), held.column("x").to_numpy() + 1.0])
+    out = pa.Table.from_batches(list(best_rows(f"file://{tmp_path}", 5, score, 5e-324)(iter(rows)))).to_pylist()
+    assert {r["chunk_id"] for r in out if r["query_id"] == 2} == {f"c{i:05}" for i in range(39_995, 40_000)}
+    assert {f"c{i:05}" for i in range(5)} <= {r["chunk_id"] for r in out if r["query_id"] == 1} and len(out) < 100
