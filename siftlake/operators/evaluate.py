@@ -129,19 +129,21 @@ MODES = {f"{name}{'+ranking' if rerank else ''}": (alpha, rerank) for name, alph
 def mode_quality(index, queries: DataFrame, targets: DataFrame, k: int = 10, modes: dict | None = None) -> DataFrame:
     """``mode, ndcg, queries``: mean quality of every way to combine the retrievers.
 
-    Both retrievers are asked once; only fusing and reranking differ by mode. The rankings
-    are united, so all modes are judged in one pass.
+    Both retrievers are asked once and definitions looked for once; only weighing and reranking
+    differ by mode. The rankings are united, so all modes are judged in one pass.
     """
-    from siftlake.operators.search import OVERFETCH, combine, retrieve
+    from siftlake.operators.search import OVERFETCH, combine_placed, definers, pair_up, placed, query_facts, retrieve, with_definers
     from siftlake.session import scratch_table
 
     picked = modes or MODES
     asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", "query")
-    semantic, lexical = (scratch_table(x, "retrieved") for x in retrieve(index, asked, OVERFETCH * k))
+    pairs = scratch_table(pair_up(*retrieve(index, asked, OVERFETCH * k)), "pairs")
+    found = scratch_table(with_definers(pairs, definers(index, query_facts(asked), pairs)), "defined")
+    rows = placed(found, index.chunks)
     out = None
     for number, (alpha, rerank) in enumerate(picked.values()):
         # One query table for all modes: the mode becomes part of the query's number.
-        part = combine(index, asked, semantic, lexical, k, alpha, rerank).withColumn("query_id", F.col("query_id") * len(picked) + number)
+        part = combine_placed(rows, asked, k, alpha, rerank).withColumn("query_id", F.col("query_id") * len(picked) + number)
         out = part if out is None else out.unionByName(part)
     copies = targets.withColumn("_m", F.explode(F.array(*[F.lit(i) for i in range(len(picked))]))).withColumn("query_id", F.col("query_id") * len(picked) + F.col("_m")).drop("_m")
     names = F.element_at(F.array(*[F.lit(n) for n in picked]), (F.col("query_id") % len(picked) + 1).cast("int"))
