@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import infer_category, normal_path
+from siftlake.operators.best import stored
+from siftlake.session import scratch_path
 
 # Fixed values of the keyword search that serves as the baseline.
 KEYWORD = "[a-zA-Z][a-zA-Z0-9]*"
@@ -33,12 +40,12 @@ def span_hits(results: DataFrame, targets: DataFrame) -> DataFrame:
     return r.join(t, ["query_id", "name"]).filter(tail & overlap).select("query_id", "target", "rank")
 
 
-def covered_queries(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """``query_id`` of every query of which some file covers a target, whatever its rank."""
+def covering_files(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """``query_id, file_path`` of every file that covers a target of the query, whatever its rank."""
     name = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
     asked = targets.select("query_id", name("path").alias("_n")).distinct()
-    near = files.withColumn("_n", name("file_path")).join(asked, "_n").withColumn("rank", F.lit(1))
-    return span_hits(near, targets).select("query_id").distinct()
+    near = files.withColumn("_n", name("file_path")).join(asked, "_n").withColumn("rank", F.col("file_path"))
+    return span_hits(near, targets).select("query_id", F.col("rank").alias("file_path")).distinct()
 
 
 def ndcg(results: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -107,19 +114,108 @@ def paired_reduction(ours: DataFrame, other: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_paired"), (1 - F.percentile(ratio, F.lit(0.5))).alias("median_reduction"), (1 - F.avg(ratio)).alias("mean_reduction"), F.avg((F.col("a") < F.col("b")).cast("int")).alias("better"))
 
 
+def _keyword_tables(queries: DataFrame, chunks: DataFrame, stopwords: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """``query_id, words`` of every query with keywords, and ``file_path, words`` of every file
+    with the keywords that stand in it."""
+    words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(KEYWORD), F.lit(0)), F.lower))
+    kept = F.filter(words("query"), lambda w: (F.length(w) >= least) & ~F.array_contains(F.array(*[F.lit(s) for s in stopwords]), w))
+    asked = queries.select("query_id", F.explode(kept).alias("word")).groupBy("query_id").agg(F.collect_set("word").alias("words"))
+    found = chunks.select("file_path", F.explode(words("content")).alias("word"))
+    known = found.join(asked.select(F.explode("words").alias("word")).distinct(), "word", "left_semi")
+    return asked, known.groupBy("file_path").agg(F.collect_set("word").alias("words"))
+
+
+def _against_files(folder: str, answer):
+    """A task's queries against all files of the shared folder. ``answer`` gets the files by path,
+    the rows of queries and a function that counts the keywords of a query in every file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = None
+        for batch in batches:
+            if batch.num_rows and files is None:
+                if not (parts := list(stored(folder))):
+                    return
+                files = pa.Table.from_batches(parts).combine_chunks()
+                files = files.take(pc.sort_indices(files.column("file_path"))).combine_chunks()
+                lists = files.column("words").chunk(0)
+                coded = pc.list_flatten(lists).dictionary_encode()
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                owner = pc.list_parent_indices(lists).to_numpy()[order].astype(np.intp)
+                start = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)).tolist()
+                place = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+
+                def count(words: list[str]) -> np.ndarray:
+                    hits = np.zeros(files.num_rows, np.int32)
+                    for i in (place[w] for w in words if w in place):
+                        hits[owner[start[i] : start[i + 1]]] += 1
+                    return hits
+
+            if batch.num_rows:
+                yield from answer(files, batch, count)
+
+    return run
+
+
+def _spread(queries: DataFrame) -> DataFrame:
+    return queries.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism, "query_id")
+
+
 def keyword_ranking(queries: DataFrame, chunks: DataFrame, stopwords: list[str], least: int = 3) -> DataFrame:
     """Files by the number of distinct query keywords they contain: the grep baseline.
 
-    ``query_id, rank, file_path, hits``. Keywords are whole words looked up in the files'
-    words, so it is a hash join and not a scan per query.
+    ``query_id, rank, file_path, hits``. Tasks hold the files' keywords, read from the shared
+    folder, and rank all files of a query at once: the rows, as many as queries times files,
+    are neither shuffled nor sorted anywhere else.
+    """
+    asked, files = _keyword_tables(queries, chunks, stopwords, least)
+    folder = scratch_path(queries.sparkSession, "files")
+    files.write.parquet(folder)
+
+    def rank(files: pa.Table, batch: pa.RecordBatch, count) -> Iterator[pa.RecordBatch]:
+        paths = files.column("file_path").chunk(0)
+        for i, words in enumerate(batch.column("words").to_pylist()):
+            hits = count(words)
+            at = np.flatnonzero(hits)
+            at = at[np.argsort(-hits[at], kind="stable")]
+            for begin in range(0, len(at), 100_000):
+                some = at[begin : begin + 100_000]
+                ranks = np.arange(begin + 1, begin + len(some) + 1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(np.full(len(some), i))), pa.array(ranks), paths.take(pa.array(some)), pa.array(hits[some].astype(np.int64))], names=["query_id", "rank", "file_path", "hits"])
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    return _spread(asked).mapInArrow(_against_files(folder, rank), f"query_id {kind}, rank int, file_path string, hits bigint")
+
+
+def keyword_first_hits(queries: DataFrame, chunks: DataFrame, files: DataFrame, targets: DataFrame, stopwords: list[str], cap: int, least: int = 3) -> DataFrame:
+    """``query_id, tokens, found``: tokens of the files that are read by keyword until the first
+    covers a target, as :func:`first_hits` of the whole ranking would give, which is not written
+    out. ``files`` has file_path, start_line, end_line and chars.
     """
-    words = F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(KEYWORD), F.lit(0)), F.lower))
-    kept = F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(F.array(*[F.lit(s) for s in stopwords]), w))
-    asked = queries.select("query_id", F.explode(kept).alias("word"))
-    found = chunks.select("file_path", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(KEYWORD), F.lit(0)), F.lower))).alias("word")).distinct()
-    hits = asked.join(found, "word").groupBy("query_id", "file_path").agg(F.count("*").alias("hits"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("hits"), "file_path")
-    return hits.withColumn("rank", F.row_number().over(by))
+    asked, known = _keyword_tables(queries, chunks, stopwords, least)
+    folder = scratch_path(queries.sparkSession, "files")
+    known.join(files.select("file_path", F.expr("chars div 4").alias("cost")), "file_path").write.parquet(folder)
+    wanted = covering_files(files, targets).groupBy("query_id").agg(F.collect_list("file_path").alias("covers"))
+
+    def first(files: pa.Table, batch: pa.RecordBatch, count) -> Iterator[pa.RecordBatch]:
+        paths, cost = files.column("file_path").chunk(0), files.column("cost").to_numpy()
+        tokens = []
+        for words, covers in zip(batch.column("words").to_pylist(), batch.column("covers")):
+            hits = count(words)
+            at = pc.index_in(covers.values, value_set=paths).drop_null().to_numpy()
+            at = np.sort(at[hits[at] > 0])
+            if not len(at):
+                tokens.append(None)
+                continue
+            last = at[np.argmax(hits[at])]  # of those with most keywords the first by path
+            before = hits > hits[last]
+            before[: last + 1] |= hits[: last + 1] == hits[last]
+            tokens.append(int(cost[before].sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(tokens, pa.int64())], names=["query_id", "tokens"])
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    found = _spread(asked.join(wanted, "query_id")).mapInArrow(_against_files(folder, first), f"query_id {kind}, tokens bigint")
+    return first_hits(found.filter("tokens IS NOT NULL").withColumn("covered", F.lit(1)), targets, cap)
 
 
 #: Weight of the semantic side (None: by query) and whether results are reranked.

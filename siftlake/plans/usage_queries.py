@@ -135,9 +135,7 @@ def paired_reduction(spark, sf_dir):
     """
     chunks, targets = prepare_chunks(table(spark, sf_dir, "chunks")), E.task_targets(table(spark, sf_dir, "tasks"))
     whole = chunks.groupBy("file_path").agg(F.sum(F.length("content")).alias("chars"), F.lit(1).alias("start_line"), F.max("end_line").alias("end_line"))
-    asked = _tasks(spark, sf_dir).join(E.covered_queries(whole, targets), "query_id", "left_semi")
-    files = E.keyword_ranking(asked, chunks, STOPWORDS).join(whole, "file_path")
-    other = E.first_hits(E.coverage_curve(files, targets, F.expr("chars div 4")), targets, 32_000)
+    other = E.keyword_first_hits(_tasks(spark, sf_dir), chunks, whole, targets, STOPWORDS, 32_000)
     out = E.paired_reduction(E.first_hits(_curve(spark, sf_dir), _runs(targets), 32_000), _runs(other))
     return out.select("n_paired", *[F.round(c, 9).alias(c) for c in ("median_reduction", "mean_reduction", "better")])
 

@@ -42,3 +42,29 @@ def test_related_chunks_are_asked_in_the_middle_of_files_too(spark, tmp_path):
     want = {(number[c], names[j]) for i, c in enumerate(names) if number[c] % 50 == 0 for j in np.argsort(-sims[i])[:5]}
     got = registry.queries()["find_related"](spark, str(tmp_path)).collect()
     assert want and {(r["query_id"], r["chunk_id"]) for r in got} == want
+
+
+def test_keyword_ranking_is_not_sorted_outside_its_tasks(spark, many_files):
+    plan = registry.queries()["grep_keyword_rank"](spark, many_files)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_first_hit_of_several_covering_files(spark):
+    from siftlake.operators import evaluate as E
+
+    chunks = spark.createDataFrame([(f"s/f{i}.py", "alpha " * (i + 1) + ("beta" if i in (2, 4) else "")) for i in range(6)], "file_path string, content string")
+    files = spark.createDataFrame([(f"s/f{i}.py", 1, 9, 40 * (i + 1)) for i in range(6)], "file_path string, start_line int, end_line int, chars long")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma")], "query_id bigint, query string")
+    targets = spark.createDataFrame([(1, 0, "s/f5.py", None, None), (1, 1, "s/f4.py", None, None), (2, 0, "s/f1.py", 2, 3), (3, 0, "s/f1.py", None, None)], "query_id bigint, target int, path string, start int, end int")
+    got = E.keyword_first_hits(asked, chunks, files, targets, [], 99)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    ranked = E.keyword_ranking(asked, chunks, []).join(files, "file_path")
+    whole = E.first_hits(E.coverage_curve(ranked.selectExpr("*", "start_line AS s"), targets, chars_div()), targets, 99)
+    rows = lambda df: sorted((r["query_id"], r["tokens"], r["found"]) for r in df.collect())
+    assert rows(got) == rows(whole) == [(1, 80, True), (2, 30, True), (3, 99, False)]
+
+
+def chars_div():
+    from pyspark.sql import functions as F
+
+    return F.expr("chars div 4")
