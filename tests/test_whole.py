@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake.plans import registry
 
@@ -59,12 +60,6 @@ def test_first_hit_of_several_covering_files(spark):
     got = E.keyword_first_hits(asked, chunks, files, targets, [], 99)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     ranked = E.keyword_ranking(asked, chunks, []).join(files, "file_path")
-    whole = E.first_hits(E.coverage_curve(ranked.selectExpr("*", "start_line AS s"), targets, chars_div()), targets, 99)
+    whole = E.first_hits(E.coverage_curve(ranked.selectExpr("*", "start_line AS s"), targets, F.expr("chars div 4")), targets, 99)
     rows = lambda df: sorted((r["query_id"], r["tokens"], r["found"]) for r in df.collect())
     assert rows(got) == rows(whole) == [(1, 80, True), (2, 30, True), (3, 99, False)]
-
-
-def chars_div():
-    from pyspark.sql import functions as F
-
-    return F.expr("chars div 4")
