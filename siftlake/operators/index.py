@@ -31,9 +31,9 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
     return placed.withColumns({"stem": F.lower(stem(F.col("file_path"))), "path_terms": path_terms(F.col("file_path")), "penalty": path_penalty(F.col("file_path"))})
 
 
-def chunk_profiles(chunks: DataFrame) -> DataFrame:
+def chunk_profiles(chunks: DataFrame, encoded: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Terms, counts and vector of every chunk's enriched text (see operators.profile)."""
-    return profiles(chunks, "chunk_id", enriched(F.col("content"), F.col("file_path")))
+    return profiles(chunks, "chunk_id", enriched(F.col("content"), F.col("file_path")), encoded, also)
 
 
 def exploded_terms(profiled: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -119,10 +119,11 @@ def build_index(chunks: DataFrame, vectors: DataFrame | None = None, strict: boo
 
 
 def texts_of(index: Index, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``chunk_id, terms, tfs, dl``, a row per chunk with at least those of its terms that are among ``words``;
-    and one row with the number of chunks and of all their terms: ``n, all``."""
+    """``chunk_id, terms, tfs, dl``, a row per chunk with at least those of its terms that are among ``words``,
+    and its language and path if the profiles hold them; and one row with the number of chunks and of all their
+    terms: ``n, all``."""
     if index.profiles is not None:
-        return index.profiles.select("chunk_id", "terms", "tfs", "dl"), index.profiles.agg(F.count("*").alias("n"), F.sum("dl").alias("all"))
+        return index.profiles.drop("v"), index.profiles.agg(F.count("*").alias("n"), F.sum("dl").alias("all"))
     asked = index.terms.join(words, "term", "left_semi").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("_t"), F.first("dl").alias("dl"))
     size = index.chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(index.terms.agg(F.sum("tf").alias("all"))))
     return asked.select("chunk_id", F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"), "dl"), size

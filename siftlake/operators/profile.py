@@ -50,7 +50,7 @@ def direction(term: str) -> tuple[int, float]:
     return number % DIMS, 1.0 if number // DIMS % 2 == 0 else -1.0
 
 
-def profile(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def profile(keys: pa.Array, texts: pa.Array, encoded: bool = True) -> pa.RecordBatch:
     words = pc.split_pattern_regex(pc.fill_null(texts, ""), "[^a-zA-Z0-9_]+")
     row = pc.list_parent_indices(words).to_numpy().astype(np.int64)
     # An identifier is what follows the leading digits of a run of word characters.
@@ -66,6 +66,14 @@ def profile(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     pairs, tfs = np.unique(np.repeat(row, n) * m + flat[at], return_counts=True)
     owner, term = pairs // m, pairs % m
     offsets = pa.array(np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32))
+    counted = [
+        keys,
+        pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(term))),
+        pa.ListArray.from_arrays(offsets, pa.array(tfs.astype(np.int64))),
+        pa.array(np.bincount(owner, tfs, minlength=len(keys)).astype(np.int64)),
+    ]
+    if not encoded:
+        return pa.RecordBatch.from_arrays(counted, names=["key", "terms", "tfs", "dl"])
     dims, signs = (np.array(x) for x in zip(*map(direction, names))) if names else (np.zeros(1, int), np.zeros(1))
     v = np.zeros((len(keys), DIMS))
     np.add.at(v, (owner, dims[term] if names else owner), (signs[term] if names else 1.0) * np.log1p(tfs))
@@ -73,28 +81,21 @@ def profile(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     some = norm > 1e-9
     v[some] /= norm[some, None]
     rows = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), DIMS).cast(pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays(
-        [
-            keys,
-            pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(term))),
-            pa.ListArray.from_arrays(offsets, pa.array(tfs.astype(np.int64))),
-            pa.array(np.bincount(owner, tfs, minlength=len(keys)).astype(np.int64)),
-            pc.if_else(pa.array(some), rows, pa.scalar(None, rows.type)),
-        ],
-        names=["key", "terms", "tfs", "dl", "v"],
-    )
-
-
-def profiles(df: DataFrame, key: str, text: Column) -> DataFrame:
+    return pa.RecordBatch.from_arrays([*counted, pc.if_else(pa.array(some), rows, pa.scalar(None, rows.type))], names=["key", "terms", "tfs", "dl", "v"])
+
+
+def profiles(df: DataFrame, key: str, text: Column, encoded: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """``key, terms, tfs, dl, v`` of every row: its terms and their counts, the sum of the
-    counts, and the built-in encoder's unit vector (null if its terms cancel out)."""
+    counts, and the built-in encoder's unit vector (null if its terms cancel out), which is
+    left out unless ``encoded``. The columns in ``also`` are handed on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                yield profile(part.column(0), part.column(1))
+                made = profile(part.column(0), part.column(1), encoded)
+                yield pa.RecordBatch.from_arrays([*made.columns, *part.columns[2:]], names=[*made.schema.names, *also])
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, text.alias("_text")).mapInArrow(run, f"key {kind}, terms array<string>, tfs array<bigint>, dl bigint, v array<double>")
-    return out.withColumnRenamed("key", key)
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    shape = [f"key {kind(key)}", "terms array<string>", "tfs array<bigint>", "dl bigint", *["v array<double>"] * encoded, *(f"`{c}` {kind(c)}" for c in also)]
+    return df.select(key, text.alias("_text"), *also).mapInArrow(run, ", ".join(shape)).withColumnRenamed("key", key)

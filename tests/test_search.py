@@ -198,3 +198,33 @@ def test_ranking_carries_no_contents_and_reads_definitions_once(spark, corpus):
     assert "content" not in S.placed(pairs, index.chunks).columns
     found = S.definers(index, S.query_facts(asked), pairs).collect()
     assert [(r["query_id"], r["chunk_id"], r["factor"]) for r in found] == [(0, "src/users.py:0", 3.0)]
+
+
+def test_a_filter_moves_no_texts_and_writes_no_contents(spark, corpus, tmp_path):
+    from siftlake.plans import registry
+
+    corpus.drop("extra").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "date authenticate"), (2, "session")], "task_id int, query string").write.parquet(f"{tmp_path}/tasks.parquet")
+    got = registry.queries()["bm25_filtered"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    at = {f.rsplit("/", 1)[0] for f in got.inputFiles()}
+    assert at and all(not {"content", "v"} & set(spark.read.parquet(f).columns) for f in at)
+    index = I.build_index(corpus)
+    asked = spark.createDataFrame([(1, "date authenticate"), (2, "session")], "query_id bigint, query string")
+    want = S.top_k(S.lexical_scores(index, asked, S.selected_chunks(index, ["python", "go"])), 10)
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in got.collect()) == sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 8)) for r in want.collect())
+
+
+@pytest.mark.parametrize("also", [(), ("language",), ("language", "file_path")])
+def test_languages_and_paths_are_united_wherever_they_are_held(spark, corpus, also):
+    """Chunks without a language are no match; the statistics stay those of all chunks."""
+    index, asked = I.build_index(corpus), _queries(spark, "authenticate date session empty", "go")
+    held = I.Index(index.chunks, None, None, None, I.chunk_profiles(index.chunks, encoded=False, also=also))
+    for languages, paths in ((["go"], None), (None, ["src/auth.py", "src/empty.go"]), (["go"], ["src/users.py"]), (["cobol"], None)):
+        got = S.lexical_top(held, asked, 5, languages=languages, paths=paths)
+        want = S.top_k(S.lexical_scores(index, asked, S.selected_chunks(index, languages, paths)), 5)
+        rows = [sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in x.collect()) for x in (got, want)]
+        assert rows[0] == rows[1] and (rows[0] or languages == ["cobol"])
+        missing = {c for c, wanted in (("language", languages), ("file_path", paths)) if wanted} - set(also)
+        assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == bool(missing)
